@@ -30,3 +30,10 @@ def op9_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_index import token_index
 
     return token_index(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination, summary
+
+    return summary(contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
