@@ -36,4 +36,51 @@ def op9_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination, summary
 
-    return summary(contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+    return summary(contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))).drop("n_near")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL["op6_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS id, {_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT id, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 10, 0) + 2), lambda i: array_to_string(w[i:i + 9], ' '))) AS win
+  FROM b WHERE len(w) > 0
+),
+places AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n),
+found AS (SELECT doc_id, p.n, i, id FROM places p JOIN windows v ON v.n = p.n AND v.win = array_to_string(p.w[i:i + p.n - 1], ' ')),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+names AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, id FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN names USING (doc_id)
+"""
+
+
+@query
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_duplicates
+
+    return exact_duplicates(_table(spark, sf_dir, "documents")).drop("uid")
+
+
+ORACLE_SQL["op2_exact_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents
+)
+SELECT doc_id,
+       first_value(doc_id) OVER g AS keep_id,
+       count(*) OVER (PARTITION BY n) AS group_size,
+       row_number() OVER g = 1 AS kept,
+       sha256(n) AS text_sha256
+FROM d
+WINDOW g AS (PARTITION BY n ORDER BY length(t) DESC, doc_id)
+"""
+
+
+@query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents")).drop("uid")
