@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -84,3 +85,37 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents")).drop("uid")
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify, learn
+    from .text import crc_mod
+
+    docs = _table(spark, sf_dir, "documents")
+    rest = crc_mod(F.col("doc_id"), 5)
+    model = learn(docs, rest != 0)
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import describe, learn, score
+    from .storage import Scratch
+    from .text import crc_mod
+
+    scratch = Scratch(spark, "quality")
+    described = scratch.table(describe(_table(spark, sf_dir, "documents"), "doc_id"), "described")
+    rest = crc_mod(F.col("doc_id"), 3)
+    labels = _table(spark, sf_dir, "labels").where(rest != 1).groupBy("doc_id").agg(F.min("quality").alias("label"))
+    model = learn(described.join(labels, "doc_id"))
+    found = score(described, model, "doc_id")
+    return found.select("doc_id", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets_scan import secret_scan
+
+    return secret_scan(_table(spark, sf_dir, "documents"))
