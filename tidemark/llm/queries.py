@@ -119,3 +119,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets_scan import secret_scan
 
     return secret_scan(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages"))
