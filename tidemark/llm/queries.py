@@ -126,3 +126,19 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract_pages
 
     return extract_pages(_table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixture
+
+    return mixture(_table(spark, sf_dir, "documents")).drop("uid")
+
+
+@query
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations, learn
+    from .text import crc_mod
+
+    conversations = _table(spark, sf_dir, "conversations")
+    return format_conversations(conversations, learn(conversations, crc_mod(F.col("conv_id"), 5) != 0))
