@@ -9,8 +9,8 @@ the order of the terms and allow some other words between them.
 Terms are the words of A-Z lower-cased text: runs of digits, ASCII letters and non-ASCII characters. Terms that no
 test item holds can't take part in a match, so their postings are not stored. No postings move between tasks.
 
-Null and empty texts have no words: n_words 0, nothing hit. An item without words matches nothing. Items with the
-same item_id count as one item. Repeated documents are answered one by one. An empty benchmark hits nothing.
+Null and empty texts have no words: n_words 0, nothing hit. An item without words or with a null item_id
+matches nothing. Items with the same item_id count as one item. Repeated documents are answered one by one. An empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -260,7 +260,7 @@ def search(index: DataFrame, items: Items, slop: int = SLOP) -> DataFrame:
     return index.mapInArrow(_query(index.sparkSession.sparkContext.broadcast(items), slop), MATCHES)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, query_words: int = QUERY_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, query_words: int = QUERY_WORDS, segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """uid, doc_id, n_words, spans, items and near of every document.
 
     The benchmark's words are counted first. Up to `query_words` of them are sent to the executors at a time; a
@@ -274,7 +274,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b)
         given = Items([(r[0], r[1]) for r in part.toLocalIterator()], window)
-        one = search(build_index(docs, given.terms, scratch, f"index{b}"), given, slop)
+        one = search(build_index(docs, given.terms, scratch, f"index{b}", segment_words), given, slop)
         found = one if found is None else found.unionByName(one)
     if blocks > 1:
         found = found.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "near")])

@@ -72,10 +72,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, n: int = SHINGLE) -> list[np.
         if b - a >= n:
             out.append(np.unique(runs[a : b - n + 1]))
         elif b > a:
-            short = np.uint64(b - a)
-            for k in range(a, b):
-                short = short + words[k] * _ORDER[k - a]
-            out.append(mix(np.array([short], np.uint64)))
+            out.append(mix((words[a:b] * _ORDER[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
