@@ -1,13 +1,61 @@
-"""From raw documents to token ids: language, near duplicates, decontamination, mixing, token shards."""
+"""From raw documents to token ids: language, near duplicates, decontamination, mixing, token shards.
+
+Every stage reads all rows that the one before it has kept. Stages that filter keep the columns of documents.
+Rows are told apart by their place in the input, so null and repeated doc_ids do no harm.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.decontaminate import contamination
+from tidemark.llm.language import identify, learn
+from tidemark.llm.mixing import mixture
+from tidemark.llm.near_dup import near_duplicates
 from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.storage import Scratch, release
 from tidemark.llm.token_index import token_index
 
+#: A document is rejected if no language reaches this mean marginal, or if it has no letters.
+LANGUAGE_LEAST = 0.3
+#: Share of the tokens that mixing keeps.
+MIX_KEEP = 0.8
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of `docs` whose place isn't among the uids of `dropped`."""
+    place = "__place"
+    kept = docs.withColumn(place, F.monotonically_increasing_id()).join(dropped.select(F.col("uid").alias(place)), place, "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language can't be told."""
+    release()
+    model = learn(docs, F.lit(True))
+    found = identify(docs, model, "text", "__language", "__score")
+    return found.where((F.col("__language") != "und") & (F.col("__score") >= LANGUAGE_LEAST)).drop("__language", "__score")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near duplicates."""
+    release()
+    return _without(docs, near_duplicates(docs).where(~F.col("kept")))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    release()
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=0)
+    return _without(docs, found.where(F.size("spans") > 0))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Samples documents by their calibrated probabilities."""
+    release()
+    return _without(docs, mixture(docs, MIX_KEEP).where(~F.col("sampled")))
+
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in wavelet shards; one row per document as read back from them."""
@@ -15,8 +63,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_index(docs, tokenizer_path())
 
 
-STAGES = [("token_index", tokens)]
-#: The stages learn models, which SQL can't express; tests/llm holds them against plain versions.
+STAGES = [("language", language), ("near_duplicates", near), ("decontamination", decontaminated), ("mixing", mixed), ("token_index", tokens)]
+#: The stages learn models and draw by hashes, which SQL can't express; tests/llm holds them against plain versions.
 ORACLE_SQL = None
 
 
