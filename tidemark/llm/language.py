@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import WORD_BYTES, hash_words, mix, pieces, segment
 
@@ -305,5 +306,5 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", language:
                         found[k], value[k] = "und", 0.0
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(value, pa.float64())], names=[*names, language, score])
 
-    schema = docs.schema.add(language, "string").add(score, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(language, T.StringType()), T.StructField(score, T.DoubleType())])
     return docs.mapInArrow(run, schema)
