@@ -63,9 +63,11 @@ class Words:
     """The words of some texts and the rows of their features."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
+        # A byte between texts, so that no feature sees the text beside.
+        data, at = np.insert(data, at[1:], 0), at + np.arange(len(at))
         self.mapped, self.starts, self.ends, self.word_at = segment(_lower(data), at, LETTER_BYTES)
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(rows of all n-gram features, first of each word): a bigram and a trigram for each byte; a word's ends count as a byte 0."""
         code = np.zeros(len(self.mapped) + 3, np.int32)
         code[2:-1] = _CODE[self.mapped]
@@ -76,7 +78,6 @@ class Words:
         where[:-1] = inside
         where[self.ends] = True
         k = np.flatnonzero(where)
-        # Between adjacent texts a word can begin where another ends; the place then counts once, for the later.
         second = code[k + 1]
         first = np.where(second == 0, 0, code[k])
         return (first * CODES + second) * CODES + code[k + 2], np.searchsorted(k, self.starts), n
