@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import hash_words, mix, pieces, segment, sums
 
@@ -154,7 +155,7 @@ def describe(docs: DataFrame, *keep: str) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[: len(keep)], flat], names=[*keep, "x"])
 
-    return kept.mapInArrow(run, kept.drop("text").schema.add("x", "array<double>"))
+    return kept.mapInArrow(run, T.StructType([*kept.drop("text").schema.fields, T.StructField("x", T.ArrayType(T.DoubleType()))]))
 
 
 def learn(described: DataFrame) -> Model:
@@ -191,4 +192,4 @@ def score(described: DataFrame, model: Model, *keep: str) -> DataFrame:
             x = batch.column(len(keep)).flatten().to_numpy().reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(shared.value.score(x))], names=[*keep, "score"])
 
-    return kept.mapInArrow(run, kept.drop("x").schema.add("score", "double"))
+    return kept.mapInArrow(run, T.StructType([*kept.drop("x").schema.fields, T.StructField("score", T.DoubleType())]))
