@@ -198,21 +198,21 @@ def tiled(df: DataFrame, size: str, tile: int, key: str = "uid") -> DataFrame:
     return df.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1))).select("*", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).drop("other", size)
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(node, root) of all nodes that have edges (a, b); root is the smallest node of the component. Alternates the large-star and small-star steps until nothing changes."""
+def connected_components(edges: DataFrame, scratch: Scratch, name: str, most: int | None = None) -> DataFrame:
+    """(node, root) of all nodes that have edges (a, b), `most` edges at most; root is the smallest node of the component. Alternates the large-star and small-star steps until nothing changes."""
 
     def step(pairs: DataFrame, table: str) -> tuple[DataFrame, tuple]:
-        out = scratch.table(pairs.where("a != b").distinct(), table)
+        out = scratch.table(pairs.where("a != b").distinct(), table, rows=most, per_file=200_000)
         return out, tuple(out.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.col("b") % 1_000_003)).first())
 
     now, state = step(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), f"{name}0")
-    k = 0
+    k, most = 0, 2 * state[0]
     while state[0]:
         k += 1
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = scratch.table(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), f"{name}{k}m")
+        lowest = scratch.table(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), f"{name}{k}m", rows=most, per_file=200_000)
         large, _ = step(both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b"))), f"{name}{k}l")
-        lowest = scratch.table(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}{k}n")
+        lowest = scratch.table(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}{k}n", rows=most, per_file=200_000)
         small = large.join(lowest, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b")))
         after, new_state = step(small, f"{name}{k}")
         done, now, state = new_state == state, after, new_state
@@ -285,38 +285,42 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     texts = rows(docs, "text")
     sketch = scratch.table(texts.mapInArrow(_sketch, "uid bigint, doc_id bigint, n bigint, f1 bigint, f2 bigint, sig binary"), "sketch")
 
+    many = sketch.count()
     # One representative for each set; its weight is the number of rows that have the set.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
-    sets = scratch.table(sketch.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("uid").alias("rep"), F.count("*").alias("weight"), first.alias("first")), "sets")
+    sets = scratch.table(sketch.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("uid").alias("rep"), F.count("*").alias("weight"), first.alias("first")), "sets", rows=many)
     reps = sketch.where("n > 0").select("uid", "sig").join(sets.select(F.col("rep").alias("uid"), "weight"), "uid")
-    reps = scratch.table(reps, "reps")
+    reps = scratch.table(reps, "reps", rows=many)
 
     places = reps.select("uid", "sig").mapInArrow(_prefixes(prefix_length(similarity, recall)), "uid bigint, tree int, prefix bigint")
-    nodes = scratch.table(places.groupBy("tree", "prefix").agg(F.count("*").alias("size")).where("size > 1"), "nodes")
-    shared = scratch.table(places.join(nodes, ["tree", "prefix"]), "shared")
+    nodes = scratch.table(places.groupBy("tree", "prefix").agg(F.count("*").alias("size")).where("size > 1"), "nodes", rows=TREES * many, per_file=1_000_000)
+    many_shared = nodes.agg(F.sum("size")).first()[0] or 0
+    shared = scratch.table(places.join(nodes, ["tree", "prefix"]), "shared", rows=many_shared, per_file=200_000)
     under = tiled(shared.join(reps.select("uid", "sig"), "uid"), "size", NODE_TILE).select("tree", "prefix", "i", "j", "uid", "tile", "sig")
     under = under.repartition("tree", "prefix", "i", "j").sortWithinPartitions("tree", "prefix", "i", "j", "uid")
-    candidates = connected_components(under.mapInArrow(_compare(least_agreement(similarity)), "a bigint, b bigint"), scratch, "candidates")
+    candidates = connected_components(under.mapInArrow(_compare(least_agreement(similarity)), "a bigint, b bigint"), scratch, "candidates", many_shared)
 
-    candidates = scratch.table(candidates, "candidates")
-    sizes = scratch.table(candidates.groupBy("root").agg(F.count("*").alias("size")), "candidate_sizes")
+    candidates = scratch.table(candidates, "candidates", rows=many)
+    grouped_rows = candidates.count()
+    sizes = scratch.table(candidates.groupBy("root").agg(F.count("*").alias("size")), "candidate_sizes", rows=grouped_rows)
     grouped = candidates.join(sizes, "root").select(F.col("node").alias("uid"), "root", "size").join(reps.select("uid", "weight"), "uid")
     sized = texts.select("uid", "text").join(grouped, "uid").select("uid", "text", "root", "size", "weight")
     sized = sized.mapInArrow(_sets, "uid bigint, text binary, root bigint, size bigint, weight bigint").withColumnRenamed("text", "shingles")
     work = tiled(sized, "size", TILE).select("root", "i", "j", "uid", "tile", "weight", "shingles")
     work = work.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "uid")
-    verified = scratch.table(work.mapInArrow(_verify(similarity), "a bigint, b bigint, links bigint"), "verified")
+    verified = scratch.table(work.mapInArrow(_verify(similarity), "a bigint, b bigint, links bigint"), "verified", rows=8 * grouped_rows, per_file=20_000)
 
     links = verified.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    classes = scratch.table(connected_components(verified.where("b is not null").select("a", "b"), scratch, "classes"), "classes")
+    classes = scratch.table(connected_components(verified.where("b is not null").select("a", "b"), scratch, "classes", verified.count()), "classes", rows=grouped_rows)
     of_rep = scratch.table(
         sets.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
         .join(links, "rep", "left")
         .select("n", "f1", "f2", "first", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")),
         "of_rep",
+        rows=many,
     )
-    heads = scratch.table(of_rep.groupBy("root").agg(F.min("first").alias("head")), "heads")
-    of_set = scratch.table(of_rep.join(heads, "root").select("n", "f1", "f2", "head", "n_links"), "of_set")
+    heads = scratch.table(of_rep.groupBy("root").agg(F.min("first").alias("head")), "heads", rows=many)
+    of_set = scratch.table(of_rep.join(heads, "root").select("n", "f1", "f2", "head", "n_links"), "of_set", rows=many)
     found = sketch.where("n > 0").select("uid", "doc_id", "n", "f1", "f2").join(of_set, ["n", "f1", "f2"])
     found = found.select("uid", "doc_id", F.col("head.doc_id").alias("class_id"), "n_links", (F.col("uid") == F.col("head.uid")).alias("kept"))
     alone = sketch.where("n = 0").select("uid", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(True).alias("kept"))

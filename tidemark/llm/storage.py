@@ -29,8 +29,11 @@ class Scratch:
         if not keep:
             _LIVE.append(self)
 
-    def table(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    def table(self, df: DataFrame, name: str, compression: str = "zstd", rows: int | None = None, per_file: int = 50_000) -> DataFrame:
+        """rows: about how many rows df has, at most. Then no more tasks write than make files of `per_file` rows, so that small tables don't become hundreds of tiny files."""
         path = f"{self.root}/{name}"
+        if rows is not None and (files := max(1, -(-rows // per_file))) < int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(files)
         df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
