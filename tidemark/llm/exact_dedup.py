@@ -20,7 +20,6 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,9 +129,11 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Names sorted contents: equal ones alike, no two others in any task alike."""
 
     def named():
-        name, last = TaskContext.get().partitionId() << 40, None
+        name, last = None, None
         for batch in batches:
-            for uid, pos, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for part, uid, pos, content in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if name is None:
+                    name = part << 40
                 if content != last:
                     name, last = name + 1, content
                 yield uid, pos, name
@@ -142,7 +143,7 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _named(places: DataFrame, contents: DataFrame) -> DataFrame:
     """Each place with the name of its content."""
-    names = contents.repartition("content").sortWithinPartitions("content").mapInArrow(_number, "leader bigint, leader_pos bigint, name bigint")
+    names = contents.repartition("content").sortWithinPartitions("content").select(F.spark_partition_id().alias("part"), "uid", "pos", "content").mapInArrow(_number, "leader bigint, leader_pos bigint, name bigint")
     found = F.coalesce("name", F.raise_error(F.lit("a block's leader has no name: the input changed between two scans")).cast("bigint"))
     return places.join(names, ["leader", "leader_pos"], "left").withColumn("name", found)
 
@@ -150,12 +151,13 @@ def _named(places: DataFrame, contents: DataFrame) -> DataFrame:
 def identities(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """uid, doc_id, n_cp, sha and the identity (round, name) of every row."""
     texts = rows(docs, "text")
+    many = texts.count()
     kind, plain = "uid bigint, doc_id bigint, pos bigint, leader bigint, leader_pos bigint, n_cp bigint, sha binary", "uid bigint, pos bigint, content binary"
     named = _named(texts.mapInArrow(_blocks("places", block), kind), texts.mapInArrow(_blocks("contents", block), plain))
     whole = named.groupBy("uid").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_cp").alias("n_cp"), F.max(F.hex("sha")).alias("sha"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names")
     )
-    whole = scratch.table(whole, "round0")
+    whole = scratch.table(whole, "round0", rows=many)
     done = whole.where(F.size("names") == 1).select("uid", "doc_id", "n_cp", "sha", F.lit(0).alias("round"), F.col("names")[0].alias("name"))
     k, left = 0, whole.where(F.size("names") > 1)
     rest = left
@@ -164,7 +166,7 @@ def identities(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFra
         part = rest.select("uid", "names")
         again = _named(part.mapInArrow(_pairs("places"), kind), part.mapInArrow(_pairs("contents"), plain))
         again = again.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names"))
-        rest = scratch.table(again, f"round{k}")
+        rest = scratch.table(again, f"round{k}", rows=many)
         found = rest.where(F.size("names") == 1).select("uid", F.lit(k).alias("round"), F.col("names")[0].alias("name"))
         done = done.unionByName(left.join(found, "uid").select("uid", "doc_id", "n_cp", "sha", "round", "name"))
         rest = rest.where(F.size("names") > 1)
@@ -176,9 +178,9 @@ def identities(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFra
 def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Per row of `docs`: doc_id, keep_id (doc_id of the row that stays), group_size, kept, text_sha256 (of the normalised text), uid."""
     scratch = Scratch(docs.sparkSession, "exact")
-    found = scratch.table(identities(docs, scratch, block), "identities")
+    found = scratch.table(identities(docs, scratch, block), "identities", rows=(many := docs.count()))
     best = F.min(F.struct((-F.col("n_cp")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
-    groups = scratch.table(found.groupBy("round", "name").agg(best.alias("best"), F.count("*").alias("group_size")), "groups")
+    groups = scratch.table(found.groupBy("round", "name").agg(best.alias("best"), F.count("*").alias("group_size")), "groups", rows=many)
     return found.join(groups, ["round", "name"]).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), F.lower("sha").alias("text_sha256"), "uid"
     )
