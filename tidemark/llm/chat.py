@@ -24,7 +24,6 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -187,10 +186,10 @@ def _stretches(batches: Iterator[pa.RecordBatch], names: list[str]):
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, k = TaskContext.get().partitionId(), 0
+    k = 0
     for b in batches:
         n = b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(k, k + n), pa.int64()), *b.columns], names=["part", "k", *b.schema.names])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(range(k, k + n), pa.int64()), *b.columns[1:]], names=["part", "k", *b.schema.names[1:]])
         k += n
 
 
@@ -200,8 +199,8 @@ def format_conversations(conversations: DataFrame, model: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
     columns = [F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("uid")]
     order = ["conv_id", "turn", F.xxhash64("text"), "uid"]
-    ordered = conversations.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "turn", "text")
-    table = scratch.table(ordered.mapInArrow(_number, "part int, k bigint, conv_id bigint, turn bigint, text string"), "ordered")
+    ordered = conversations.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "conv_id", "turn", "text")
+    table = scratch.table(ordered.mapInArrow(_number, "part int, k bigint, conv_id bigint, turn bigint, text string"), "ordered", rows=(many := conversations.count()), per_file=20_000)
 
     def reduce(batches):
         kind = pa.schema([("part", pa.int32()), ("conv_id", pa.int64()), ("first", pa.list_(pa.float64())), ("later", pa.list_(pa.float64()))])
@@ -238,8 +237,8 @@ def format_conversations(conversations: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kind.types, strict=True)], schema=kind)
 
     by_part = table.repartition("part").sortWithinPartitions("part", "k")
-    reduced = scratch.table(by_part.mapInArrow(reduce, "part int, conv_id bigint, first array<double>, later array<double>"), "reduced")
+    reduced = scratch.table(by_part.mapInArrow(reduce, "part int, conv_id bigint, first array<double>, later array<double>"), "reduced", rows=many)
     states = reduced.repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(chain, "part int, conv_id bigint, entry int, leave int")
-    states = scratch.table(states, "states").select("part", F.col("conv_id").alias("id"), "entry", "leave")
+    states = scratch.table(states, "states", rows=many).select("part", F.col("conv_id").alias("id"), "entry", "leave")
     joined = table.join(states, (table["part"] == states["part"]) & table["conv_id"].eqNullSafe(states["id"])).select(table["part"], "conv_id", "k", "turn", "text", "entry", "leave")
     return joined.repartition("part").sortWithinPartitions("part", "k").mapInArrow(decode, "conv_id bigint, turn bigint, piece int, role string, text string, rendered string")
