@@ -10,13 +10,13 @@ from tidemark.llm.token_index import Encoder, WaveletMatrix, token_index
 
 @pytest.fixture(scope="module")
 def encoder():
-    return Encoder(tokenizer_path(), keep=60, often=5)
+    return Encoder(tokenizer_path(), keep=60)
 
 
 def test_encoder_equals_the_library(encoder):
     rnd = random.Random(2)
     texts = ["", "  a", " a b", "a b  c   d", "a\n  b\n\n c", "x ", "a \nb\n ", "it's <|endoftext|> ok", "é ü  ñ", "a\u0085 b", "a  b", "你好 \U0001f600x"]
-    texts += ["".join(rnd.choice(["a", "b", " ", " ", "\n", "\t", "'s", "1", "é", "!", "ab", "word"]) for _ in range(rnd.randint(0, 16))) for _ in range(1500)]
+    texts += ["".join(rnd.choice(["a", "b", " ", " ", "\n", "\t", "'s", "1", "é", "!", ",", ".", ", ", ".\n", "\r", "\u00a0", "\x01", "ab", "word"]) for _ in range(rnd.randint(0, 16))) for _ in range(1500)]
     assert encoder.byte_level
     for k in range(0, len(texts), 100):
         ids, counts = encoder.encode(texts[k : k + 100])

@@ -17,17 +17,19 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import Scratch
-from .text import rows
+from .text import pieces, rows
 
 MAGIC = b"WVM1"
 #: Bits between two entries of the rank directory.
 STEP = 512
+#: Marks a cut inside a word while it is encoded; texts with this character are encoded as they are.
+CUT = "\x01"
 #: Tokens of a shard; a longer document has a shard of its own.
 SHARD_TOKENS = 1 << 20
 
@@ -48,10 +50,12 @@ class WaveletMatrix:
         for k in range(width - 1, -1, -1):
             bit = (values & values.dtype.type(1 << k)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
-            ranks.append(np.concatenate([[0], np.cumsum(np.add.reduceat(bit, np.arange(0, len(bit), STEP), dtype=np.int64))]).astype(np.uint32) if len(bit) else np.zeros(1, np.uint32))
-            low = values[~bit]
+            whole = np.zeros(-(-len(bit) // STEP) * STEP // 8, np.uint8)
+            whole[: len(planes[-1])] = planes[-1]
+            ranks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(whole).reshape(-1, STEP // 8).sum(axis=1, dtype=np.int64))]).astype(np.uint32))
+            low = np.flatnonzero(~bit)
             zeros.append(len(low))
-            values = np.concatenate([low, values[bit]])
+            values = np.concatenate([values.take(low), values.take(np.flatnonzero(bit))])
         return cls(len(ids), alphabet, planes, zeros, ranks)
 
     def rank1(self, level: int, i: int) -> int:
@@ -117,8 +121,8 @@ class WaveletMatrix:
         for k, (plane, zero) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             bit = np.unpackbits(plane, bitorder="little", count=self.n).view(bool)
             before = np.empty_like(values)
-            before[~bit] = values[:zero]
-            before[bit] = values[zero:] | values.dtype.type(1 << k)
+            before[np.flatnonzero(~bit)] = values[:zero]
+            before[np.flatnonzero(bit)] = values[zero:] | values.dtype.type(1 << k)
             values = before
         return self.alphabet[values]
 
@@ -157,10 +161,13 @@ class Encoder:
     """Encodes with the tokenizers library; keeps the ids of words that it has met.
 
     A byte-level BPE splits text before a single space, so a text's ids are those of its words, each with the
-    space before it. Texts in which a space follows a space or ends the text are encoded as they are.
+    space before it. It also splits between a letter and a mark that ends the word, and before a lone line end;
+    there, too, words are cut, which keeps them few. Texts in which a space follows a space or ends the text are
+    encoded as they are.
+    Beyond `keep` words, those met once are forgotten.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -183,20 +190,33 @@ class Encoder:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.pool, self.first, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.met = np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def _tidy(self) -> None:
+        """Keeps the words met more than once, or of these the more frequent half if they are too many."""
+        words, code = list(self.known), np.fromiter(self.known.values(), np.int64, len(self.known))
+        stay = code[self.met[code] > 1]
+        if len(stay) > self.keep // 2:
+            stay = stay[self.met[stay] > np.median(self.met[stay])]
+        names, size, met = [words[k] for k in stay.tolist()], self.size[stay], self.met[stay]
+        ids = self.pool[np.repeat(self.first[stay] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        self._forget()
+        self._keep(names, ids, size)
+        self.met[: len(names)] = met
+
     def _learn(self, words: list[str]) -> None:
-        """words: a middle word without the space before it; a text's first word with a space behind it."""
-        middle = [w for w in words if w[-1:] != " "]
+        """words: a middle word without the space before it; a text's first word with a space behind it; what follows a cut without a space, behind the mark of the cut."""
+        middle = [w for w in words if w[-1:] != " " and w[:1] != CUT]
         for i in range(0, len(middle), 20_000):
             part = [f" {w}" for w in middle[i : i + 20_000]]
             # Some hundred words at a time: the library takes longer over long texts.
             ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(["".join(part[k : k + 250]) for k in range(0, len(part), 250)], add_special_tokens=False)])
-            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(np.fromiter((len(w.encode()) for w in part), np.int64, len(part)))) + 1
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)))) + 1
             self._keep(middle[i : i + 20_000], ids, np.diff(ends, prepend=0))
-        first = [w for w in words if w[-1:] == " "]
+        first = [w for w in words if w[-1:] == " " or w[:1] == CUT]
         if first:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([w[:-1] for w in first], add_special_tokens=False)]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([w[1:] if w[0] == CUT else w[:-1] for w in first], add_special_tokens=False)]
             self._keep(first, np.fromiter((k for x in got for k in x), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
 
     def _keep(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
@@ -204,53 +224,58 @@ class Encoder:
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while n + m > len(self.first):
-            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+            self.first, self.size, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.met))
         self.pool[self.used : self.used + len(ids)] = ids
         self.first[n : n + m] = self.used + np.cumsum(size) - size
         self.size[n : n + m] = size
         self.used += len(ids)
         self.known.update(zip(words, range(n, n + m), strict=True))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each)."""
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each). Nulls are empty."""
+        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
         if len(self.known) > self.keep:
-            self._forget()
-        plain = [self.byte_level and "  " not in t and t[:1] != " " and t[-1:] != " " for t in texts]
-        split: list[str] = []
-        counts, heads = [], []
-        for text, ok in zip(texts, plain, strict=True):
-            if ok and text:
-                parts = text.split(" ")
-                heads.append(len(split))
-                split += parts
-                counts.append(len(parts))
-            else:
-                counts.append(0)
-        out_counts = np.zeros(len(texts), np.int64)
-        ids = np.zeros(0, np.uint32)
-        if split:
-            for h in heads:
-                split[h] += " "
-            codes = np.fromiter(map(self.known.get, split, repeat(-1)), np.int64, len(split))
-            missing = np.flatnonzero(codes < 0)
-            if len(missing):
-                words = [split[k] for k in missing.tolist()]
-                self._learn(list(dict.fromkeys(words)))
-                codes[missing] = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            self._tidy()
+        odd = pc.or_(pc.or_(pc.match_substring(column, "  "), pc.match_substring(column, CUT)), pc.or_(pc.starts_with(column, " "), pc.ends_with(column, " "))).to_numpy(zero_copy_only=False) | (not self.byte_level)
+        full = pc.binary_length(column).to_numpy() > 0
+        plain = full & ~odd
+        counts, ids = np.zeros(len(column), np.int64), np.zeros(0, np.uint32)
+        if plain.any():
+            cut = pc.replace_substring_regex(column.filter(pa.array(plain)), r"(\pL)([.,])([ \n]|$)", rf"\1 {CUT}\2\3")
+            cut = pc.replace_substring_regex(cut, r"([\pL\pN.,;:!?])\n([\pL\pN])", f"\\1 {CUT}\n\\2")
+            split = pc.split_pattern(cut, " ")
+            at = split.offsets.to_numpy().astype(np.int64)
+            words = split.flatten().dictionary_encode()
+            place, names = words.indices.to_numpy(), words.dictionary.to_pylist()
+            codes = self._codes(names)[place]
+            # A text's first word has no space before it; its key ends in one, which no other key does.
+            first = at[:-1] - at[0]
+            codes[first] = self._codes([names[k] + " " for k in place[first].tolist()])
+            seen = np.bincount(codes)
+            self.met[: len(seen)] += seen
             size = self.size[codes]
             ends = np.cumsum(size)
-            ids = self.pool[np.repeat(self.first[codes] - (ends - size), size) + np.arange(int(ends[-1]))]
+            where = np.repeat((self.first[codes] - (ends - size)).astype(np.int32), size)
+            where += np.arange(len(where), dtype=np.int32)
+            ids = self.pool.take(where)
+            counts[plain] = np.diff(np.concatenate([[0], ends])[at - at[0]])
+        rest = np.flatnonzero(full & odd).tolist()
+        if rest:
+            got = {k: np.array(e.ids, np.uint32) for k, e in zip(rest, self.tokenizer.encode_batch([column[k].as_py() for k in rest], add_special_tokens=False), strict=True)}
             at = np.concatenate([[0], np.cumsum(counts)])
-            total = np.concatenate([[0], ends])
-            out_counts = total[at[1:]] - total[at[:-1]]
-        odd = [k for k, (t, ok) in enumerate(zip(texts, plain, strict=True)) if t and not ok]
-        if odd:
-            got = {k: np.array(e.ids, np.uint32) for k, e in zip(odd, self.tokenizer.encode_batch([texts[k] for k in odd], add_special_tokens=False), strict=True)}
-            at = np.concatenate([[0], np.cumsum(out_counts)])
-            ids = np.concatenate([got[k] if k in got else ids[at[k] : at[k + 1]] for k in range(len(texts))])
+            ids = np.concatenate([got[k] if k in got else ids[at[k] : at[k + 1]] for k in range(len(column))])
             for k, x in got.items():
-                out_counts[k] = len(x)
-        return ids, out_counts
+                counts[k] = len(x)
+        return ids, counts
+
+    def _codes(self, words: list[str]) -> np.ndarray:
+        """The number of each word; new ones are learned."""
+        codes = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if len(missing := np.flatnonzero(codes < 0)):
+            new = list(map(words.__getitem__, missing.tolist()))
+            self._learn(list(dict.fromkeys(new)))
+            codes[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        return codes
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -270,7 +295,7 @@ def _write(path: str, end_id: int, shard_tokens: int):
         return pa.RecordBatch.from_pydict({"part": [part], "block": [block], "before": [before], "n_tokens": [len(ids)], "doc_ids": [doc_ids], "counts": [counts.tolist()], "file": [WaveletMatrix.build(ids).to_bytes()]}, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, enc = TaskContext.get().partitionId(), encoder(path)
+        part, enc = -1, encoder(path)
         held: list[tuple[np.ndarray, list, np.ndarray]] = []
         block = before = waiting = 0
 
@@ -282,22 +307,19 @@ def _write(path: str, end_id: int, shard_tokens: int):
             return out
 
         for batch in batches:
-            texts, doc_ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j] or "") <= 1 << 20):
-                    size += len(texts[j] or "")
-                    j += 1
-                ids, counts = enc.encode([t or "" for t in texts[i:j]])
-                at = np.cumsum(counts)
-                ids = np.insert(ids, at, end_id)
+            if part < 0 and batch.num_rows:
+                part = batch.column(2)[0].as_py()
+            for i, j, _, _ in pieces(batch.column(1), 1 << 22):
+                ids, counts = enc.encode(batch.column(1)[i:j])
+                places = np.ones(len(ids) + len(counts), bool)
                 counts = counts + 1
-                held.append((ids, doc_ids[i:j], counts))
-                waiting += len(ids)
+                places[np.cumsum(counts) - 1] = False
+                with_end = np.full(len(places), end_id, np.uint32)
+                with_end[places] = ids
+                held.append((with_end, batch.column(0)[i:j].to_pylist(), counts))
+                waiting += len(with_end)
                 if waiting >= shard_tokens:
                     yield flush()
-                i = j
         if held:
             yield flush()
 
@@ -306,9 +328,9 @@ def _write(path: str, end_id: int, shard_tokens: int):
 
 def write_shards(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encodes the texts, sorted by doc_id, and writes the shards: part, block, before (ids of the part before the shard), n_tokens, doc_ids, counts, file."""
-    ordered = rows(docs, "text").repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid").select("doc_id", "text")
+    ordered = rows(docs, "text").repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid").select("doc_id", "text", F.spark_partition_id().alias("part"))
     shards = ordered.mapInArrow(_write(tokenizer, end_id, shard_tokens), "part int, block int, before bigint, n_tokens bigint, doc_ids array<bigint>, counts array<bigint>, file binary")
-    return scratch.table(shards, "shards", compression="none")
+    return scratch.table(shards, "shards", compression="none", rows=docs.count(), per_file=4_000)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
