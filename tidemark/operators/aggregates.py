@@ -57,7 +57,8 @@ def quality(members: DataFrame, key: list[str], column: str) -> DataFrame:
     limits = members.groupBy(*key).agg(F.percentile(column, 0.1).alias("__p10"), F.percentile(column, 0.9).alias("__p90"))
     width = F.col("__p90") - F.col("__p10")
     scaled = F.when(width > 1e-9, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(column) - F.col("__p10")) / F.nullif(width, F.lit(0.0))))).otherwise(F.col(column))
-    return members.join(limits, key).groupBy(*key).agg(F.avg(scaled).alias("quality_avg"))
+    # least() and greatest() skip nulls; unknown values must stay out of the mean.
+    return members.join(limits, key).groupBy(*key).agg(F.avg(F.when(F.col(column).isNotNull(), scaled)).alias("quality_avg"))
 
 
 def devices(members: DataFrame, key: list[str], device: str = "device", stable: float = 0.6) -> DataFrame:

@@ -29,8 +29,8 @@ def item_quality(items: DataFrame) -> DataFrame:
     exposure = scoring.weighted_mean([(scoring.balanced(scoring.clamp01(c("brightness")), 0.55, 0.35), 0.6), (scoring.clamp01(c("contrast")), 0.4)])
     out = items.withColumns({"exposure_score": exposure, "noise_score": scoring.iso_score(c("iso"))})
     raw = scoring.weighted_mean([(sharp, 0.35), (sharp, 0.15), (c("exposure_score"), 0.3), (c("noise_score"), 0.2)])
-    out = out.withColumn("quality_score", F.when(clip > 0, F.greatest(F.lit(0.0), raw * (1 - F.least(F.lit(1.0), CLIPPING_WEIGHT * clip)))).otherwise(raw))
-    noise_limit = F.greatest(F.lit(NOISE_FLOOR), LOW["noise"] - (NOISE_YEAR - F.year("ts")) * NOISE_DECAY)
+    out = out.withColumn("quality_score", F.when(raw.isNotNull() & (clip > 0), F.greatest(F.lit(0.0), raw * (1 - F.least(F.lit(1.0), CLIPPING_WEIGHT * clip)))).otherwise(raw))
+    noise_limit = F.greatest(F.lit(NOISE_FLOOR), LOW["noise"] - F.greatest(F.lit(0), NOISE_YEAR - F.year("ts")) * NOISE_DECAY)
     rules = [c("quality_score") < LOW["score"], c("width") * c("height") / 1e6 < LOW["megapixels"], sharp < LOW["sharpness"], c("exposure_score") < LOW["exposure"], c("noise_score") < noise_limit, clip > LOW["clipping"]]
     low = F.lit(False)
     for r in rules:
@@ -60,7 +60,7 @@ def content_kind(tokens: Column, sharpness: Column, colour: Column, contrast: Co
         "map": add((any_of("map", "navigation", "atlas"), 0.55), (colour >= 0.45, 0.2)),
         "document": add((any_of("document", "scan", "receipt", "invoice"), 0.5), (colour <= 0.2, 0.2), (contrast >= 0.55, 0.15), ((brightness <= 0.18) | (brightness >= 0.82), 0.15)),
     }
-    rows = F.array(*[F.struct(F.coalesce(F.least(F.lit(1.0), s), F.lit(0.0)).alias("confidence"), F.lit(-k).alias("order"), F.lit(name).alias("kind")) for k, (name, s) in enumerate(scores.items())])
+    rows = F.array(*[F.struct(F.least(F.lit(1.0), F.coalesce(s, F.lit(0.0))).alias("confidence"), F.lit(-k).alias("order"), F.lit(name).alias("kind")) for k, (name, s) in enumerate(scores.items())])
     best = F.array_max(rows)
     return F.when(best["confidence"] >= 0.5, F.struct(best["kind"].alias("kind"), best["confidence"].alias("confidence")))
 

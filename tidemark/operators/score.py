@@ -55,7 +55,7 @@ def time_coverage(timed_share: Column, seconds: Column) -> Column:
 
 def liveliness(video: Column, live: Column, motion: Column, targets: tuple[float, float, float] = (0.3, 0.2, 0.4), weights: tuple[float, float, float] = (0.45, 0.25, 0.3)) -> Column:
     """Shares of videos, live photos and moving items against what is aimed at."""
-    return weighted_mean([(F.least(F.lit(1.0), x / t), w) for x, t, w in zip((video, live, motion), targets, weights, strict=True)])
+    return weighted_mean([(F.when(x.isNotNull(), F.least(F.lit(1.0), x / t)), w) for x, t, w in zip((video, live, motion), targets, weights, strict=True)])
 
 
 def weighted(parts: dict[str, Column], weights: dict[str, float] | None = None) -> Column:
