@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .text import WORD_BYTES, hash_words, mix, pieces, segment
 
 #: Bounds of what the fit sees.
-SAMPLE_DOCS, SAMPLE_WORDS, RUN = 1200, 120, 12
+SAMPLE_DOCS, SAMPLE_WORDS, RUN = 800, 96, 12
 #: Languages at most; more distinct labels are an error in the data.
 LANGUAGES = 256
 CHAIN = 64
@@ -186,6 +186,12 @@ class Model:
         return [self.languages[b] if k else "und" for b, k in zip(best.tolist(), ok.tolist(), strict=True)], np.where(ok, np.clip(mean[np.arange(len(best)), best], 0, 1), 0.0)
 
 
+def _sums(weights: np.ndarray, gram_row: np.ndarray, first: np.ndarray, rest_row: np.ndarray, i: int, j: int) -> np.ndarray:
+    """Scores of the words i to j."""
+    end = first[j] if j < len(first) else len(gram_row)
+    return np.add.reduceat(weights[gram_row[first[i] : end]], first[i:j] - first[i], axis=0) + weights[rest_row[i:j]].sum(axis=1)
+
+
 def fit(samples: list[tuple[str, str]], epochs: int = 24, rate: float = 0.15, penalty: float = 1e-6, seed: int = 7) -> Model | None:
     """Learns weights and transitions from (language, run of words) by Adam on the chains' log-likelihood."""
     languages = sorted({k for k, _ in samples})
@@ -218,16 +224,17 @@ def fit(samples: list[tuple[str, str]], epochs: int = 24, rate: float = 0.15, pe
     truth = truth.reshape(chains, places)
 
     used, row = np.unique(np.concatenate([grams, rest.ravel()]), return_inverse=True)
+    row = row.astype(np.int32)
     gram_row, rest_row = row[: len(grams)], row[len(grams) :].reshape(rest.shape)
     n, k = len(used), len(languages)
     weights, transition = np.zeros((n, k)), np.zeros((k, k))
     state = [np.zeros_like(x) for x in (weights, weights, transition, transition)]
-    word_of_gram = np.repeat(np.arange(len(size)), size)
+    word_of_gram = np.repeat(np.arange(len(size), dtype=np.int32), size)
     both = live[:, 1:] & live[:, :-1]
     seen = np.zeros((k, k))
     np.add.at(seen, (truth[:, :-1][both], truth[:, 1:][both]), 1)
     for epoch in range(1, epochs + 1):
-        scores = np.add.reduceat(weights[gram_row], first, axis=0) + weights[rest_row].sum(axis=1)
+        scores = np.concatenate([_sums(weights, gram_row, first, rest_row, i, min(i + 20_000, len(first))) for i in range(0, len(first), 20_000)])
         chain = np.zeros((chains * places, k))
         chain[: len(flat)] = scores[flat]
         marginal, pairs, _ = forward_backward(chain.reshape(chains, places, k), length, transition)
