@@ -142,3 +142,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     conversations = _table(spark, sf_dir, "conversations")
     return format_conversations(conversations, learn(conversations, crc_mod(F.col("conv_id"), 5) != 0))
+
+
+#: All pairs by shared shingles, and components by following links: right, but only for small tables.
+ORACLE_SQL["op7_jaccard_join"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
+  FROM d
+),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE shared >= 0.8 * (x.n + y.n - shared) - 1e-9),
+r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id),
+c AS (SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id),
+l AS (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a)
+SELECT c.doc_id, class_id, coalesce(n_links, 0) AS n_links, c.doc_id = class_id AS kept FROM c LEFT JOIN l USING (doc_id)
+"""
