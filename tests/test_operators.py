@@ -168,15 +168,36 @@ def test_dominance_equals_the_pass_in_order(spark):
 
 def test_annotations_need_unused_members(spark):
     drafts = spark.createDataFrame([(1, "burst", [1, 2]), (2, "trip", [1]), (3, "burst", [2, 3]), (4, "burst", []), (5, "burst", [1, 2, 9])], "draft_id bigint, algorithm string, members array<bigint>")
-    assert pairs(consolidate.prune_annotations(drafts, {"burst": 0.5})) == [(1,), (2,), (3,)]
-    assert pairs(consolidate.prune_annotations(drafts, {"burst": 0.51})) == [(2,), (3,)]
+    assert pairs(consolidate.prune_annotations(drafts, {"burst": 0.5}, Scratch(spark, "t"))) == [(1,), (2,), (3,)]
+    assert pairs(consolidate.prune_annotations(drafts, {"burst": 0.51}, Scratch(spark, "t"))) == [(2,), (3,)]
 
 
 def test_member_caps_and_covers(spark):
     schema = "draft_id bigint, grouping string, score double, priority int, members array<bigint>, cover bigint"
     drafts = spark.createDataFrame([(1, "g", 0.9, 0, [1, 2], 2), (2, "g", 0.8, 0, [1, 3], 3), (3, "g", 0.7, 0, [1, 4], 4), (4, "g", 0.6, 0, [1, 5], 1), (5, "h", 0.1, 0, [1], 1)], schema)
     # 3 finds item 1 used up; 4 has it as its cover and evicts draft 1.
-    assert pairs(consolidate.per_member_cap(drafts, 2)) == [(2,), (4,), (5,)]
+    assert pairs(consolidate.per_member_cap(drafts, Scratch(spark, "t"), 2)) == [(2,), (4,), (5,)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_components_decide_like_one_pass(spark, seed):
+    rnd = random.Random(seed)
+    drafts = [(k, rnd.choice(("burst", "trip", "device")), sorted(rnd.sample(range(120), rnd.randint(1, 5)))) for k in range(60)]
+    least, used, kept = {"burst": 0.5, "device": 0.7}, set(), []
+    for d, a, m in sorted(drafts, key=lambda x: (x[1] in least, x[0])):
+        if a not in least or sum(x not in used for x in m) / len(m) >= least[a]:
+            kept.append((d,))
+            used.update(m)
+    rows = spark.createDataFrame(drafts, "draft_id bigint, algorithm string, members array<bigint>")
+    assert pairs(consolidate.prune_annotations(rows, least, Scratch(spark, "t"))) == sorted(kept)
+    count, kept = {}, []
+    for d, a, m in sorted(drafts, key=lambda x: (-(x[0] % 7), -len(x[2]), x[0])):
+        if all(count.get((a, x), 0) < 2 for x in m):
+            kept.append((d,))
+            for x in m:
+                count[a, x] = count.get((a, x), 0) + 1
+    capped = rows.select("draft_id", F.col("algorithm").alias("grouping"), (F.col("draft_id") % 7).cast("double").alias("score"), F.lit(0).alias("priority"), "members", F.lit(-1).cast("bigint").alias("cover"))
+    assert pairs(consolidate.per_member_cap(capped, Scratch(spark, "t"), 2)) == sorted(kept)
 
 
 def test_nesting_prefers_priority(spark):

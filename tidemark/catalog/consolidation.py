@@ -86,13 +86,13 @@ def overlap_actions(spark, d):
 
 @query()
 def annotation_pruning(spark, d):
-    return C.prune_annotations(drafts(spark, d).withColumn("members", F.transform("members", lambda m: m % 40 + 40 * (F.col("draft_id") % 700))), {"burst": 0.35, "session": 0.2})
+    return C.prune_annotations(drafts(spark, d).withColumn("members", F.transform("members", lambda m: m % 40 + 40 * (F.col("draft_id") % 700))), {"burst": 0.35, "session": 0.2}, Scratch(spark, "annotations"))
 
 
 @query()
 def per_member_caps(spark, d):
     made = drafts(spark, d).select("draft_id", F.col("algorithm").alias("grouping"), "score", "priority", F.transform("members", lambda m: m % 40 + 40 * (F.col("draft_id") % 200)).alias("members"))
-    return C.per_member_cap(made.withColumn("cover", F.col("members")[0]))
+    return C.per_member_cap(made.withColumn("cover", F.col("members")[0]), Scratch(spark, "caps"))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.density import components
 from tidemark.operators.islands import scan_sorted
 from tidemark.sources.scratch import Scratch
 
@@ -82,8 +83,16 @@ def overlap_actions(pairs: DataFrame, drafts: DataFrame, same: float = 0.45, any
     return both.where(hits).select(F.when(left, F.col("a")).otherwise(F.col("b")).alias("winner"), F.when(left, F.col("b")).otherwise(F.col("a")).alias("loser"), F.when(merge, "merge").otherwise("drop").alias("action"))
 
 
-def prune_annotations(drafts: DataFrame, annotate: dict[str, float]) -> DataFrame:
-    """(draft_id) of the drafts that stay: annotating algorithms need a least share of members that no draft kept so far uses; other drafts always stay and use theirs first. Drafts (draft_id, algorithm, members) are taken in the order of draft_id; their number is bounded by the job."""
+def linked(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(draft_id, component) of drafts that share members (draft_id, member), directly or by others. Decisions of different components don't touch."""
+    first = rows.groupBy("member").agg(F.min("draft_id").alias("b"))
+    edges = rows.join(first, "member").where("draft_id != b").select(F.col("draft_id").alias("a"), "b").distinct()
+    roots = components(scratch.table(edges, f"{name}_links"), scratch, name)
+    return rows.select("draft_id").distinct().join(roots.withColumnRenamed("node", "draft_id"), "draft_id", "left").select("draft_id", F.coalesce("root", "draft_id").alias("component"))
+
+
+def prune_annotations(drafts: DataFrame, annotate: dict[str, float], scratch: Scratch) -> DataFrame:
+    """(draft_id) of the drafts that stay: annotating algorithms need a least share of members that no draft kept so far uses; other drafts always stay and use theirs first. Annotating drafts (draft_id, algorithm, members) are taken in the order of draft_id, each component of drafts with common members on its own."""
 
     def start(_):
         used: set = set()
@@ -91,23 +100,25 @@ def prune_annotations(drafts: DataFrame, annotate: dict[str, float]) -> DataFram
         def step(row):
             if row is None:
                 return
-            members = row["members"] or []
-            if row["later"]:
-                free = sum(m not in used for m in members)
-                if not members or free / len(members) < annotate[row["algorithm"]]:
-                    return
-            used.update(members)
-            yield {"draft_id": row["draft_id"]}
+            members = row["members"]
+            free = sum(m["free"] and m["member"] not in used for m in members)
+            if members and free / len(members) >= annotate[row["algorithm"]]:
+                used.update(m["member"] for m in members)
+                yield {"draft_id": row["draft_id"]}
 
         return step
 
     later = F.col("algorithm").isin(*annotate) if annotate else F.lit(False)
-    rows = drafts.select(F.lit(0).alias("one"), later.cast("int").alias("later"), "draft_id", "algorithm", F.array_distinct("members").alias("members"))
-    return scan_sorted(rows, ["one"], ["later", "draft_id"], start, "draft_id bigint")
+    stay = drafts.where(~later).select("draft_id")
+    taken = drafts.where(~later).select(F.explode("members").alias("member")).distinct().withColumn("taken", F.lit(True))
+    rows = drafts.where(later).select("draft_id", "algorithm", F.explode(F.array_distinct("members")).alias("member"))
+    marked = rows.join(taken, "member", "left").groupBy("draft_id", "algorithm").agg(F.collect_list(F.struct("member", F.col("taken").isNull().alias("free"))).alias("members"))
+    keyed = scratch.table(marked.join(linked(rows.select("draft_id", "member"), scratch, "annotations"), "draft_id"), "keyed_annotations")
+    return stay.unionByName(scan_sorted(keyed, ["component"], ["draft_id"], start, "draft_id bigint"))
 
 
-def per_member_cap(drafts: DataFrame, cap: int = 2) -> DataFrame:
-    """(draft_id) of the drafts that stay when in each group, best first, a member may be in `cap` accepted drafts. A draft whose cover is used up evicts one accepted draft that has it, but not as its own cover. Drafts have draft_id, grouping, score, priority, members, cover; sub-stories aren't given here."""
+def per_member_cap(drafts: DataFrame, scratch: Scratch, cap: int = 2) -> DataFrame:
+    """(draft_id) of the drafts that stay when in each group, best first, a member may be in `cap` accepted drafts. A draft whose cover is used up evicts one accepted draft that has it, but not as its own cover. Drafts have draft_id, grouping, score, priority, members, cover; sub-stories aren't given here. Each component of a group's drafts with common members is gone through on its own."""
 
     def start(_):
         users: dict = {}
@@ -136,7 +147,9 @@ def per_member_cap(drafts: DataFrame, cap: int = 2) -> DataFrame:
         return lambda row: step(row)
 
     rows = drafts.select("grouping", (-F.col("score")).alias("s"), (-F.col("priority")).alias("p"), (-F.size("members")).alias("z"), "draft_id", F.array_sort(F.array_distinct("members")).alias("members"), "cover")
-    return scan_sorted(rows, ["grouping"], ["s", "p", "z", "draft_id"], start, "draft_id bigint")
+    pairs = rows.select("draft_id", F.explode("members").alias("m"), "grouping").select("draft_id", F.struct("grouping", "m").alias("member"))
+    keyed = scratch.table(rows.join(linked(pairs, scratch, "caps"), "draft_id"), "keyed_caps")
+    return scan_sorted(keyed, ["component"], ["s", "p", "z", "draft_id"], start, "draft_id bigint")
 
 
 def member_ranks(members: DataFrame) -> DataFrame:
