@@ -9,7 +9,7 @@
    their whole signatures; those that agree in too few places to be similar are dropped (`least_agreement`).
    What is left joins representatives into candidate groups.
 3. Verification. Within a candidate group all pairs are verified exactly, from the sets. A group is cut into
-   tiles of TILE members and each pair of tiles is one unit of work, so no task holds a large group and no
+   tiles of TILE members (fewer, if their sets are large) and each pair of tiles is one unit of work, so no task holds a large group and no
    pairs are written: a unit returns each member's number of links and a spanning forest of its links.
 4. Classes are the connected components of the verified links.
 
@@ -36,8 +36,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 TREES, DEPTH = 16, 4
 #: Least share of pairs at the threshold itself that meet in some tree; more similar ones are found more surely.
 RECALL = 0.9999
-#: Members of a tile of a trie node and of a candidate group.
-NODE_TILE, TILE = 1024, 512
+#: Members of a tile of a trie node and of a candidate group, and shingles of the latter, by its largest set.
+NODE_TILE, TILE, TILE_SHINGLES = 1024, 512, 1_000_000
 
 _RANDOM = np.random.default_rng(20240229)
 _XOR = _RANDOM.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
@@ -191,11 +191,11 @@ def _compare(least: int):
     return lambda batches: _edge_batches(edges(batches))
 
 
-def tiled(df: DataFrame, size: str, tile: int, key: str = "uid") -> DataFrame:
-    """Adds tile (of the row), i and j: a row for each pair of tiles that its own tile is in. `size` is the number of its group's rows."""
-    n = F.ceil(F.col(size) / tile).cast("int")
+def tiled(df: DataFrame, tiles: str, key: str = "uid") -> DataFrame:
+    """Adds tile (of the row), i and j: a row for each pair of tiles that its own tile is in. `tiles` is the number of its group's tiles."""
+    n = F.col(tiles)
     df = df.withColumn("tile", F.pmod(F.xxhash64(key), n).cast("int"))
-    return df.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1))).select("*", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).drop("other", size)
+    return df.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1))).select("*", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).drop("other", tiles)
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str, most: int | None = None) -> DataFrame:
@@ -289,24 +289,27 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     # One representative for each set; its weight is the number of rows that have the set.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
     sets = scratch.table(sketch.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("uid").alias("rep"), F.count("*").alias("weight"), first.alias("first")), "sets", rows=many)
-    reps = sketch.where("n > 0").select("uid", "sig").join(sets.select(F.col("rep").alias("uid"), "weight"), "uid")
+    reps = sketch.where("n > 0").select("uid", "n", "sig").join(sets.select(F.col("rep").alias("uid"), "weight"), "uid")
     reps = scratch.table(reps, "reps", rows=many)
 
     places = reps.select("uid", "sig").mapInArrow(_prefixes(prefix_length(similarity, recall)), "uid bigint, tree int, prefix bigint")
     nodes = scratch.table(places.groupBy("tree", "prefix").agg(F.count("*").alias("size")).where("size > 1"), "nodes", rows=TREES * many, per_file=1_000_000)
     many_shared = nodes.agg(F.sum("size")).first()[0] or 0
     shared = scratch.table(places.join(nodes, ["tree", "prefix"]), "shared", rows=many_shared, per_file=200_000)
-    under = tiled(shared.join(reps.select("uid", "sig"), "uid"), "size", NODE_TILE).select("tree", "prefix", "i", "j", "uid", "tile", "sig")
+    shared = shared.withColumn("tiles", F.ceil(F.col("size") / NODE_TILE).cast("int"))
+    under = tiled(shared.join(reps.select("uid", "sig"), "uid"), "tiles").select("tree", "prefix", "i", "j", "uid", "tile", "sig")
     under = under.repartition("tree", "prefix", "i", "j").sortWithinPartitions("tree", "prefix", "i", "j", "uid")
     candidates = connected_components(under.mapInArrow(_compare(least_agreement(similarity)), "a bigint, b bigint"), scratch, "candidates", many_shared)
 
     candidates = scratch.table(candidates, "candidates", rows=many)
     grouped_rows = candidates.count()
-    sizes = scratch.table(candidates.groupBy("root").agg(F.count("*").alias("size")), "candidate_sizes", rows=grouped_rows)
-    grouped = candidates.join(sizes, "root").select(F.col("node").alias("uid"), "root", "size").join(reps.select("uid", "weight"), "uid")
-    sized = texts.select("uid", "text").join(grouped, "uid").select("uid", "text", "root", "size", "weight")
-    sized = sized.mapInArrow(_sets, "uid bigint, text binary, root bigint, size bigint, weight bigint").withColumnRenamed("text", "shingles")
-    work = tiled(sized, "size", TILE).select("root", "i", "j", "uid", "tile", "weight", "shingles")
+    candidates = candidates.withColumnRenamed("node", "uid").join(reps.select("uid", "n", "weight"), "uid")
+    fit = F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(F.lit(TILE_SHINGLES) / F.max("n"))))
+    sizes = scratch.table(candidates.groupBy("root").agg(F.ceil(F.count("*") / fit).cast("int").alias("tiles")), "candidate_sizes", rows=grouped_rows)
+    grouped = candidates.join(sizes, "root").select("uid", "root", "tiles", "weight")
+    sized = texts.select("uid", "text").join(grouped, "uid").select("uid", "text", "root", "tiles", "weight")
+    sized = sized.mapInArrow(_sets, "uid bigint, text binary, root bigint, tiles int, weight bigint").withColumnRenamed("text", "shingles")
+    work = tiled(sized, "tiles").select("root", "i", "j", "uid", "tile", "weight", "shingles")
     work = work.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "uid")
     verified = scratch.table(work.mapInArrow(_verify(similarity), "a bigint, b bigint, links bigint"), "verified", rows=8 * grouped_rows, per_file=20_000)
 
