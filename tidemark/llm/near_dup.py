@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     """Per row of `docs`: uid, doc_id, class_id, n_links (other rows that are similar to it), kept (one of each class: the smallest doc_id, then the first row)."""
     scratch = Scratch(docs.sparkSession, "near")
     texts = rows(docs, "text")
-    sketch = scratch.table(texts.mapInArrow(_sketch, "uid bigint, doc_id bigint, n bigint, f1 bigint, f2 bigint, sig binary"), "sketch")
+    sketch = scratch.table(texts.mapInArrow(_sketch, "uid bigint, doc_id bigint, n bigint, f1 bigint, f2 bigint, sig binary"), "sketch", rows=docs.count(), per_file=10_000)
 
     many = sketch.count()
     # One representative for each set; its weight is the number of rows that have the set.
