@@ -106,7 +106,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .text import crc_mod
 
     scratch = Scratch(spark, "quality")
-    described = scratch.table(describe(_table(spark, sf_dir, "documents"), "doc_id"), "described")
+    docs = _table(spark, sf_dir, "documents")
+    described = scratch.table(describe(docs, "doc_id"), "described", rows=docs.count(), per_file=10_000)
     rest = crc_mod(F.col("doc_id"), 3)
     labels = _table(spark, sf_dir, "labels").where(rest != 1).groupBy("doc_id").agg(F.min("quality").alias("label"))
     model = learn(described.join(labels, "doc_id"))
