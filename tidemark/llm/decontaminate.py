@@ -252,7 +252,7 @@ def _query(given, slop: int):
 def build_index(docs: DataFrame, terms: dict[bytes, int], scratch: Scratch, name: str = "index", segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """Stores the postings of the given terms in `docs`, segment by segment."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
-    return scratch.table(rows(docs, "text").mapInArrow(_index(shared, segment_words), INDEX), name, compression="none")
+    return scratch.table(rows(docs, "text").mapInArrow(_index(shared, segment_words), INDEX), name, compression="none", rows=docs.count(), per_file=10_000)
 
 
 def search(index: DataFrame, items: Items, slop: int = SLOP) -> DataFrame:
