@@ -122,7 +122,7 @@ def mixture(docs: DataFrame, keep: float = 0.5, margins: dict[str, float] | None
     """Per row: uid, doc_id, the margins' values, n_tokens, weight, prob, sampled, sample_weight (what a sampled document counts for to meet the targets)."""
     margins = margins or MARGINS
     scratch = Scratch(docs.sparkSession, "mixing")
-    known = scratch.table(described(docs), "described")
+    known = scratch.table(described(docs), "described", rows=docs.count(), per_file=10_000)
     cells = scratch.table(known.groupBy(*margins).agg(F.sum("n_tokens").alias("mass")), "cells")
     if cells.count() <= cells_most:
         got = cells.toPandas()
