@@ -22,6 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Kinds of elements.
 BLOCKS = frozenset(
@@ -482,4 +483,4 @@ def extract_pages(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
                 texts = ["\n\n".join(b) for b in extract(part.column(2).to_pylist(), shared.value)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=schema)
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")

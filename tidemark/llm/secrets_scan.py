@@ -23,6 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Kinds in the order that breaks ties, their patterns and least lengths.
 KINDS = ("assign", "access", "hex", "model")
@@ -231,4 +232,4 @@ def secret_scan(docs: DataFrame, net: Network | None = None) -> DataFrame:
                     rows.append((doc_id, *(sum(s[2] == k for s in base) for k in KINDS[:3]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(found), [round(s[3], 6) for s in found]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, scores array<double>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, scores array<double>")

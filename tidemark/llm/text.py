@@ -24,7 +24,7 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 def rows(docs: DataFrame, *columns: str, key: str = "doc_id") -> DataFrame:
     """The named columns and uid, a number of the row. uid is the same each time the same files are read."""
-    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("doc_id"), *[F.col(c) for c in columns])
+    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).cast("bigint").alias("doc_id"), *[F.col(c) for c in columns])
 
 
 def crc_mod(key: Column, n: int) -> Column:
