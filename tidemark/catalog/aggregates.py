@@ -151,8 +151,8 @@ def first_last_place(spark, d):
     return items(spark, d).where("lat is not null").groupBy("user_id", "day").agg(F.min_by("lat", order).alias("first_lat"), F.max_by("lat", order).alias("last_lat"))
 
 
-@query(f"WITH {ITEMS} SELECT * FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id, day ORDER BY t, item_id) AS rn, day FROM items) WHERE rn <= 3 ORDER BY rn, day, user_id, item_id LIMIT 400", text="day")
+@query(f"WITH {ITEMS} SELECT * FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id, day ORDER BY t, item_id) AS rn, day FROM items) WHERE rn <= 3", text="day")
 def round_robin_days(spark, d):
     from tidemark.operators.curate import interleave
 
-    return interleave(items(spark, d).select("user_id", "item_id", "t", "day"), ["user_id", "day"], ["t", "item_id"], 3).orderBy("rn", "day", "user_id", "item_id").limit(400).select("user_id", "item_id", "rn", "day")
+    return interleave(items(spark, d).select("user_id", "item_id", "t", "day"), ["user_id", "day"], ["t", "item_id"], 3).select("user_id", "item_id", "rn", "day")

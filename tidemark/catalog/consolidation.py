@@ -45,12 +45,12 @@ def duplicate_collapse(spark, d):
     return C.collapse_duplicates(drafts(spark, d), ["algorithm", "members"], [F.desc("score"), F.desc("n")]).select("draft_id")
 
 
-@query(f"WITH {_DRAFTS}, f AS (SELECT draft_id, algorithm, sha1(array_to_string(members, ',')) AS fingerprint FROM drafts) SELECT algorithm, fingerprint, min(draft_id) AS draft_id FROM f GROUP BY ALL HAVING (algorithm, fingerprint) NOT IN (SELECT (algorithm, fingerprint) FROM f WHERE draft_id % 10 = 0)")
+@query(f"WITH {_DRAFTS}, f AS (SELECT draft_id, algorithm, sha1(array_to_string(members, ',')) AS fingerprint FROM drafts) SELECT algorithm, fingerprint, min(draft_id) AS draft_id FROM f GROUP BY ALL HAVING (algorithm, fingerprint) NOT IN (SELECT (algorithm, fingerprint) FROM f WHERE algorithm = 'burst')")
 def insert_if_absent(spark, d):
     from tidemark.functions.hashing import fingerprint
 
     made = drafts(spark, d).select("draft_id", "algorithm", fingerprint(F.col("members")).alias("fingerprint"))
-    return C.insert_new(made, made.where("draft_id % 10 = 0")).select("algorithm", "fingerprint", "draft_id")
+    return C.insert_new(made, made.where("algorithm = 'burst'")).select("algorithm", "fingerprint", "draft_id")
 
 
 _SHARED = "i AS (SELECT a.draft_id AS a, b.draft_id AS b, count(*) AS shared FROM m a JOIN m b ON a.member = b.member AND a.draft_id < b.draft_id GROUP BY ALL)"

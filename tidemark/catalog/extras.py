@@ -52,10 +52,10 @@ def poi_radius(spark, d):
     return s.select("s_suppkey", F.round(enrich.poi_radius(lat, lon, lat - 0.002, lon - 0.001, lat + F.col("s_nationkey") / 10000, lon + 0.003), 4).alias("radius_m"))
 
 
-@query(f"WITH {ITEMS}, s AS (SELECT s_name AS name, ('0x' || substr(md5(s_name), 1, 16))::UBIGINT AS g FROM supplier WHERE s_suppkey <= 20) SELECT item_id AS draft_id, arg_max(name, struct_pack(x := 64 - CAST(bit_count(xor(('0x' || phash)::UBIGINT, g)) AS INTEGER), n := name)) AS icon, round(max(1 - bit_count(xor(('0x' || phash)::UBIGINT, g)) / 64), 6) AS similarity FROM items, s WHERE item_id % 10 = 0 GROUP BY item_id")
+@query(f"WITH {ITEMS}, s AS (SELECT n_name AS name, ('0x' || substr(md5(n_name), 1, 16))::UBIGINT AS g FROM nation) SELECT item_id AS draft_id, arg_max(name, struct_pack(x := 64 - CAST(bit_count(xor(('0x' || phash)::UBIGINT, g)) AS INTEGER), n := name)) AS icon, round(max(1 - bit_count(xor(('0x' || phash)::UBIGINT, g)) / 64), 6) AS similarity FROM items, s GROUP BY item_id")
 def iconic_signatures(spark, d):
-    made = items(spark, d).where("item_id % 10 = 0").select(F.col("item_id").alias("draft_id"), hex_bits(F.col("phash")).alias("h"))
-    signs = table(spark, d, "supplier").where("s_suppkey <= 20").select(F.col("s_name").alias("name"), hex_bits(F.substring(F.md5("s_name"), 1, 16)).alias("h"))
+    made = items(spark, d).select(F.col("item_id").alias("draft_id"), hex_bits(F.col("phash")).alias("h"))
+    signs = table(spark, d, "nation").select(F.col("n_name").alias("name"), hex_bits(F.substring(F.md5("n_name"), 1, 16)).alias("h"))
     return score.iconic(made, signs).select("draft_id", "icon", F.round("similarity", 6).alias("similarity"))
 
 
@@ -80,11 +80,11 @@ def routes(spark, d):
     return stops.select("user_id", F.array_join(F.transform("s", lambda x: x["place"]), " → ").alias("route"))
 
 
-@query(f"WITH r AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 AS INTEGER) AS b FROM orders WHERE o_orderkey % 20 = 0), x AS (SELECT o_orderkey, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM r), y AS (SELECT *, CAST(year(day) AS BIGINT) AS y FROM x), m AS (SELECT *, day - {_EASTER} AS after, strftime(day, '%m-%d') AS md FROM y) SELECT o_orderkey, max(CASE WHEN ({HOLIDAY_SQL}) IS NOT NULL THEN 1.0 WHEN isodow(day) >= 6 THEN 0.5 ELSE 0.0 END) AS holiday FROM m GROUP BY o_orderkey")
+@query(f"WITH r AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 AS INTEGER) AS b FROM orders), x AS (SELECT o_orderkey, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM r), y AS (SELECT *, CAST(year(day) AS BIGINT) AS y FROM x), m AS (SELECT *, day - {_EASTER} AS after, strftime(day, '%m-%d') AS md FROM y) SELECT o_orderkey, max(CASE WHEN ({HOLIDAY_SQL}) IS NOT NULL THEN 1.0 WHEN isodow(day) >= 6 THEN 0.5 ELSE 0.0 END) AS holiday FROM m GROUP BY o_orderkey")
 def holiday_scores(spark, d):
     from tidemark.functions.calendar import seconds
 
-    rows = table(spark, d, "orders").where("o_orderkey % 20 = 0").withColumn("a", seconds(F.date_trunc("day", "o_orderdate")))
+    rows = table(spark, d, "orders").withColumn("a", seconds(F.date_trunc("day", "o_orderdate")))
     return rows.select("o_orderkey", score.holiday(F.col("a"), F.col("a") + 86400 * (F.col("o_orderkey") % 9)).alias("holiday"))
 
 

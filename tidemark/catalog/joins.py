@@ -6,16 +6,12 @@ from tidemark.catalog.base import ITEMS, haversine, items, query
 from tidemark.operators import density, joins
 from tidemark.sources.bindings import members_of_orders, table
 
-_HASHED = """h AS (SELECT item_id, substr(phash, 1, 1) AS block, ('0x' || phash)::UBIGINT AS h FROM items WHERE item_id % 20 = 0)"""
-
-
-def _hashed(spark, d):
-    return items(spark, d).where("item_id % 20 = 0")
+_HASHED = """h AS (SELECT item_id, substr(phash, 1, 2) AS block, ('0x' || phash)::UBIGINT AS h FROM items)"""
 
 
 @query(f"WITH {ITEMS}, {_HASHED} SELECT a.item_id, b.item_id AS other, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance, row_number() OVER (PARTITION BY a.item_id ORDER BY bit_count(xor(a.h, b.h)), b.item_id) AS rank FROM h a JOIN h b ON a.block = b.block AND a.item_id <> b.item_id AND bit_count(xor(a.h, b.h)) <= 24 QUALIFY rank <= 4")
 def hamming_nearest(spark, d):
-    return joins.hamming_nearest(_hashed(spark, d), _hashed(spark, d), "item_id", 24, 4, 1)
+    return joins.hamming_nearest(items(spark, d), items(spark, d), "item_id", 24, 4, 2)
 
 
 @query(f"WITH {ITEMS}, p AS (SELECT phash, min(item_id) AS first, substr(phash, 1, 2) AS block, ('0x' || phash)::UBIGINT AS h FROM items GROUP BY phash) SELECT a.first AS a, b.first AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM p a JOIN p b ON a.block = b.block AND a.first < b.first AND bit_count(xor(a.h, b.h)) <= 18 UNION ALL SELECT first, item_id, 0 FROM items JOIN p USING (phash) WHERE item_id > first")
@@ -23,14 +19,14 @@ def near_duplicate_edges(spark, d):
     return density.similar_hash_pairs(items(spark, d), 2, 18)
 
 
-_STAYS = "stays AS (SELECT user_id, t AS s, t + 20000 AS e, item_id AS stay FROM items WHERE item_id % 25 = 0)"
+_STAYS = "stays AS (SELECT user_id, t AS s, t + 20000 AS e, item_id AS stay FROM items WHERE device = 'purchase')"
 
 
 def _stays(spark, d):
-    return items(spark, d).where("item_id % 25 = 0").select("user_id", F.col("t").alias("s"), (F.col("t") + 20000).alias("e"), F.col("item_id").alias("stay"))
+    return items(spark, d).where("device = 'purchase'").select("user_id", F.col("t").alias("s"), (F.col("t") + 20000).alias("e"), F.col("item_id").alias("stay"))
 
 
-@query(f"WITH {ITEMS}, {_STAYS} SELECT item_id, stay FROM items JOIN stays USING (user_id) WHERE t BETWEEN s AND e QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY s, e) = 1")
+@query(f"WITH {ITEMS}, {_STAYS} SELECT item_id, stay FROM items JOIN stays USING (user_id) WHERE t BETWEEN s AND e QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY s, e, stay) = 1")
 def staypoint_interval_join(spark, d):
     return joins.first_interval(items(spark, d), _stays(spark, d), ["user_id"], "item_id", "t", "s", "e", 20000).select("item_id", "stay")
 
@@ -67,9 +63,9 @@ def member_overlaps(spark, d):
     return joins.set_overlaps(_baskets(spark, d), 0.5).select("a", "b", "shared", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query(f"WITH {_SETS}, i AS (SELECT a.d AS a, b.d AS b, count(*) AS shared FROM m a JOIN m b ON a.p = b.p AND a.d <> b.d WHERE a.d % 50 = 0 GROUP BY ALL) SELECT a AS child, b AS parent FROM i JOIN z x ON x.d = a JOIN z y ON y.d = b WHERE shared = x.n AND (y.n > x.n OR (y.n = x.n AND b < a))")
+@query(f"WITH {_SETS}, i AS (SELECT a.d AS a, b.d AS b, count(*) AS shared FROM m a JOIN m b ON a.p = b.p AND a.d <> b.d GROUP BY ALL) SELECT a AS child, b AS parent FROM i JOIN z x ON x.d = a JOIN z y ON y.d = b WHERE shared = x.n AND (y.n > x.n OR (y.n = x.n AND b < a))")
 def draft_subsets(spark, d):
-    return joins.subsets(_baskets(spark, d)).where("child % 50 = 0")
+    return joins.subsets(_baskets(spark, d))
 
 
 _POINTS = "p AS (SELECT n_nationkey * 100 + s_suppkey % 100 AS item_id, 48 + (s_suppkey * 7919 % 1000) / 20000.0::DOUBLE AS lat, 11 + (s_suppkey * 104729 % 1000) / 20000.0::DOUBLE AS lon FROM supplier JOIN nation ON s_nationkey = n_nationkey)"

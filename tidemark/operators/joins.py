@@ -25,9 +25,9 @@ def interval_join(points: DataFrame, spans: DataFrame, key: list[str], at: str,
 
 
 def first_interval(points: DataFrame, spans: DataFrame, key: list[str], point: str, at: str, start: str, end: str, width: int) -> DataFrame:
-    """Each point with the first span that holds it, by start, then end."""
+    """Each point with the first span that holds it, by start, then end, then the rest of the span."""
     joined = interval_join(points, spans, key, at, start, end, width)
-    w = Window.partitionBy(*key, point).orderBy(start, end)
+    w = Window.partitionBy(*key, point).orderBy(start, end, *[c for c in spans.columns if c not in (*key, start, end)])
     return joined.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
