@@ -192,7 +192,7 @@ def _sums(weights: np.ndarray, gram_row: np.ndarray, first: np.ndarray, rest_row
     return np.add.reduceat(weights[gram_row[first[i] : end]], first[i:j] - first[i], axis=0) + weights[rest_row[i:j]].sum(axis=1)
 
 
-def fit(samples: list[tuple[str, str]], epochs: int = 24, rate: float = 0.15, penalty: float = 1e-6, seed: int = 7) -> Model | None:
+def fit(samples: list[tuple[str, str]], epochs: int = 14, rate: float = 0.15, penalty: float = 1e-6, seed: int = 7) -> Model | None:
     """Learns weights and transitions from (language, run of words) by Adam on the chains' log-likelihood."""
     languages = sorted({k for k, _ in samples})
     if not languages:
