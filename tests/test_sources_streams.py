@@ -47,11 +47,11 @@ def test_xmp_and_probe(spark):
     assert (r.keywords, r.persons, r.duration_s, r.codec, round(r.fps, 2), r.rotation, r.is_slow_mo) == (["sea"], ["Ann"], 2.5, "hevc", 239.76, 90, True)
 
 
-def test_memory_clusters(spark, tmp_path):
+def test_collection_clusters(spark, tmp_path):
     item = lambda f, at, q, roles: {"filename": f, "taken_at": at, "quality": q, "tags": ["b", "a"], "people": [], "roles": roles}
     doc = {"dataset": "d", "clusters": [{"id": "c", "expected_days": ["2024-01-01", "2024-01-02", "2024-01-03"], "items": [item("x", "2024-01-01T10:00:00+00:00", 0.9, []), item("y", "2024-01-03T11:30:00+00:00", 0.5, ["key"])]}]}
     (tmp_path / "m.json").write_text(json.dumps(doc))
-    r = files.memory_clusters(spark, str(tmp_path / "m.json")).first()
+    r = files.collection_clusters(spark, str(tmp_path / "m.json")).first()
     assert (r.n, r.hours, r.missing, r.key_item, r.tags) == (2, 49.5, ["2024-01-02"], "y", ["a", "b"])
 
 

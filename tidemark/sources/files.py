@@ -70,15 +70,15 @@ def probed(files: DataFrame, column: str = "probe") -> DataFrame:
     return files.withColumns({"duration_s": p["format"]["duration"].try_cast("double"), "codec": video["codec_name"], "fps": rational(video["avg_frame_rate"]), "rotation": video["tags"]["rotate"].try_cast("int"), "is_slow_mo": rational(video["avg_frame_rate"]) >= 100})
 
 
-MEMORY = (
+COLLECTION = (
     "dataset string, title string, themes array<string>, clusters array<struct<id:string,title:string,summary:string,expected_days:array<string>,"
     "items:array<struct<filename:string,taken_at:string,quality:double,tags:array<string>,people:array<string>,location:struct<city:string,country:string>,roles:array<string>>>>>"
 )
 
 
-def memory_clusters(spark: SparkSession, path: str) -> DataFrame:
+def collection_clusters(spark: SparkSession, path: str) -> DataFrame:
     """Labelled collections from JSON files, summed up per cluster: members, hours, days, days that are missing, key item."""
-    one = spark.read.schema(MEMORY).json(path, multiLine=True).select("dataset", F.explode("clusters").alias("c"))
+    one = spark.read.schema(COLLECTION).json(path, multiLine=True).select("dataset", F.explode("clusters").alias("c"))
     items = one.select("dataset", F.col("c.id").alias("id"), F.col("c.expected_days").alias("expected"), F.explode("c.items").alias("i")).withColumn("at", F.to_timestamp("i.taken_at"))
     key = F.struct(F.array_contains("i.roles", "key").cast("int").alias("k"), F.col("i.quality").alias("q"))
     g = items.groupBy("dataset", "id").agg(
