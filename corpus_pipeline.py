@@ -19,6 +19,8 @@ from tidemark.llm.token_index import token_index
 
 #: A document is rejected if no language reaches this mean marginal, or if it has no letters.
 LANGUAGE_LEAST = 0.3
+#: Words that the last stage's workers remember; they have served the other stages before and hold their memory, too.
+TOKEN_WORDS = 200_000
 #: Share of the tokens that mixing keeps.
 MIX_KEEP = 0.8
 
@@ -60,7 +62,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in wavelet shards; one row per document as read back from them."""
     release()
-    return token_index(docs, tokenizer_path())
+    return token_index(docs, tokenizer_path(), keep=TOKEN_WORDS)
 
 
 STAGES = [("language", language), ("near_duplicates", near), ("decontamination", decontaminated), ("mixing", mixed), ("token_index", tokens)]

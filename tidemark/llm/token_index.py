@@ -30,6 +30,8 @@ MAGIC = b"WVM1"
 STEP = 512
 #: Marks a cut inside a word while it is encoded; texts with this character are encoded as they are.
 CUT = "\x01"
+#: Words whose ids an encoder keeps.
+KEEP = 800_000
 #: Tokens of a shard; a longer document has a shard of its own.
 SHARD_TOKENS = 1 << 20
 
@@ -167,7 +169,7 @@ class Encoder:
     Beyond `keep` words, those met once are forgotten.
     """
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = KEEP):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -278,24 +280,25 @@ class Encoder:
         return codes
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One for each Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, keep: int = KEEP) -> Encoder:
+    """One for each Python worker, the last that was asked for."""
+    if (path, keep) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, keep] = Encoder(path, keep)
+    return _ENCODERS[path, keep]
 
 
-def _write(path: str, end_id: int, shard_tokens: int):
+def _write(path: str, end_id: int, shard_tokens: int, keep: int = KEEP):
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("file", pa.binary())])
 
     def shard(part: int, block: int, before: int, ids: np.ndarray, doc_ids: list, counts: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"part": [part], "block": [block], "before": [before], "n_tokens": [len(ids)], "doc_ids": [doc_ids], "counts": [counts.tolist()], "file": [WaveletMatrix.build(ids).to_bytes()]}, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, enc = -1, encoder(path)
+        part, enc = -1, encoder(path, keep)
         held: list[tuple[np.ndarray, list, np.ndarray]] = []
         block = before = waiting = 0
 
@@ -326,10 +329,10 @@ def _write(path: str, end_id: int, shard_tokens: int):
     return run
 
 
-def write_shards(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def write_shards(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, keep: int = KEEP) -> DataFrame:
     """Encodes the texts, sorted by doc_id, and writes the shards: part, block, before (ids of the part before the shard), n_tokens, doc_ids, counts, file."""
     ordered = rows(docs, "text").repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid").select("doc_id", "text", F.spark_partition_id().alias("part"))
-    shards = ordered.mapInArrow(_write(tokenizer, end_id, shard_tokens), "part int, block int, before bigint, n_tokens bigint, doc_ids array<bigint>, counts array<bigint>, file binary")
+    shards = ordered.mapInArrow(_write(tokenizer, end_id, shard_tokens, keep), "part int, block int, before bigint, n_tokens bigint, doc_ids array<bigint>, counts array<bigint>, file binary")
     return scratch.table(shards, "shards", compression="none", rows=docs.count(), per_file=4_000)
 
 
@@ -358,6 +361,6 @@ def read_documents(shards: DataFrame) -> DataFrame:
     return read.join(bases, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_index(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Writes the shards of `docs` and returns what their files hold of each document."""
-    return read_documents(write_shards(docs, Scratch(docs.sparkSession, "tokens"), tokenizer, end_id, shard_tokens))
+def token_index(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, keep: int = KEEP) -> DataFrame:
+    """keep: words that each worker remembers, which takes about 250 bytes a word and saves encoding them again. Writes the shards of `docs` and returns what their files hold of each document."""
+    return read_documents(write_shards(docs, Scratch(docs.sparkSession, "tokens"), tokenizer, end_id, shard_tokens, keep))
