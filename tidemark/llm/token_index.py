@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import Scratch
-from .text import pieces, rows
+from .text import pieces, rows, utf8
 
 MAGIC = b"WVM1"
 #: Bits between two entries of the rank directory.
@@ -238,7 +238,12 @@ class Encoder:
         column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
         if len(self.known) > self.keep:
             self._tidy()
-        odd = pc.or_(pc.or_(pc.match_substring(column, "  "), pc.match_substring(column, CUT)), pc.or_(pc.starts_with(column, " "), pc.ends_with(column, " "))).to_numpy(zero_copy_only=False) | (not self.byte_level)
+        odd = pc.or_(pc.starts_with(column, " "), pc.ends_with(column, " ")).to_numpy(zero_copy_only=False) | (not self.byte_level)
+        # Looked for in all texts at once first: most have neither. A find may span two texts, so each is asked then.
+        together = utf8(column)[0].tobytes()
+        for mark in ("  ", CUT):
+            if mark.encode() in together:
+                odd |= pc.match_substring(column, mark).to_numpy(zero_copy_only=False)
         full = pc.binary_length(column).to_numpy() > 0
         plain = full & ~odd
         counts, ids = np.zeros(len(column), np.int64), np.zeros(0, np.uint32)
