@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
@@ -245,6 +246,20 @@ def test_curation_relaxes_until_there_are_enough(spark):
     assert curate.curate(candidates(spark, rows[:2]), curate.Policy()).count() == 2
 
 
+def test_curation_looks_behind_the_best(spark):
+    p = curate.Policy(target=10, least=4, pool=20)
+    # The best 200 share their day, slot and place; the 40 behind them are free of each other.
+    rows = [(1, k, k, "d", 48.0, 11.0, k * 0x123456789ABCDE % (1 << 63), 1 - k / 1000, "ab"[k % 2], k % 2 == 0, None) for k in range(200)]
+    rows += [(1, 200 + k, (k + 1) * 86400, f"e{k}", 40.0 + k, 11.0, random.Random(k).getrandbits(63), 0.5 - k / 1000, "abc"[k % 3], k % 2 == 0, None) for k in range(40)]
+    chosen = [r.item_id for r in curate.curate(candidates(spark, rows), p).collect()]
+    by = {r[1]: r for r in rows}
+    assert len(chosen) == 10 and sum(by[c][3] == "d" for c in chosen) <= 1
+    # A scene that fills the best places doesn't keep the others out either.
+    rows = [(1, k, k * 86400, f"d{k}", 48.0 + k / 10, 11.0, random.Random(k).getrandbits(63), 1 - k / 1000, "a" if k < 60 else "bc"[k % 2], k % 2 == 0, None) for k in range(90)]
+    chosen = [r.item_id for r in curate.curate(candidates(spark, rows), replace(p, least=10)).collect()]
+    assert len(chosen) == 10 and sum(c < 60 for c in chosen) <= 6
+
+
 def test_feed_caps_act_together(spark):
     rows = [(f"x{k:03}", "abc"[k % 3], "p" if k % 2 else None, f"2024-01-{1 + k % 4:02}", 1 - k / 1000) for k in range(200)]
     drafts = spark.createDataFrame(rows, "draft_id string, algorithm string, place string, day string, score double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -91,38 +92,53 @@ def _diverse(pool: list[dict], p: Policy) -> list[dict]:
     return out
 
 
-def choose(candidates: list[dict], p: Policy) -> list[dict]:
-    """Candidates, best first, under the policy; the policy is relaxed step by step until there are enough."""
-    ranked = _diverse(candidates, p)
-    chosen: list[dict] = []
-    for step in range(5):
-        now = p.relaxed(step)
-        for c in ranked:
-            if len(chosen) >= p.target:
+class Survivors:
+    """What the rules leave of candidates that come best first, for each step of relaxing: `pool` of them at most. Holds no other candidates."""
+
+    def __init__(self, p: Policy):
+        self.p, self.seen = p, 0
+        self.steps = [(p.relaxed(step), [], Counter(), Counter()) for step in range(5)]
+
+    def offer(self, c: dict) -> None:
+        self.seen += 1
+        for now, kept, days, slots in self.steps:
+            slot = c["t"] // (3600 * now.slot_hours)
+            if len(kept) >= now.pool or (now.per_day is not None and days[c["day"]] >= now.per_day) or (now.per_slot is not None and slots[slot] >= now.per_slot):
+                continue
+            if _fits(c, kept, now):
+                kept.append(c)
+                days[c["day"]] += 1
+                slots[slot] += 1
+
+    def choose(self) -> list[dict]:
+        """The survivors in the order of relevance, under the policy; it is relaxed step by step until there are enough."""
+        chosen: list[dict] = []
+        for now, kept, _, _ in self.steps:
+            for c in _diverse(kept, now):
+                if len(chosen) >= now.target:
+                    break
+                if all(c is not x for x in chosen) and _fits(c, chosen, now):
+                    chosen.append(c)
+            if len(chosen) >= min(now.least, self.seen):
                 break
-            if all(c is not x for x in chosen) and _fits(c, chosen, now):
-                chosen.append(c)
-        if len(chosen) >= min(p.least, len(ranked)):
-            break
-    return chosen
+        return chosen
 
 
 CANDIDATE = ["item_id", "t", "day", "lat", "lon", "hash", "score", "scene", "upright", "persons"]
 
 
 def curate(candidates: DataFrame, p: Policy, key: str = "draft_id") -> DataFrame:
-    """(key, item_id, position) of the chosen members. Only the `pool` best candidates of a draft take part, as the policy says, so a task holds no more of any draft."""
+    """(key, item_id, position) of the chosen members. The rules see every candidate; the `pool` best that they leave are ordered by relevance, so a task holds no more of any draft."""
     rows = candidates.select(key, *CANDIDATE, (-F.col("score")).alias("__s"))
 
     def start(now):
-        pool: list[dict] = []
+        survivors = Survivors(p)
 
         def step(row):
             if row is not None:
-                if len(pool) < p.pool:
-                    pool.append(row)
+                survivors.offer(row)
                 return
-            for n, c in enumerate(sorted(choose(pool, p), key=lambda c: (c["t"], c["item_id"]))):
+            for n, c in enumerate(sorted(survivors.choose(), key=lambda c: (c["t"], c["item_id"]))):
                 yield {key: now[0], "item_id": c["item_id"], "position": n}
 
         return step
