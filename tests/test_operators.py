@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from dataclasses import replace
 from datetime import datetime
 
@@ -260,6 +261,25 @@ def test_curation_looks_behind_the_best(spark):
     assert len(chosen) == 10 and sum(c < 60 for c in chosen) <= 6
 
 
+@pytest.mark.parametrize("look", [1, 2, 5])
+def test_feed_goes_on_until_it_is_full(spark, look):
+    rnd = random.Random(5)
+    rows = [(f"x{k:03}", "one" if k < 150 else rnd.choice(["a", "b", None]), rnd.choice(["p", "q", None]), f"2024-01-{1 + rnd.randrange(28):02}", 1 - k // 2 / 1000) for k in range(400)]
+    rows += [(f"z{k}", "c", None, "2024-02-01", None) for k in range(5)]
+    drafts = spark.createDataFrame(rows, "draft_id string, algorithm string, place string, day string, score double")
+    p = feed.Profile(max_total=14, per_day=2, per_algorithm=4, per_place_day=1, per_algorithm_day=1)
+    days, algorithms, places, both, want = Counter(), Counter(), Counter(), Counter(), []
+    for i, a, place, d, _ in rows:
+        if len(want) < 14 and days[d] < 2 and algorithms[a] < 4 and both[d, a] < 1 and (place is None or places[d, place] < 1):
+            want.append(i)
+            days[d] += 1
+            algorithms[a] += 1
+            both[d, a] += 1
+            places[d, place] += 1
+    got = feed.build(drafts, p, look).orderBy("rank").collect()
+    assert [r.draft_id for r in got] == want and len(want) > 12
+
+
 def test_feed_caps_act_together(spark):
     rows = [(f"x{k:03}", "abc"[k % 3], "p" if k % 2 else None, f"2024-01-{1 + k % 4:02}", 1 - k / 1000) for k in range(200)]
     drafts = spark.createDataFrame(rows, "draft_id string, algorithm string, place string, day string, score double")

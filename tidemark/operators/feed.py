@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import Scratch
+
 
 @dataclass(frozen=True)
 class Profile:
@@ -60,24 +64,41 @@ def preferred(drafts: DataFrame, favourites: list[str] = (), blocked: list[str]
 
 
 def build(drafts: DataFrame, p: Profile, look: int = 5) -> DataFrame:
-    """The feed's drafts with their rank. Only the best `look` times max_total drafts take part; the caps on days, algorithms and places act on one another, so these few are gone through in order on the driver."""
+    """The feed's drafts with their rank, best first, until max_total are found or no more fit.
+
+    The caps on days, algorithms and places act on one another, so drafts are gone through in order on the driver,
+    `look` times max_total at a time. Caps only fill up; the next block is the best of what the full ones still let in,
+    so each begins with a draft that fits, and the driver holds one block.
+    """
     spark = drafts.sparkSession
-    top = drafts.where("day is not null").orderBy(F.desc("score"), "draft_id").limit(look * p.max_total)
+    known = Scratch(spark, "feed").table(drafts.where("day is not null"), "drafts")
     days, algorithms, places, both, out = Counter(), Counter(), Counter(), Counter(), []
-    for r in top.collect():
-        if len(out) >= p.max_total:
+    block = look * p.max_total
+    while len(out) < p.max_total:
+        full = [F.col("draft_id").eqNullSafe(r["draft_id"]) for r, _ in out]
+        full += [F.col("day") == d for d, n in days.items() if n >= p.per_day]
+        full += [F.col("algorithm").eqNullSafe(a) for a, n in algorithms.items() if n >= p.per_algorithm]
+        full += [(F.col("day") == d) & F.col("algorithm").eqNullSafe(a) for (d, a), n in both.items() if n >= p.per_algorithm_day]
+        full += [(F.col("day") == d) & F.col("place").eqNullSafe(place) for (d, place), n in places.items() if n >= p.per_place_day]
+        left = known.where(~reduce(or_, full)) if full else known
+        top = left.orderBy(F.desc("score"), "draft_id").limit(block).collect()
+        for r in top:
+            if len(out) >= p.max_total:
+                break
+            d, a, place = r["day"], r["algorithm"], r["place"]
+            if days[d] >= p.per_day or algorithms[a] >= p.per_algorithm or both[d, a] >= p.per_algorithm_day or (place is not None and places[d, place] >= p.per_place_day):
+                continue
+            days[d] += 1
+            algorithms[a] += 1
+            both[d, a] += 1
+            if place is not None:
+                places[d, place] += 1
+            out.append((r, len(out) + 1))
+        if len(top) < block:
             break
-        d, a, place = r["day"], r["algorithm"], r["place"]
-        if days[d] >= p.per_day or algorithms[a] >= p.per_algorithm or both[d, a] >= p.per_algorithm_day or (place is not None and places[d, place] >= p.per_place_day):
-            continue
-        days[d] += 1
-        algorithms[a] += 1
-        both[d, a] += 1
-        places[d, place] += 1
-        out.append((*r, len(out) + 1))
     from pyspark.sql import types as T
 
-    return spark.createDataFrame(out, T.StructType([*top.schema.fields, T.StructField("rank", T.IntegerType())]))
+    return spark.createDataFrame([(*r, rank) for r, rank in out], T.StructType([*known.schema.fields, T.StructField("rank", T.IntegerType())]))
 
 
 def notifications(drafts: DataFrame, channels: dict[str, tuple[str, list[int]]], as_of: str) -> DataFrame:
