@@ -4,6 +4,7 @@ import re
 import pytest
 
 from tidemark.llm.decontaminate import contamination, summary
+from tidemark.llm.queries import QUERIES
 
 from .conftest import DOCS, prose
 
@@ -69,6 +70,22 @@ def test_proximity_allows_words_between(spark):
     assert got == {1: [("5", 0, 13)], 2: [], 3: [], 4: []}
 
 
+def test_proximity_finds_every_window(spark):
+    item = [f"w{k}" for k in range(30)]
+    texts = [[*item[k : k + 4], "x", *item[k + 4 : k + 10]] for k in range(21)]
+    docs = spark.createDataFrame([(k, " ".join(t), None, None, 0) for k, t in enumerate(texts)], DOCS)
+    _, out = run(docs, spark.createDataFrame([(5, " ".join(item))], "item_id bigint, text string"))
+    assert {r["doc_id"]: [(n["item"], n["a"], n["b"]) for n in r["near"]] for r in out} == {k: [("5", 0, 11)] for k in range(21)}
+
+
+def test_near_matches_are_returned(spark, tmp_path):
+    item = [f"w{k}" for k in range(20)]
+    spark.createDataFrame([(1, " ".join([*item[5:9], "x", *item[9:15]]), None, None, 0), (2, "other", None, None, 0)], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(5, " ".join(item))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = QUERIES["near_contamination"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["n_near"], [tuple(n) for n in r["near"]]) for r in found} == {1: (1, [("5", 0, 11)]), 2: (0, [])}
+
+
 def test_empty_tables(spark, none, stored):
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert contamination(none, empty).collect() == []

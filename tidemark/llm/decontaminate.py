@@ -53,17 +53,13 @@ class Items:
         self.ids = sorted({k for k, _ in items})
         self.terms: dict[bytes, int] = {}
         number = {k: n for n, k in enumerate(self.ids)}
-        found: dict[tuple[int, tuple[int, ...]], bool] = {}
+        found: dict[tuple[int, tuple[int, ...]], None] = {}
         for key, text in items:
             ids = [self.terms.setdefault(w, len(self.terms)) for w in words_of(text)]
-            last = max(0, len(ids) - window)
-            for i in range(last + 1 if ids else 0):
-                k = (number[key], tuple(ids[i : i + window]))
-                found[k] = found.get(k, False) or i % window == 0 or i == last
+            for i in range(max(0, len(ids) - window) + 1 if ids else 0):
+                found[number[key], tuple(ids[i : i + window])] = None
         self.item = np.array([k[0] for k in found], np.int64)
         self.size = np.array([len(k[1]) for k in found], np.int64)
-        #: Windows that together cover the item: those are looked up by proximity.
-        self.cover = np.fromiter(found.values(), bool, len(found))
         self.windows = np.full((len(found), window), -1, np.int64)
         for n, (_, ids) in enumerate(found):
             self.windows[n, : len(ids)] = ids
@@ -187,9 +183,9 @@ def phrase_matches(seg: Segment, items: Items) -> tuple[np.ndarray, np.ndarray]:
 
 
 def proximity_matches(seg: Segment, items: Items, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window, first position, last position) of the covering windows whose terms occur in order with 1 to `slop` other words between; the tightest about each place of the rarest term."""
+    """(window, first position, last position) of the windows whose terms occur in order with 1 to `slop` other words between; the tightest about each place of the rarest term."""
     out = []
-    for window, position, order in _candidates(seg, items, np.flatnonzero(items.cover & (items.size > 1))):
+    for window, position, order in _candidates(seg, items, np.flatnonzero(items.size > 1)):
         centre, size = order[:, 0], items.size[window]
         low, high, ok = position.copy(), position.copy(), np.ones(len(position), bool)
         for step in range(1, items.windows.shape[1]):

@@ -40,6 +40,15 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))).drop("n_near")
 
 
+@query
+def near_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity matches of op6_decontaminate, whose columns are those of its SQL twin."""
+    from .decontaminate import contamination
+
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", F.size("near").cast("bigint").alias("n_near"), "near")
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL["op6_decontaminate"] = f"""
