@@ -1,7 +1,7 @@
 """From raw documents to token ids: language, near duplicates, decontamination, mixing, token shards.
 
 Every stage reads all rows that the one before it has kept. Stages that filter keep the columns of documents.
-Rows are told apart by their place in the input, so null and repeated doc_ids do no harm.
+Rows are told apart by stored numbers, so null and repeated doc_ids do no harm.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from tidemark.llm.mixing import mixture
 from tidemark.llm.near_dup import near_duplicates
 from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.storage import Scratch, release
+from tidemark.llm.text import PLACE, numbered
 from tidemark.llm.token_index import token_index
 
 #: A document is rejected if no language reaches this mean marginal, or if it has no letters.
@@ -25,11 +26,14 @@ TOKEN_WORDS = 200_000
 MIX_KEEP = 0.8
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with their numbers, stored once; what an operator finds of them is joined by these."""
+    return numbered(docs, Scratch(docs.sparkSession, "stage"), docs.count())
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of `docs` whose place isn't among the uids of `dropped`."""
-    place = "__place"
-    kept = docs.withColumn(place, F.monotonically_increasing_id()).join(dropped.select(F.col("uid").alias(place)), place, "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The numbered rows of `docs` that aren't among the uids of `dropped`."""
+    return docs.join(dropped.select(F.col("uid").alias(PLACE)), PLACE, "left_anti").drop(PLACE)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +47,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near duplicates."""
     release()
+    docs = _numbered(docs)
     return _without(docs, near_duplicates(docs).where(~F.col("kept")))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item, as it is or with some words put in."""
     release()
+    docs = _numbered(docs)
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, found.where((F.size("spans") > 0) | (F.size("near") > 0)))
 
@@ -56,6 +62,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents by their calibrated probabilities."""
     release()
+    docs = _numbered(docs)
     return _without(docs, mixture(docs, MIX_KEEP).where(~F.col("sampled")))
 
 

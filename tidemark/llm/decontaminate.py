@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import Scratch
-from .text import WORD_TABLE, rows
+from .text import PLACE, WORD_TABLE, numbered, rows
 
 #: Consecutive words of an item that make a window.
 WINDOW = 10
@@ -267,6 +267,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     total = items.select(F.sum(F.ceil(F.octet_length("t") / 2))).first()[0] or 0
     blocks = int(-(-total // query_words)) or 1
     found = None
+    if blocks > 1 and PLACE not in docs.columns:
+        docs = numbered(docs.select("doc_id", "text"), scratch, docs.count())
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b)
         given = Items([(r[0], r[1]) for r in part.toLocalIterator()], window)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import Scratch
-from .text import hash_words, mix, pieces, rows, segment, utf8
+from .text import PLACE, hash_words, mix, numbered, pieces, rows, segment, utf8
 
 #: Contract of near duplicates: words of a shingle and least similarity.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -282,8 +282,10 @@ def _verify(similarity: float):
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """Per row of `docs`: uid, doc_id, class_id, n_links (other rows that are similar to it), kept (one of each class: the smallest doc_id, then the first row)."""
     scratch = Scratch(docs.sparkSession, "near")
-    texts = rows(docs, "text")
-    sketch = scratch.table(texts.mapInArrow(_sketch, "uid bigint, doc_id bigint, n bigint, f1 bigint, f2 bigint, sig binary"), "sketch", rows=docs.count(), per_file=10_000)
+    if PLACE not in docs.columns:
+        docs = docs.select("doc_id", "text")
+    texts = rows(numbered(docs, scratch, n_rows := docs.count()), "text")
+    sketch = scratch.table(texts.mapInArrow(_sketch, "uid bigint, doc_id bigint, n bigint, f1 bigint, f2 bigint, sig binary"), "sketch", rows=n_rows, per_file=10_000)
 
     many = sketch.count()
     # One representative for each set; its weight is the number of rows that have the set.

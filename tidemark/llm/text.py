@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import Scratch
+
 #: Bytes of a word, lower-cased; 0 elsewhere: digits, letters and every byte of a non-ASCII character.
 WORD_BYTES = np.zeros(256, np.uint8)
 for _b in range(256):
@@ -22,9 +24,21 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+#: Column that holds the numbers of stored rows.
+PLACE = "__place"
+
+
 def rows(docs: DataFrame, *columns: str, key: str = "doc_id") -> DataFrame:
-    """The named columns and uid, a number of the row. uid is the same each time the same files are read."""
-    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).cast("bigint").alias("doc_id"), *[F.col(c) for c in columns])
+    """The named columns and uid, a number of the row: the stored one of `numbered` rows; else one that holds for a single scan only, as it depends on how the scan is split."""
+    uid = F.col(PLACE) if PLACE in docs.columns else F.monotonically_increasing_id()
+    return docs.select(uid.alias("uid"), F.col(key).cast("bigint").alias("doc_id"), *[F.col(c) for c in columns])
+
+
+def numbered(docs: DataFrame, scratch: Scratch, many: int) -> DataFrame:
+    """The rows with their numbers, stored in the shared folder, so that all scans agree on them; `many`: how many rows."""
+    if PLACE in docs.columns:
+        return docs
+    return scratch.table(docs.withColumn(PLACE, F.monotonically_increasing_id()), "numbered", rows=many, per_file=10_000)
 
 
 def crc_mod(key: Column, n: int) -> Column:
