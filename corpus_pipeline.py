@@ -24,6 +24,8 @@ LANGUAGE_LEAST = 0.3
 TOKEN_WORDS = 200_000
 #: Share of the tokens that mixing keeps.
 MIX_KEEP = 0.8
+#: What a sampled document counts for, from mixing on.
+WEIGHT = "sample_weight"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -60,16 +62,17 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents by their calibrated probabilities."""
+    """Samples documents by their calibrated probabilities. Where these are clipped at 1 a sample alone misses the targets, so sample_weight goes along: tokens counted by it meet them."""
     release()
     docs = _numbered(docs)
-    return _without(docs, mixture(docs, MIX_KEEP).where(~F.col("sampled")))
+    drawn = mixture(docs, MIX_KEEP).where("sampled").select(F.col("uid").alias(PLACE), WEIGHT)
+    return docs.drop(WEIGHT).join(drawn, PLACE).drop(PLACE)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in wavelet shards; one row per document as read back from them."""
+    """Token ids in wavelet shards; one row per document as read back from them, with its weight in the mix."""
     release()
-    return token_index(docs, tokenizer_path(), keep=TOKEN_WORDS)
+    return token_index(docs, tokenizer_path(), keep=TOKEN_WORDS, carry=WEIGHT)
 
 
 STAGES = [("language", language), ("near_duplicates", near), ("decontamination", decontaminated), ("mixing", mixed), ("token_index", tokens)]

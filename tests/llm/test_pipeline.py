@@ -1,5 +1,6 @@
 """Stages of the pipeline."""
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -56,3 +57,26 @@ def test_stages_drop_the_rows_that_were_found(spark, shifting):
     assert sorted(r["doc_id"] for r in clean) == [i for i, _ in rows if i not in (25, 29)]
     want = {r["doc_id"] for r in mixture(docs, corpus_pipeline.MIX_KEEP).collect() if r["sampled"]}
     assert {r["doc_id"] for r in corpus_pipeline.mixed(spark, docs, folder).collect()} == want
+
+
+def test_weights_of_the_mix_reach_the_last_stage(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(k, prose(k, int(rng.integers(20, 60))), "en", "hot" if k % 3 == 0 else f"s{k % 7}", 0) for k in range(3000)]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    words = {k: len(t.split()) for k, t, *_ in rows}
+    source = {r[0]: r[3] for r in rows}
+    corpus_pipeline.mixed(spark, docs, None).write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    got = {r["doc_id"]: r["sample_weight"] for r in corpus_pipeline.tokens(spark, mixed, None).collect()}
+
+    def shares(weight):
+        mass = dict.fromkeys(sorted(set(source.values())), 0.0)
+        for k, w in weight.items():
+            mass[source[k]] += w * words[k]
+        return np.array(list(mass.values())) / sum(mass.values())
+
+    full = shares(dict.fromkeys(words, 1.0))
+    target = full**0.5 / (full**0.5).sum()
+    assert np.abs(shares(dict.fromkeys(got, 1.0)) - target).max() > 0.02
+    assert np.abs(shares(got) - target).max() < 0.01

@@ -296,21 +296,21 @@ def encoder(path: str, keep: int = KEEP) -> Encoder:
     return _ENCODERS[path, keep]
 
 
-def _write(path: str, end_id: int, shard_tokens: int, keep: int = KEEP):
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("file", pa.binary())])
+def _write(path: str, end_id: int, shard_tokens: int, keep: int = KEEP, carry: bool = False):
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("file", pa.binary()), *([("carried", pa.list_(pa.float64()))] if carry else [])])
 
-    def shard(part: int, block: int, before: int, ids: np.ndarray, doc_ids: list, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"part": [part], "block": [block], "before": [before], "n_tokens": [len(ids)], "doc_ids": [doc_ids], "counts": [counts.tolist()], "file": [WaveletMatrix.build(ids).to_bytes()]}, schema)
+    def shard(part: int, block: int, before: int, ids: np.ndarray, doc_ids: list, counts: np.ndarray, carried: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"part": [part], "block": [block], "before": [before], "n_tokens": [len(ids)], "doc_ids": [doc_ids], "counts": [counts.tolist()], "file": [WaveletMatrix.build(ids).to_bytes()], **({"carried": [carried]} if carry else {})}, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, enc = -1, encoder(path, keep)
-        held: list[tuple[np.ndarray, list, np.ndarray]] = []
+        held: list[tuple[np.ndarray, list, np.ndarray, list]] = []
         block = before = waiting = 0
 
         def flush():
             nonlocal block, before, waiting, held
             ids = np.concatenate([x[0] for x in held])
-            out = shard(part, block, before, ids, [d for x in held for d in x[1]], np.concatenate([x[2] for x in held]))
+            out = shard(part, block, before, ids, [d for x in held for d in x[1]], np.concatenate([x[2] for x in held]), [c for x in held for c in x[3]])
             block, before, waiting, held = block + 1, before + len(ids), 0, []
             return out
 
@@ -324,7 +324,7 @@ def _write(path: str, end_id: int, shard_tokens: int, keep: int = KEEP):
                 places[np.cumsum(counts) - 1] = False
                 with_end = np.full(len(places), end_id, np.uint32)
                 with_end[places] = ids
-                held.append((with_end, batch.column(0)[i:j].to_pylist(), counts))
+                held.append((with_end, batch.column(0)[i:j].to_pylist(), counts, batch.column(3)[i:j].to_pylist() if carry else []))
                 waiting += len(with_end)
                 if waiting >= shard_tokens:
                     yield flush()
@@ -334,10 +334,11 @@ def _write(path: str, end_id: int, shard_tokens: int, keep: int = KEEP):
     return run
 
 
-def write_shards(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, keep: int = KEEP) -> DataFrame:
-    """Encodes the texts, sorted by doc_id, and writes the shards: part, block, before (ids of the part before the shard), n_tokens, doc_ids, counts, file."""
-    ordered = rows(docs, "text").repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid").select("doc_id", "text", F.spark_partition_id().alias("part"))
-    shards = ordered.mapInArrow(_write(tokenizer, end_id, shard_tokens, keep), "part int, block int, before bigint, n_tokens bigint, doc_ids array<bigint>, counts array<bigint>, file binary")
+def write_shards(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, keep: int = KEEP, carry: str | None = None) -> DataFrame:
+    """Encodes the texts, sorted by doc_id, and writes the shards: part, block, before (ids of the part before the shard), n_tokens, doc_ids, counts, file; and carried, the documents' values of the column `carry`, if one is named."""
+    more = [carry] if carry else []
+    ordered = rows(docs, "text", *more).repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid").select("doc_id", "text", F.spark_partition_id().alias("part"), *more)
+    shards = ordered.mapInArrow(_write(tokenizer, end_id, shard_tokens, keep, bool(carry)), "part int, block int, before bigint, n_tokens bigint, doc_ids array<bigint>, counts array<bigint>, file binary" + (", carried array<double>" if carry else ""))
     return scratch.table(shards, "shards", compression="none", rows=docs.count(), per_file=4_000)
 
 
@@ -354,18 +355,21 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "at": pa.array(row["before"] + ends - counts),
                     "n_tokens": pa.array(counts),
                     "ids_crc32": pa.array([zlib.crc32(ids[e - c : e]) for c, e in zip(counts.tolist(), ends.tolist(), strict=True)], pa.int64()),
+                    **({"carried": pa.array(row["carried"], pa.float64())} if "carried" in row else {}),
                 }
             )
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
-    """Reads the files back: doc_id, start, n_tokens, ids_crc32 of each document."""
-    read = shards.select("part", "before", "doc_ids", "counts", "file").mapInArrow(_read, "part int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
+    """Reads the files back: doc_id, start, n_tokens, ids_crc32 of each document, and what is carried."""
+    more = ["carried"] if "carried" in shards.columns else []
+    read = shards.select("part", "before", "doc_ids", "counts", "file", *more).mapInArrow(_read, "part int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint" + ", carried double" * len(more))
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     bases = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
-    return read.join(bases, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return read.join(bases, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *more)
 
 
-def token_index(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, keep: int = KEEP) -> DataFrame:
-    """keep: words that each worker remembers, which takes about 250 bytes a word and saves encoding them again. Writes the shards of `docs` and returns what their files hold of each document."""
-    return read_documents(write_shards(docs, Scratch(docs.sparkSession, "tokens"), tokenizer, end_id, shard_tokens, keep))
+def token_index(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, keep: int = KEEP, carry: str | None = None) -> DataFrame:
+    """keep: words that each worker remembers, which takes about 250 bytes a word and saves encoding them again; carry: a column of numbers that goes along. Writes the shards of `docs` and returns what their files hold of each document."""
+    found = read_documents(write_shards(docs, Scratch(docs.sparkSession, "tokens"), tokenizer, end_id, shard_tokens, keep, carry))
+    return found.withColumnRenamed("carried", carry) if carry else found
