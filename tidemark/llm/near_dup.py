@@ -3,9 +3,9 @@
 1. Sketch. Every whole text becomes its set of hashed shingles of five words (words as in `text.segment`, lower-cased;
    a text of one to four words is one shingle) and a MinHash signature. Documents with the same set form one
    class of copies, of which one representative goes on.
-2. Forest. Each tree of the LSH forest reads a signature as a string of `depth` values; its trie is the sorted list
-   of these strings. Matched prefixes are shortened from `depth` until the recall that the prefix length gives
-   at the similarity sought reaches the target (`prefix_length`). Representatives under one trie node are compared by
+2. Bands. A signature is cut into `trees` strings of `depth` values. One prefix length is used for all, the longest
+   whose recall at the similarity sought reaches the target (`prefix_length`); no trie is sorted and no prefix
+   shortened by what it matches. Representatives with one prefix in a tree, a node, are compared by
    their whole signatures; those that agree in too few places to be similar are dropped (`least_agreement`).
    What is left joins representatives into candidate groups.
 3. Verification. Within a candidate group all pairs are verified exactly, from the sets. A group is cut into
