@@ -16,6 +16,7 @@ from __future__ import annotations
 import html as html_library
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -55,8 +56,9 @@ _TEXT = len(TOKENS) - 1
 GROUPS = {t: k for k, words in enumerate(("p pre blockquote", "h1", "h2 h3 h4 h5 h6", "li dt dd summary figcaption", "ul ol dl menu", "table tbody thead tfoot tr", "td th", "article main", "section div center body html figure details fieldset address hr #text", "nav", "aside dialog", "header", "footer", "form")) for t in words.split()}
 N_GROUPS = 14
 
-_TAG = re.compile(r"""<(?:(!--)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|[!?/][^>]*+>)""")
-_BROKEN = re.compile(r"<[a-zA-Z/!?][^>]*+>?")
+#: A tag behind its "<": a quote opens a value only behind an equals sign. The second one ends at the first ">".
+_TAG = re.compile(r"""(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+_SHORT_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden|aria-label|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ENDS = re.compile(r"[.!?…](?=\s|$)")
@@ -78,51 +80,69 @@ class Page:
         return len(self.tag) - 1
 
     def _parse(self, source: str) -> None:
-        # The stack holds (tag, node or -1 for an element that is not shown).
+        """Reads the page once from left to right. A tag that no ">" ends as its quotes stand is the sign of a lost quote; from there on tags end at their first ">"."""
+        # The stack holds (tag, node or -1 for an element that is not shown); `open_` counts its tags.
         stack: list[tuple[str, int]] = [("body", 0)]
+        open_: Counter[str] = Counter()
         at, hidden, link, order = 0, 0, False, 0
-        find = _TAG.search
         fresh = True  # the next text begins a new run
-        while True:
-            m = find(source, at)
-            chunk = source[at : m.start() if m else len(source)]
-            if chunk and not hidden:
-                if "<" in chunk:
-                    chunk = _BROKEN.sub("", chunk)
-                if not chunk.isspace() or not fresh:
-                    runs = self.runs[stack[-1][1]]
-                    if fresh or not runs:
-                        order += 1
-                        runs.append([order, [], 0])
-                        fresh = False
-                    runs[-1][1].append(chunk)
-                    if link:
-                        runs[-1][2] += len(chunk)
-            if not m:
+        tag_at = _TAG.match
+        size = len(source)
+
+        def cut(k: int) -> None:
+            """Closes the elements from place k of the stack on."""
+            nonlocal hidden
+            for name, node in stack[k:]:
+                hidden -= node < 0
+                open_[name] -= 1
+            del stack[k:]
+
+        while at < size:
+            mark = source.find("<", at)
+            if mark < 0:
+                mark = size
+            chunk = source[at:mark]
+            m, at = None, mark + 1
+            if mark < size:
+                ahead = source[at : at + 1]
+                if ahead.isascii() and ahead.isalpha() or ahead == "/" and source[at + 1 : at + 2].isalpha():
+                    m = tag_at(source, at)
+                    if not m and tag_at is _TAG.match:
+                        tag_at = _SHORT_TAG.match
+                        m = tag_at(source, at)
+                    if not m:
+                        size = mark  # a last tag without an end
+                elif ahead not in ("!", "?", "/"):
+                    chunk += "<"
+            if chunk and not hidden and (not chunk.isspace() or not fresh):
+                runs = self.runs[stack[-1][1]]
+                if fresh or not runs:
+                    order += 1
+                    runs.append([order, [], 0])
+                    fresh = False
+                runs[-1][1].append(chunk)
+                if link:
+                    runs[-1][2] += len(chunk)
+            if mark >= size:
                 return
+            if not m:
+                if ahead in ("!", "?", "/"):
+                    end, far = (source.find("-->", at + 1), 3) if source.startswith("!--", at) else (source.find(">", at), 1)
+                    at = size if end < 0 else end + far
+                continue
             at = m.end()
+            tag = m[2].lower()
             if m[1]:
-                end = source.find("-->", at)
-                at = len(source) if end < 0 else end + 3
-                continue
-            if not m[3]:
-                continue
-            tag = m[3].lower()
-            if m[2]:
                 if tag == "a":
                     link = False
-                if tag in BLOCKS or tag in HIDDEN:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == tag:
-                            hidden -= sum(n < 0 for _, n in stack[k:])
-                            del stack[k:]
-                            fresh = True
-                            break
+                if open_[tag] and (tag in BLOCKS or tag in HIDDEN):
+                    cut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
+                    fresh = True
                 continue
             if tag in RAW:
                 end = re.compile(f"</{re.escape(tag)}[\\s>/]", re.IGNORECASE).search(source, at)
                 close = source.find(">", end.start()) if end else -1
-                at = close + 1 if close >= 0 else len(source)
+                at = close + 1 if close >= 0 else size
                 continue
             if tag == "a":
                 link = True
@@ -134,30 +154,30 @@ class Page:
                 continue
             if tag == "body" or tag == "html":
                 if tag == "body":
-                    del stack[1:]
-                    hidden = 0
-                    self.kinds[0] |= self._attributes(m[4])[0]
+                    cut(1)
+                    self.kinds[0] |= self._attributes(m[3])[0]
                 fresh = True
                 continue
             fresh = True
             # A block ends an open paragraph; items, cells and rows end their like.
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p" and tag in BLOCKS:
-                    del stack[k:]
-                    break
-                if stack[k][1] < 0 or stack[k][0] in ("td", "th", "table", "div", "article", "section", "li"):
-                    break
-            if tag in CLOSES:
+            if open_["p"] and tag in BLOCKS:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] == "p":
+                        cut(k)
+                        break
+                    if stack[k][1] < 0 or stack[k][0] in ("td", "th", "table", "div", "article", "section", "li"):
+                        break
+            if tag in CLOSES and any(open_[x] for x in CLOSES[tag]):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] in CLOSES[tag]:
-                        hidden -= sum(n < 0 for _, n in stack[k:])
-                        del stack[k:]
+                        cut(k)
                         break
                     if stack[k][0] in LIMITS[tag] or stack[k][1] < 0:
                         break
             if tag in VOID:
                 continue
-            kinds, unseen = self._attributes(m[4]) if m[4] else (0, False)
+            kinds, unseen = self._attributes(m[3]) if m[3] else (0, False)
+            open_[tag] += 1
             if hidden or unseen or tag in HIDDEN:
                 hidden += 1
                 stack.append((tag, -1))
