@@ -11,8 +11,9 @@ of a conversation to the best scores from any state before it to any state at it
 conversation are chained by these, and each is decoded between its two known states. The result is the same as
 Viterbi's over the whole conversation.
 
-Messages are ordered by turn, nulls first, then by role and text, so repeated rows are interchangeable. Rows with a null
-conv_id are one conversation. A null or empty text is one empty line. The role column is read only to learn, and
+Messages are ordered by turn, nulls first, then by a hash of the text, so repeated rows are interchangeable. A message always begins a
+turn, a line within it where the states say so. Rows with a null
+conv_id are one conversation. A null or empty text is one empty line; a very long one is read whole. The role column is read only to learn, and
 null roles are not learned from. With nothing to learn from, the prior counts decide.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Scratch
+from .storage import Scratch, narrowed
 
 #: Conversations that are learned from, about, and messages of them at most.
 SAMPLE = 4000
@@ -135,7 +136,7 @@ def learn(conversations: DataFrame, train: Column, sample: int = SAMPLE) -> Mode
     known = conversations.where(train & F.col("role").isNotNull())
     n = known.select(F.approx_count_distinct("conv_id")).first()[0] or 1
     place = F.pmod(F.xxhash64(F.lit(23), "conv_id"), F.lit(1 << 30)) / (1 << 30)
-    picked = known.where(place < min(1.0, sample / n)).select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).limit(SAMPLE_MESSAGES)
+    picked = known.where(place < min(1.0, sample / n)).select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).orderBy(place, "conv_id", "turn", F.xxhash64("text"), "role").limit(SAMPLE_MESSAGES)
     messages = sorted(((r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2].lower(), r[3]) for r in picked.toLocalIterator()))
     if len({m[4] for m in messages}) > ROLES_MOST:
         raise ValueError(f"more than {ROLES_MOST} roles")
@@ -200,7 +201,7 @@ def format_conversations(conversations: DataFrame, model: Model) -> DataFrame:
     columns = [F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("uid")]
     order = ["conv_id", "turn", F.xxhash64("text"), "uid"]
     ordered = conversations.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "conv_id", "turn", "text")
-    table = scratch.table(ordered.mapInArrow(_number, "part int, k bigint, conv_id bigint, turn bigint, text string"), "ordered", rows=(many := conversations.count()), per_file=20_000)
+    table = scratch.table(narrowed(ordered.mapInArrow(_number, "part int, k bigint, conv_id bigint, turn bigint, text string"), conversations.select("conv_id", "turn", "text")), "ordered")
 
     def reduce(batches):
         kind = pa.schema([("part", pa.int32()), ("conv_id", pa.int64()), ("first", pa.list_(pa.float64())), ("later", pa.list_(pa.float64()))])
@@ -237,7 +238,7 @@ def format_conversations(conversations: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kind.types, strict=True)], schema=kind)
 
     by_part = table.repartition("part").sortWithinPartitions("part", "k")
-    reduced = scratch.table(by_part.mapInArrow(reduce, "part int, conv_id bigint, first array<double>, later array<double>"), "reduced", rows=many)
+    reduced = scratch.table(by_part.mapInArrow(reduce, "part int, conv_id bigint, first array<double>, later array<double>"), "reduced", rows=(many := table.count()), dealt=True)
     states = reduced.repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(chain, "part int, conv_id bigint, entry int, leave int")
     states = scratch.table(states, "states", rows=many).select("part", F.col("conv_id").alias("id"), "entry", "leave")
     joined = table.join(states, (table["part"] == states["part"]) & table["conv_id"].eqNullSafe(states["id"])).select(table["part"], "conv_id", "k", "turn", "text", "entry", "leave")

@@ -34,11 +34,11 @@ def rows(docs: DataFrame, *columns: str, key: str = "doc_id") -> DataFrame:
     return docs.select(uid.alias("uid"), F.col(key).cast("bigint").alias("doc_id"), *[F.col(c) for c in columns])
 
 
-def numbered(docs: DataFrame, scratch: Scratch, many: int) -> DataFrame:
-    """The rows with their numbers, stored in the shared folder, so that all scans agree on them; `many`: how many rows."""
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows with their numbers, stored in the shared folder, so that all scans agree on them."""
     if PLACE in docs.columns:
         return docs
-    return scratch.table(docs.withColumn(PLACE, F.monotonically_increasing_id()), "numbered", rows=many, per_file=10_000)
+    return scratch.table(docs.withColumn(PLACE, F.monotonically_increasing_id()), "numbered")
 
 
 def crc_mod(key: Column, n: int) -> Column:
