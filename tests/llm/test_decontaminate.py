@@ -1,10 +1,15 @@
+import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidemark.llm.decontaminate import contamination, summary
+from tidemark.llm import decontaminate
+from tidemark.llm.decontaminate import Items, build_index, contamination, search, summary
 from tidemark.llm.queries import QUERIES
+from tidemark.llm.storage import Scratch
 
 from .conftest import DOCS, prose
 
@@ -35,7 +40,7 @@ def brute(docs, items, window=10):
 
 def run(docs, items, **more):
     out = contamination(docs, items, **more).collect()
-    return sorted(((r["doc_id"], r["n_words"], len({k for s in r["spans"] for k in range(s["a"], s["b"])}), sorted(set(r["items"]))) for r in out), key=str), out
+    return sorted(((r["doc_id"], r["n_words"], len({k for s in r["spans"] for k in range(s["a"], s["b"])}), sorted(set(map(str, r["items"])))) for r in out), key=str), out
 
 
 @pytest.mark.parametrize("query_words", [1 << 20, 40])
@@ -55,7 +60,7 @@ def test_awkward_documents(spark, stored):
     items = spark.createDataFrame([(1, prose(1, 60)), (2, "One, two THREE!"), (3, None), (None, "word"), (4, "")], "item_id bigint, text string")
     rows = [(r["doc_id"], r["text"]) for r in stored.collect()]
     got, _ = run(stored, items)
-    assert got == brute(rows, [(1, prose(1, 60)), (2, "one two three")])
+    assert got == brute(rows, [(1, prose(1, 60)), (2, "one two three"), (None, "word")])
     flat = summary(contamination(stored, items)).collect()
     assert {r["contaminated"] for r in flat} == {True, False} and all(r["contaminated"] == (r["n_hit"] > 0) == (r["n_items"] > 0) for r in flat)
 
@@ -86,6 +91,29 @@ def test_near_matches_are_returned(spark, tmp_path):
     assert {r["doc_id"]: (r["n_near"], [tuple(n) for n in r["near"]]) for r in found} == {1: (1, [("5", 0, 11)]), 2: (0, [])}
 
 
+def test_items_without_an_id_count_as_one_without_a_name(spark):
+    docs = spark.createDataFrame([(1, "some word here", None, None, 0), (2, "nothing", None, None, 0)], DOCS)
+    items = spark.createDataFrame([(None, "word"), (None, "here"), (3, "some word")], "item_id bigint, text string")
+    flat = {r["doc_id"]: r for r in summary(contamination(docs, items)).collect()}
+    assert (flat[1]["n_hit"], flat[1]["n_items"], flat[1]["items_sha256"]) == (3, 2, hashlib.sha256(b"3").hexdigest()) and flat[2]["n_items"] == 0
+
+
+def test_the_stored_index_answers_other_items(spark):
+    docs = spark.createDataFrame([(k, prose(k, 40), None, None, 0) for k in range(30)], DOCS).repartition(2)
+    index = build_index(docs, Scratch(spark, "test"), segment_words=500)
+    for k in (3, 17):
+        found = search(index, Items([("q", " ".join(prose(k, 40).split()[5:15]))])).where("size(spans) > 0").collect()
+        assert [(r["doc_id"], [tuple(s) for s in r["spans"]]) for r in found] == [(k, [(5, 15)])]
+
+
+def test_words_with_the_hash_of_another_are_no_match(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "hash_words", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    rows = [pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array(["alpha be c"])], names=["u", "d", "t"])]
+    (batch,) = list(decontaminate._index(1000)(iter(rows)))
+    seg = decontaminate.Segment(batch.to_pylist()[0], Items([("q", "gamma be")]))
+    assert seg.df.tolist() == [0, 1, 0]
+
+
 def test_empty_tables(spark, none, stored):
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert contamination(none, empty).collect() == []

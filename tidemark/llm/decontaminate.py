@@ -1,32 +1,32 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The training documents are indexed in segments: for each term its sorted positions in the segment, stored as
-tables in the shared folder. A test item's windows are then looked up in every segment: beginning with the
+The training documents are indexed once, in segments: for each of a segment's words the sorted positions there, stored
+as tables in the shared folder with the segment's dictionary. A test item's windows are then looked up in every segment: beginning with the
 postings of the window's rarest term there, the lists of the other terms, each moved by the term's offset, are
 intersected one after the other, the rarer first. What is left are exact phrase matches. Proximity matches keep
-the order of the terms and allow some other words between them.
+the order of the terms and allow some other words between them. The index holds all words, so further test items are looked up in it
+without reading the documents again. No postings move between tasks.
 
-Terms are the words of A-Z lower-cased text: runs of digits, ASCII letters and non-ASCII characters. Terms that no
-test item holds can't take part in a match, so their postings are not stored. No postings move between tasks.
+Terms are the words of A-Z lower-cased text: runs of digits, ASCII letters and non-ASCII characters. Within a segment words are told
+apart by a hash of 64 bits; a term's spelling is compared with the dictionary's.
 
-Null and empty texts have no words: n_words 0, nothing hit. An item without words or with a null item_id
-matches nothing. Items with the same item_id count as one item. Repeated documents are answered one by one. An empty benchmark hits nothing.
+Null and empty texts have no words: n_words 0, nothing hit. An item without words matches nothing. Items with the same item_id
+count as one item, so do all with a null one, which has no name. Repeated documents are answered one by one. An empty benchmark
+hits nothing. Very long documents make a segment of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import Scratch
-from .text import PLACE, WORD_TABLE, numbered, rows
+from .text import WORD_TABLE, hash_words, pieces, rows, segment
 
 #: Consecutive words of an item that make a window.
 WINDOW = 10
@@ -50,7 +50,7 @@ class Items:
     """Windows of test items as rows of term numbers; -1 behind a shorter one."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        self.ids = sorted({k for k, _ in items})
+        self.ids = sorted({k for k, _ in items}, key=lambda k: (k is None, k))
         self.terms: dict[bytes, int] = {}
         number = {k: n for n, k in enumerate(self.ids)}
         found: dict[tuple[int, tuple[int, ...]], None] = {}
@@ -63,6 +63,10 @@ class Items:
         self.windows = np.full((len(found), window), -1, np.int64)
         for n, (_, ids) in enumerate(found):
             self.windows[n, : len(ids)] = ids
+        self.spelling = b"".join(self.terms)
+        self.length = np.fromiter(map(len, self.terms), np.int64, len(self.terms))
+        ends = np.cumsum(self.length)
+        self.hashes = hash_words(np.frombuffer(self.spelling, np.uint8), ends - self.length, ends)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -73,67 +77,79 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-def _index(terms, segment_words: int):
+def _slices(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first[0], first[0] + 1, ... of all slices, one after the other."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _index(segment_words: int):
+    kind = pa.schema([("segment", pa.int64()), ("uids", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("hashes", "spelling", "length", "df", "postings")]])
+
+    def one(parts: list[tuple], number: int) -> pa.RecordBatch:
+        """parts: (uids, doc_ids, words of each document, word hashes, bytes, starts and ends of words)."""
+        counts = np.concatenate([p[2] for p in parts])
+        hashes = np.concatenate([p[3] for p in parts])
+        base = np.cumsum(counts + GAP) - counts - GAP
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+        positions = (np.repeat(base - (np.cumsum(counts) - counts), counts) + np.arange(len(hashes)))[order].astype(np.int32)
+        # The spelling of each word where it comes first.
+        before = np.cumsum([0] + [len(p[3]) for p in parts])
+        at = order[first]
+        of = np.searchsorted(before, at, "right") - 1
+        length, texts = np.zeros(len(at), np.int32), [b""] * len(at)
+        for k, p in enumerate(parts):
+            mine = np.flatnonzero(of == k)
+            a, e = p[5][at[mine] - before[k]], p[6][at[mine] - before[k]]
+            length[mine] = e - a
+            spelled = p[4][_slices(a, e - a)].tobytes()
+            ends = np.cumsum(e - a).tolist()
+            for n, i, j in zip(mine.tolist(), [0, *ends], ends, strict=False):
+                texts[n] = spelled[i:j]
+        packed = (hashes[first], np.frombuffer(b"".join(texts), np.uint8), length, np.diff(first, append=len(hashes)).astype(np.int32), np.diff(positions, prepend=np.int32(0)))
+        return pa.RecordBatch.from_arrays([pa.array([number]), *[pa.array([sum((p[k] for p in parts), [])], pa.list_(pa.int64())) for k in (0, 1)], pa.array([counts.tolist()], pa.list_(pa.int64())), *[pa.array([_pack(x)], pa.binary()) for x in packed]], schema=kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = terms.value.get
-        part = TaskContext.get().partitionId()
-        number = 0
-
-        def flush():
-            nonlocal number
-            counts = np.array([len(x) for x in held], np.int64)
-            base = np.cumsum(counts + GAP) - counts - GAP
-            ids = np.concatenate(held) if held else np.zeros(0, np.int32)
-            positions = np.repeat(base - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))
-            inside = ids >= 0
-            ids, positions = ids[inside], positions[inside].astype(np.int32)
-            order = np.argsort(ids, kind="stable")
-            ids, positions = ids[order], positions[order]
-            first = np.flatnonzero(np.diff(ids, prepend=-1))
-            out = pa.RecordBatch.from_pydict(
-                {
-                    "part": pa.array([part], pa.int32()),
-                    "segment": pa.array([number], pa.int32()),
-                    "uids": pa.array([uids], pa.list_(pa.int64())),
-                    "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
-                    "n_words": pa.array([counts.tolist()], pa.list_(pa.int64())),
-                    "terms": pa.array([_pack(ids[first].astype(np.int32))], pa.binary()),
-                    "df": pa.array([_pack(np.diff(first, append=len(ids)).astype(np.int32))], pa.binary()),
-                    "postings": pa.array([_pack(np.diff(positions, prepend=np.int32(0)))], pa.binary()),
-                }
-            )
-            number += 1
-            return out
-
-        held, uids, doc_ids, size = [], [], [], 0
+        held: list[tuple] = []
+        size = number = 0
         for batch in batches:
-            for uid, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                words = (text or b"").translate(WORD_TABLE).split()
-                held.append(np.fromiter(map(get, words, repeat(-1)), np.int32, len(words)))
-                uids.append(uid)
-                doc_ids.append(doc_id)
-                size += len(words) + GAP
+            for i, j, data, at in pieces(batch.column(2)):
+                mapped, starts, ends, word_at = segment(data, at)
+                part = batch.slice(i, j - i)
+                held.append((part.column(0).to_pylist(), part.column(1).to_pylist(), np.diff(word_at), hash_words(mapped, starts, ends), mapped, starts, ends))
+                size += len(starts) + (j - i) * GAP
                 if size >= segment_words:
-                    yield flush()
-                    held, uids, doc_ids, size = [], [], [], 0
+                    yield one(held, number)
+                    held, size, number = [], 0, number + 1
         if held:
-            yield flush()
+            yield one(held, number)
 
     return run
 
 
-INDEX = "part int, segment int, uids array<bigint>, doc_ids array<bigint>, n_words array<bigint>, terms binary, df binary, postings binary"
+INDEX = "segment bigint, uids array<bigint>, doc_ids array<bigint>, n_words array<bigint>, hashes binary, spelling binary, length binary, df binary, postings binary"
 
 
 class Segment:
-    """Postings of one segment: positions of all terms, sorted by term and position."""
-
-    def __init__(self, terms: np.ndarray, df: np.ndarray, postings: np.ndarray, n_terms: int):
-        self.df = np.zeros(n_terms + 1, np.int64)
-        self.df[terms] = df
+    """Postings of the items' terms in one segment: positions, sorted by term and position."""
+
+    def __init__(self, row: dict, items: Items):
+        hashes, length, df = _unpack(row["hashes"], "u8"), _unpack(row["length"], "i4").astype(np.int64), _unpack(row["df"], "i4").astype(np.int64)
+        n = len(items.hashes)
+        self.df = np.zeros(n + 1, np.int64)
+        at = np.minimum(np.searchsorted(hashes, items.hashes), max(len(hashes) - 1, 0))
+        held = np.flatnonzero((hashes[at] == items.hashes) & (length[at] == items.length)) if len(hashes) else np.zeros(0, np.int64)
+        spelling = np.frombuffer(items.spelling, np.uint8)
+        mine = spelling[_slices((np.cumsum(items.length) - items.length)[held], items.length[held])]
+        theirs = _unpack(row["spelling"], "u1")[_slices((np.cumsum(length) - length)[at[held]], length[at[held]])]
+        other = np.unique(np.repeat(held, items.length[held])[mine != theirs])
+        held = held[~np.isin(held, other)]
+        self.df[held] = df[at[held]]
         self.first = np.cumsum(self.df) - self.df
-        self.positions = np.cumsum(postings, dtype=np.int32).astype(np.int64)
-        self.keys = np.repeat(np.arange(n_terms + 1, dtype=np.int64), self.df) << 32 | self.positions
+        positions = np.cumsum(_unpack(row["postings"], "i4"), dtype=np.int32)
+        self.positions = positions[_slices((np.cumsum(df) - df)[at[held]], df[at[held]])].astype(np.int64)
+        self.keys = np.repeat(np.arange(n + 1, dtype=np.int64), self.df) << 32 | self.positions
 
     def has(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
         want = term << 32 | position
@@ -221,7 +237,7 @@ def _query(given, slop: int):
             for row in batch.to_pylist():
                 counts = np.array(row["n_words"], np.int64)
                 base = np.cumsum(counts + GAP) - counts - GAP
-                seg = Segment(_unpack(row["terms"], "i4"), _unpack(row["df"], "i4"), _unpack(row["postings"], "i4"), len(items.terms))
+                seg = Segment(row, items)
                 spans: list[list] = [[] for _ in counts]
                 names: list[list] = [[] for _ in counts]
                 near: list[list] = [[] for _ in counts]
@@ -245,10 +261,9 @@ def _query(given, slop: int):
     return run
 
 
-def build_index(docs: DataFrame, terms: dict[bytes, int], scratch: Scratch, name: str = "index", segment_words: int = SEGMENT_WORDS) -> DataFrame:
-    """Stores the postings of the given terms in `docs`, segment by segment."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
-    return scratch.table(rows(docs, "text").mapInArrow(_index(shared, segment_words), INDEX), name, compression="none", rows=docs.count(), per_file=10_000)
+def build_index(docs: DataFrame, scratch: Scratch, name: str = "index", segment_words: int = SEGMENT_WORDS) -> DataFrame:
+    """Stores the postings of all words of `docs`, segment by segment."""
+    return scratch.table(rows(docs, "text").mapInArrow(_index(segment_words), INDEX), name, compression="none")
 
 
 def search(index: DataFrame, items: Items, slop: int = SLOP) -> DataFrame:
@@ -259,20 +274,17 @@ def search(index: DataFrame, items: Items, slop: int = SLOP) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, query_words: int = QUERY_WORDS, segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """uid, doc_id, n_words, spans, items and near of every document.
 
-    The benchmark's words are counted first. Up to `query_words` of them are sent to the executors at a time; a
-    larger benchmark is looked up in blocks of items and the blocks' matches are put together by document.
+    The documents are read once. The benchmark's words are counted; up to `query_words` of them are sent to the executors at a time. A
+    larger benchmark is looked up in the index in blocks of items and the blocks' matches are put together by document.
     """
-    scratch = Scratch(docs.sparkSession, "decontaminate")
-    items = benchmark.select(F.col("item_id").cast("string").alias("k"), F.col("text").alias("t")).where("k is not null and t is not null")
+    index = build_index(docs, Scratch(docs.sparkSession, "decontaminate"), segment_words=segment_words)
+    items = benchmark.select(F.col("item_id").cast("string").alias("k"), F.col("text").alias("t")).where("t is not null")
     total = items.select(F.sum(F.ceil(F.octet_length("t") / 2))).first()[0] or 0
     blocks = int(-(-total // query_words)) or 1
     found = None
-    if blocks > 1 and PLACE not in docs.columns:
-        docs = numbered(docs.select("doc_id", "text"), scratch, docs.count())
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b)
-        given = Items([(r[0], r[1]) for r in part.toLocalIterator()], window)
-        one = search(build_index(docs, given.terms, scratch, f"index{b}", segment_words), given, slop)
+        one = search(index, Items([(r[0], r[1]) for r in part.toLocalIterator()], window), slop)
         found = one if found is None else found.unionByName(one)
     if blocks > 1:
         found = found.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "near")])
