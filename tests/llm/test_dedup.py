@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 
 from tidemark.llm import near_dup
-from tidemark.llm.exact_dedup import exact_duplicates
-from tidemark.llm.near_dup import connected_components, least_agreement, near_duplicates, prefix_length
+from tidemark.llm.exact_dedup import exact_duplicates, identities
+from tidemark.llm.near_dup import connected_components, forest, least_agreement, near_duplicates, prefix_length, shortening
 from tidemark.llm.storage import Scratch
 
 from .conftest import DOCS, prose
@@ -43,6 +43,16 @@ def test_exact_against_brute_force(stored, block):
     assert set(kept.values()) == {1}
 
 
+def test_exact_names_do_not_depend_on_the_split(spark):
+    texts = [prose(k % 23, 3 + k % 9) for k in range(120)]
+    names = []
+    for parts in (1, 6):
+        docs = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)], DOCS).repartition(parts)
+        names.append({r["doc_id"]: (r["round"], r["name"]) for r in identities(docs, Scratch(spark, "test"), 16).collect()})
+    assert names[0] == names[1]
+    assert len(set(names[0].values())) == len(set(map(lambda t: BLANK.sub("", t), texts)))
+
+
 def test_exact_empty_table(none):
     assert exact_duplicates(none).collect() == []
 
@@ -123,6 +133,56 @@ def test_prefix_reaches_the_recall():
     assert 0 < least_agreement() < 0.8 * near_dup.TREES * near_dup.DEPTH
 
 
+def test_shortening_is_the_least_that_reaches_the_recall():
+    for similarity, recall in ((0.8, 0.9999), (0.8, 0.999), (0.9, 0.9999), (0.5, 0.9), (0.99, 0.9)):
+        k, j = shortening(similarity, recall)
+        reached = lambda j: 1 - (1 - similarity**k) ** j * (1 - similarity ** (k + 1)) ** (near_dup.TREES - j)  # noqa: B023, E731
+        assert reached(j) >= recall and (j == 0 or reached(j - 1) < recall)
+    assert shortening() == (3, 5)
+
+
+def test_forest_against_plain_tries(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SMALL_NODE", 5)
+    rng = np.random.default_rng(8)
+    # Few values, so that there are many nodes, and large ones.
+    sigs = rng.choice([7, 7, 7, 9, 11, 13, 1 << 31], (70, near_dup.TREES, near_dup.DEPTH)).astype(np.uint32)
+    reps = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(sigs)], "uid bigint, sig binary").repartition(4)
+    got = forest(reps, Scratch(spark, "test"), 70, 0.8, 0.9999)
+    length, needed = shortening()
+    name = lambda k, t, n: (t, *sigs[k, t, :n].tolist())
+    nodes = defaultdict(set)
+    for k in range(70):
+        for t in range(near_dup.TREES):
+            for n in (length, length + 1):
+                nodes[name(k, t, n)].add(k)
+    short = set()
+    for k in range(70):
+        size = [len(nodes[name(k, t, length)]) for t in range(near_dup.TREES)]
+        for t in sorted(range(near_dup.TREES), key=lambda t: (size[t] > 5, size[t] if size[t] > 5 else t, t))[:needed]:
+            short.add(name(k, t, length))
+    want = {x: frozenset(m) for x, m in nodes.items() if len(m) > 1 and (x in short if len(x) == length + 1 else x[:-1] not in short)}
+    found = defaultdict(set)
+    for r in got.collect():
+        found[r["tree"], r["node"]].add((r["uid"], r["size"]))
+    assert sorted((t, sorted(u for u, _ in m), {s for _, s in m}) for (t, _), m in found.items()) == sorted((x[0], sorted(m), {len(m)}) for x, m in want.items())
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_recall_of_pairs_just_above_the_threshold(spark, similarity):
+    """Pairs of texts whose sets have a similarity of that or a little more: all are found."""
+    rng, texts = np.random.default_rng(int(similarity * 100)), []
+    for k in range(400):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+        other = list(words)
+        # Other words at the last j places leave 296 - j of 296 + j shingles.
+        j = int(296 * (1 - similarity) / (1 + similarity))
+        other[300 - j :] = [f"v{x}" for x in rng.integers(0, 10**6, j)]
+        texts += [" ".join(words), " ".join(other)]
+    docs = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)], DOCS).repartition(4)
+    got = near_duplicates(docs).where("n_links = 1").count()
+    assert got >= 0.995 * 800
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (4, 5), (10, 11), (12, 11), (7, 7)] + [(100 + k, 101 + k) for k in range(40)]
     df = spark.createDataFrame(edges, "a bigint, b bigint")

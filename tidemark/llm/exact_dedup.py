@@ -1,17 +1,18 @@
 """Exact deduplication by deterministic block naming.
 
-Each normalised text is cut into blocks of a fixed size. The distinct blocks are sorted and each gets an integer
-name; then the names of adjacent blocks are paired, the distinct pairs sorted and named, and so on until each text
-has one name. Equal names in the same round mean equal texts: contents are compared, never hashes.
+Each normalised text is cut into blocks of a fixed size. The distinct blocks are sorted, by a hash and then by their bytes, and each gets its
+rank as its name; then the names of adjacent blocks are paired, the distinct pairs sorted and named, and so on until each text
+has one name. Equal names in the same round mean equal texts: contents are compared, never hashes alone. Ranks don't depend on
+how rows are split over tasks, so the same texts get the same names on any cluster.
 
-Only one copy of a block leaves each map task: within a task, every row refers to the first row that has the same
+Texts are read and cut once, into a stored table. Only one copy of a block leaves each map task: within a task, every row refers to the first row that has the same
 content there (its leader). The content of the leaders is shuffled to be named, then rows fetch the names of their
 leaders, of which each has the rows of its task at most. So no key gathers the rows of a large group.
 
 Normalisation deletes the white space [\\x20\\x09-\\x0D]. A null or empty text counts as empty, all of these as equal.
 Repeated rows, also with the same doc_id, are rows of their own; null doc_ids sort last. Of a group, the row with
 the most code points in the original text stays, then the one with the smallest doc_id, then the first row.
-An empty table gives no row.
+An empty table gives no row. Very long texts are read whole, their blocks are named one by one.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import Scratch
@@ -74,98 +75,83 @@ def _batches(found, schema: pa.Schema, rows_most: int = 4096, bytes_most: int =
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
 
 
-_PLACE = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("leader", pa.int64()), ("leader_pos", pa.int64()), ("n_cp", pa.int64()), ("sha", pa.binary())])
-_CONTENT = pa.schema([("uid", pa.int64()), ("pos", pa.int64()), ("content", pa.binary())])
-_NAME = pa.schema([("uid", pa.int64()), ("pos", pa.int64()), ("name", pa.int64())])
+_PLACE = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("leader", pa.int64()), ("leader_pos", pa.int64()), ("n_cp", pa.int64()), ("sha", pa.binary()), ("content", pa.binary())])
+_NAME = pa.schema([("leader", pa.int64()), ("leader_pos", pa.int64()), ("part", pa.int32()), ("place", pa.int64())])
+PLACED = "uid bigint, doc_id bigint, pos bigint, leader bigint, leader_pos bigint, n_cp bigint, sha binary, content binary"
 
 
-def _blocks(what: str, block: int):
-    """what: "places" gives each block's leader (and the text's length and hash with its first block); "contents" gives the leaders' blocks."""
+def _blocks(block: int):
+    """Each block's leader, with its content if it leads; a text's length and hash with its first block."""
 
-    def places(batches):
+    def found(batches):
         leaders = _Leaders()
         for uid, doc_id, data, norm in _texts(batches):
-            for pos in range(max(1, -(-len(norm) // block))):
-                leader = leaders.of(norm[pos * block : (pos + 1) * block], uid, pos)
-                yield (uid, doc_id, pos, *leader, None if pos else _code_points(data), None if pos else hashlib.sha256(norm).digest())
-
-    def contents(batches):
-        leaders = _Leaders()
-        for uid, _, _, norm in _texts(batches):
             for pos in range(max(1, -(-len(norm) // block))):
                 content = norm[pos * block : (pos + 1) * block]
-                if leaders.of(content, uid, pos) == (uid, pos):
-                    yield uid, pos, content
+                leader = leaders.of(content, uid, pos)
+                yield (uid, doc_id, pos, *leader, None if pos else _code_points(data), None if pos else hashlib.sha256(norm).digest(), content if leader == (uid, pos) else None)
 
-    return (lambda b: _batches(places(b), _PLACE)) if what == "places" else (lambda b: _batches(contents(b), _CONTENT))
+    return lambda batches: _batches(found(batches), _PLACE)
 
 
-def _pairs(what: str):
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same for rows (uid, names): the pairs of adjacent names; a last one alone is paired with 0, which names nothing."""
 
-    def pairs(batches):
+    def found():
+        leaders = _Leaders()
         for batch in batches:
             for uid, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if len(names) % 2:
                     names.append(0)
                 for pos in range(len(names) // 2):
-                    yield uid, pos, names[2 * pos].to_bytes(8, "big") + names[2 * pos + 1].to_bytes(8, "big")
+                    content = names[2 * pos].to_bytes(8, "big") + names[2 * pos + 1].to_bytes(8, "big")
+                    leader = leaders.of(content, uid, pos)
+                    yield (uid, None, pos, *leader, None, None, content if leader == (uid, pos) else None)
 
-    def places(batches):
-        leaders = _Leaders()
-        for uid, pos, content in pairs(batches):
-            yield (uid, None, pos, *leaders.of(content, uid, pos), None, None)
-
-    def contents(batches):
-        leaders = _Leaders()
-        for uid, pos, content in pairs(batches):
-            if leaders.of(content, uid, pos) == (uid, pos):
-                yield uid, pos, content
-
-    return (lambda b: _batches(places(b), _PLACE)) if what == "places" else (lambda b: _batches(contents(b), _CONTENT))
+    return _batches(found(), _PLACE)
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Names sorted contents: equal ones alike, no two others in any task alike."""
+    """Counts the distinct contents of a task's sorted rows, from 1."""
 
     def named():
-        name, last = None, None
+        place, last = 0, None
         for batch in batches:
             for part, uid, pos, content in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if name is None:
-                    name = part << 40
                 if content != last:
-                    name, last = name + 1, content
-                yield uid, pos, name
+                    place, last = place + 1, content
+                yield uid, pos, part, place
 
     return _batches(named(), _NAME)
 
 
-def _named(places: DataFrame, contents: DataFrame) -> DataFrame:
-    """Each place with the name of its content."""
-    names = contents.repartition("content").sortWithinPartitions("content").select(F.spark_partition_id().alias("part"), "uid", "pos", "content").mapInArrow(_number, "leader bigint, leader_pos bigint, name bigint")
-    found = F.coalesce("name", F.raise_error(F.lit("a block's leader has no name: the input changed between two scans")).cast("bigint"))
-    return places.join(names, ["leader", "leader_pos"], "left").withColumn("name", found)
+def _named(placed: DataFrame, scratch: Scratch, table: str) -> DataFrame:
+    """Each place with the name of its content, its rank among all of the round."""
+    led = placed.where("content is not null").select("uid", "pos", "content").withColumn("h", F.xxhash64("content"))
+    # By ranges of the hash, which are even whatever the contents are, and whose bounds are small.
+    ordered = led.repartitionByRange("h").sortWithinPartitions("h", "content").select(F.spark_partition_id().alias("part"), "uid", "pos", "content")
+    names = scratch.table(ordered.mapInArrow(_number, "leader bigint, leader_pos bigint, part int, place bigint"), f"{table}_names", rows=placed.count(), per_file=400_000, dealt=True)
+    counts = names.groupBy("part").agg(F.max("place").alias("n"))
+    # One row for each range partition.
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    names = names.join(F.broadcast(before), "part").select("leader", "leader_pos", (F.col("before") + F.col("place")).alias("name"))
+    return placed.drop("content").join(names, ["leader", "leader_pos"], "left")
 
 
 def identities(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """uid, doc_id, n_cp, sha and the identity (round, name) of every row."""
-    texts = rows(docs, "text")
-    many = texts.count()
-    kind, plain = "uid bigint, doc_id bigint, pos bigint, leader bigint, leader_pos bigint, n_cp bigint, sha binary", "uid bigint, pos bigint, content binary"
-    named = _named(texts.mapInArrow(_blocks("places", block), kind), texts.mapInArrow(_blocks("contents", block), plain))
-    whole = named.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_cp").alias("n_cp"), F.max(F.hex("sha")).alias("sha"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names")
-    )
+    placed = scratch.table(rows(docs, "text").mapInArrow(_blocks(block), PLACED), "blocks")
+    many = docs.count()
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names")
+    whole = _named(placed, scratch, "round0").groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_cp").alias("n_cp"), F.max(F.hex("sha")).alias("sha"), listed)
     whole = scratch.table(whole, "round0", rows=many)
     done = whole.where(F.size("names") == 1).select("uid", "doc_id", "n_cp", "sha", F.lit(0).alias("round"), F.col("names")[0].alias("name"))
     k, left = 0, whole.where(F.size("names") > 1)
     rest = left
     while (most := rest.agg(F.max(F.size("names"))).first()[0] or 1) > 1:
         k += 1
-        part = rest.select("uid", "names")
-        again = _named(part.mapInArrow(_pairs("places"), kind), part.mapInArrow(_pairs("contents"), plain))
-        again = again.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names"))
+        pairs = scratch.table(rest.select("uid", "names").mapInArrow(_pairs, PLACED), f"pairs{k}")
+        again = _named(pairs, scratch, f"round{k}").groupBy("uid").agg(listed)
         rest = scratch.table(again, f"round{k}", rows=many)
         found = rest.where(F.size("names") == 1).select("uid", F.lit(k).alias("round"), F.col("names")[0].alias("name"))
         done = done.unionByName(left.join(found, "uid").select("uid", "doc_id", "n_cp", "sha", "round", "name"))

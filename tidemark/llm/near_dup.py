@@ -3,9 +3,15 @@
 1. Sketch. Every whole text becomes its set of hashed shingles of five words (words as in `text.segment`, lower-cased;
    a text of one to four words is one shingle) and a MinHash signature. Documents with the same set form one
    class of copies, of which one representative goes on.
-2. Bands. A signature is cut into `trees` strings of `depth` values. One prefix length is used for all, the longest
-   whose recall at the similarity sought reaches the target (`prefix_length`); no trie is sorted and no prefix
-   shortened by what it matches. Representatives with one prefix in a tree, a node, are compared by
+2. Forest. A signature is cut into `trees` strings of `depth` values. In each tree the strings are sorted, which lays the
+   prefix trie out: a node is a run of strings with the same prefix, and the lengths of the prefixes that neighbours share
+   tell the nodes and their sizes. From the deepest level on, matched prefixes are shortened until a pair at the similarity
+   sought meets in some tree with the target recall. Down to the level above the last, all have to be. On the last one
+   a document shortens its prefix in as many trees as it still needs (`shortening`), in the first ones in which that leads to a
+   node of SMALL_NODE members at most, and only then in larger ones, the smaller first. A node that a member shortens to is
+   matched by all of its members. So frequent prefixes stay long wherever rarer ones make up for it.
+   (The choice doesn't look at sizes below SMALL_NODE: a document would else avoid the very trees in which it has company.)
+   Representatives that meet in a node are compared by
    their whole signatures; those that agree in too few places to be similar are dropped (`least_agreement`).
    What is left joins representatives into candidate groups.
 3. Verification. Within a candidate group all pairs are verified exactly, from the sets. A group is cut into
@@ -15,7 +21,7 @@
 
 Null and empty texts, and texts without words, have no shingles: each is a class of its own with no links.
 Repeated rows are rows of their own and link to each other. class_id is the smallest doc_id of the class; where all
-are null it is null. An empty table gives no row.
+are null it is null. An empty table gives no row. Very long texts are read whole; their sets are held by one task at a time.
 """
 
 from __future__ import annotations
@@ -34,6 +40,8 @@ from .text import PLACE, hash_words, mix, numbered, pieces, rows, segment, utf8
 #: Contract of near duplicates: words of a shingle and least similarity.
 SHINGLE, SIMILARITY = 5, 0.8
 TREES, DEPTH = 16, 4
+#: Members of a node that is shortened to without a look at its size.
+SMALL_NODE = 64
 #: Least share of pairs at the threshold itself that meet in some tree; more similar ones are found more surely.
 RECALL = 0.9999
 #: Members of a tile of a trie node and of a candidate group, and shingles of the latter, by its largest set.
@@ -53,6 +61,17 @@ def prefix_length(similarity: float = SIMILARITY, recall: float = RECALL, trees:
     return k
 
 
+def shortening(similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> tuple[int, int]:
+    """(k, j): with prefixes of k values in j trees and of k + 1 in the others the recall is reached, with fewer than j trees not. j is `trees` where even k = 1 in all of them is too long."""
+    k = prefix_length(similarity, recall, trees, depth)
+    if k == depth:
+        return k - 1, 0
+    j = 0
+    while j < trees and 1 - (1 - similarity**k) ** j * (1 - similarity ** (k + 1)) ** (trees - j) < recall:
+        j += 1
+    return k, j
+
+
 def least_agreement(similarity: float = SIMILARITY, size: int = TREES * DEPTH) -> int:
     """Equal places that a signature pair of that similarity has at least, but for five standard deviations."""
     return max(1, int(similarity * size - 5 * (size * similarity * (1 - similarity)) ** 0.5))
@@ -111,23 +130,74 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(sig, pa.binary())], schema=_SKETCH)
 
 
-def _prefixes(length: int):
-    """One row for each tree: its number and the hash of the signature's prefix in it."""
-    kind = pa.schema([("uid", pa.int64()), ("tree", pa.int32()), ("prefix", pa.int64())])
+_STRING = "uid bigint, tree int, " + ", ".join(f"v{k} bigint" for k in range(DEPTH))
 
-    def run(batches):
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each tree: its number and the signature's string in it."""
+    names = ["uid", "tree", *(f"v{k}" for k in range(DEPTH))]
+    for batch in batches:
+        if batch.num_rows:
+            sig = np.stack([np.frombuffer(x, np.uint32) for x in batch.column(1).to_pylist()]).reshape(-1, DEPTH).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), TREES)), pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(sig) // TREES)), *[pa.array(np.ascontiguousarray(sig[:, k])) for k in range(DEPTH)]], names=names)
+
+
+def _named(length: int):
+    """Rows of sorted strings as (uid, tree, short, long, edge): the names of the nodes at that length and one more; edge marks rows whose neighbour may be elsewhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig = np.stack([np.frombuffer(x, np.uint32) for x in batch.column(1).to_pylist()]).reshape(-1, TREES, DEPTH).astype(np.uint64)
-            key = np.zeros(sig.shape[:2], np.uint64)
-            for k in range(length):
-                key = mix(key * np.uint64(0x100000001B3) + sig[:, :, k] + np.uint64(k + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), TREES)), pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(sig))), pa.array(key.view(np.int64).ravel())], schema=kind)
+            key, short = np.zeros(batch.num_rows, np.uint64), None
+            for k in range(min(DEPTH, length + 1)):
+                key = mix(key * np.uint64(0x100000001B3) + batch.column(2 + k).to_numpy().astype(np.uint64) + np.uint64(k + 1))
+                short = key if k + 1 == length else short
+            edge = np.zeros(batch.num_rows, bool)
+            edge[[0, -1] if len(edge) else []] = True
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(short.view(np.int64)), pa.array(key.view(np.int64)), pa.array(edge)], names=["uid", "tree", "short", "long", "edge"])
 
     return run
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tree, node, size) of the runs of sorted (tree, short, long, edge), at both lengths. A run that reaches over an edge comes in parts."""
+    for batch in batches:
+        tree, edge = batch.column(0).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False).copy()
+        if not len(tree):
+            continue
+        edge[[0, -1]] = True
+        for column in (1, 2):
+            node = batch.column(column).to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (tree[1:] != tree[:-1])]))
+            size = np.diff(first, append=len(node))
+            # A run of one is a node of one, unless it lies at an edge.
+            some = (size > 1) | np.logical_or.reduceat(edge, first)
+            first, size = first[some], size[some]
+            yield pa.RecordBatch.from_arrays([pa.array(tree[first]), pa.array(node[first]), pa.array(size)], names=["tree", "node", "size"])
+
+
+def forest(reps: DataFrame, scratch: Scratch, many: int, similarity: float, recall: float) -> DataFrame:
+    """Where representatives (uid, sig) meet: uid, tree, node, size (more than 1)."""
+    length, needed = shortening(similarity, recall)
+    strings = reps.select("uid", "sig").mapInArrow(_strings, _STRING)
+    order = ["tree", *(f"v{k}" for k in range(DEPTH))]
+    trie = strings.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_named(length), "uid bigint, tree int, short bigint, long bigint, edge boolean")
+    trie = scratch.table(trie, "trie", rows=TREES * many, per_file=2_000_000)
+    # The names of both lengths are hashes, so they tell nodes of one length from those of the other.
+    nodes = trie.select("tree", "short", "long", "edge").mapInArrow(_runs, "tree int, node bigint, size bigint").groupBy("tree", "node").agg(F.sum("size").alias("size")).where("size > 1")
+    nodes = scratch.table(nodes, "nodes", rows=2 * TREES * many, per_file=1_000_000)
+    met = trie.drop("edge").join(nodes.withColumnsRenamed({"node": "short", "size": "n_short"}), ["tree", "short"])
+    met = scratch.table(met.join(nodes.withColumnsRenamed({"node": "long", "size": "n_long"}), ["tree", "long"], "left"), "met", rows=TREES * many, per_file=1_000_000)
+    crowded = met.where(F.col("n_short") > SMALL_NODE).groupBy("uid").agg(F.collect_list(F.struct(F.col("n_short").alias("n"), "tree")).alias("large"))
+    large = F.coalesce("large", F.array().cast("array<struct<n:bigint,tree:int>>"))
+    own = F.struct(F.col("n_short").alias("n"), "tree")
+    place = F.when(F.col("n_short") <= SMALL_NODE, F.col("tree") - F.size(F.filter(large, lambda x: x["tree"] < F.col("tree")))).otherwise(TREES - F.size(large) + F.size(F.filter(large, lambda x: x < own)))
+    short = met.join(crowded, "uid", "left").groupBy("tree", "short").agg(F.max(place < needed).alias("shortened"))
+    found = met.join(short, ["tree", "short"]).select(
+        "uid", "tree", F.when(F.col("shortened"), F.col("short")).otherwise(F.col("long")).alias("node"), F.when(F.col("shortened"), F.col("n_short")).otherwise(F.col("n_long")).alias("size")
+    )
+    return scratch.table(found.where("size > 1"), "shared", rows=TREES * many, per_file=1_000_000)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """Rows with the same first `keys` columns; they come sorted."""
     flat = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
@@ -284,8 +354,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     scratch = Scratch(docs.sparkSession, "near")
     if PLACE not in docs.columns:
         docs = docs.select("doc_id", "text")
-    texts = rows(numbered(docs, scratch, n_rows := docs.count()), "text")
-    sketch = scratch.table(texts.mapInArrow(_sketch, "uid bigint, doc_id bigint, n bigint, f1 bigint, f2 bigint, sig binary"), "sketch", rows=n_rows, per_file=10_000)
+    texts = rows(numbered(docs, scratch), "text")
+    sketch = scratch.table(texts.mapInArrow(_sketch, "uid bigint, doc_id bigint, n bigint, f1 bigint, f2 bigint, sig binary"), "sketch", rows=texts.count(), dealt=True)
 
     many = sketch.count()
     # One representative for each set; its weight is the number of rows that have the set.
@@ -294,10 +364,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     reps = sketch.where("n > 0").select("uid", "n", "sig").join(sets.select(F.col("rep").alias("uid"), "weight"), "uid")
     reps = scratch.table(reps, "reps", rows=many)
 
-    places = reps.select("uid", "sig").mapInArrow(_prefixes(prefix_length(similarity, recall)), "uid bigint, tree int, prefix bigint")
-    nodes = scratch.table(places.groupBy("tree", "prefix").agg(F.count("*").alias("size")).where("size > 1"), "nodes", rows=TREES * many, per_file=1_000_000)
-    many_shared = nodes.agg(F.sum("size")).first()[0] or 0
-    shared = scratch.table(places.join(nodes, ["tree", "prefix"]), "shared", rows=many_shared, per_file=200_000)
+    shared = forest(reps, scratch, many, similarity, recall).withColumnRenamed("node", "prefix")
+    many_shared = shared.count()
     shared = shared.withColumn("tiles", F.ceil(F.col("size") / NODE_TILE).cast("int"))
     under = tiled(shared.join(reps.select("uid", "sig"), "uid"), "tiles").select("tree", "prefix", "i", "j", "uid", "tile", "sig")
     under = under.repartition("tree", "prefix", "i", "j").sortWithinPartitions("tree", "prefix", "i", "j", "uid")
@@ -313,7 +381,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     sized = sized.mapInArrow(_sets, "uid bigint, text binary, root bigint, tiles int, weight bigint").withColumnRenamed("text", "shingles")
     work = tiled(sized, "tiles").select("root", "i", "j", "uid", "tile", "weight", "shingles")
     work = work.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "uid")
-    verified = scratch.table(work.mapInArrow(_verify(similarity), "a bigint, b bigint, links bigint"), "verified", rows=8 * grouped_rows, per_file=20_000)
+    verified = scratch.table(work.mapInArrow(_verify(similarity), "a bigint, b bigint, links bigint"), "verified", rows=8 * grouped_rows, per_file=200_000, dealt=True)
 
     links = verified.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     classes = scratch.table(connected_components(verified.where("b is not null").select("a", "b"), scratch, "classes", verified.count()), "classes", rows=grouped_rows)
