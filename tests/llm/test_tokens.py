@@ -3,9 +3,12 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
+from tidemark.llm import token_index as module
 from tidemark.llm.queries import tokenizer_path
-from tidemark.llm.token_index import Encoder, WaveletMatrix, token_index
+from tidemark.llm.storage import Scratch
+from tidemark.llm.token_index import Encoder, WaveletMatrix, token_index, write_shards
 
 
 @pytest.fixture(scope="module")
@@ -13,16 +16,23 @@ def encoder():
     return Encoder(tokenizer_path(), keep=60)
 
 
-def test_encoder_equals_the_library(encoder):
+@pytest.fixture(scope="module")
+def library():
+    """The library as it is, with nothing set."""
+    return Tokenizer.from_file(tokenizer_path())
+
+
+def test_encoder_equals_the_library(encoder, library):
     rnd = random.Random(2)
-    texts = ["", "  a", " a b", "a b  c   d", "a\n  b\n\n c", "x ", "a \nb\n ", "it's <|endoftext|> ok", "é ü  ñ", "a\u0085 b", "a  b", "你好 \U0001f600x"]
+    texts = ["", "  a", " a b", "a b  c   d", "a\n  b\n\n c", "x ", "a \nb\n ", "it's <|endoftext|> ok", "a<|endoftext|>b. c", "<|endoftext|>", "a <|endoftext|", "x <|endoftext|> <|endoftext|>", "é ü  ñ", "a\u0085 b", "a  b", "你好 \U0001f600x"]
     texts += ["".join(rnd.choice(["a", "b", " ", " ", "\n", "\t", "'s", "1", "é", "!", ",", ".", ", ", ".\n", "\r", "\u00a0", "\x01", "ab", "word"]) for _ in range(rnd.randint(0, 16))) for _ in range(1500)]
     assert encoder.byte_level
     for k in range(0, len(texts), 100):
         ids, counts = encoder.encode(texts[k : k + 100])
         ends = np.cumsum(counts)
         for text, a, b in zip(texts[k : k + 100], ends - counts, ends, strict=True):
-            assert ids[a:b].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+            assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert 50256 in encoder.encode(["a <|endoftext|> b"])[0]
 
 
 def test_other_tokenizers_are_not_split():
@@ -32,7 +42,8 @@ def test_other_tokenizers_are_not_split():
 
 
 @pytest.mark.parametrize("n,size", [(0, 1), (1, 1), (5, 1), (700, 3), (3000, 50), (2500, 60_000)])
-def test_wavelet_matrix(n, size):
+def test_wavelet_matrix(n, size, monkeypatch):
+    monkeypatch.setattr(module, "BLOCK", 1024)
     ids = np.random.default_rng(n).integers(0, size, n).astype(np.uint32)
     w = WaveletMatrix.from_bytes(WaveletMatrix.build(ids).to_bytes())
     assert w.decode().tolist() == ids.tolist()
@@ -47,7 +58,7 @@ def test_wavelet_matrix(n, size):
 
 
 @pytest.mark.parametrize("shard", [1 << 20, 50])
-def test_round_trip(stored, shard, encoder):
+def test_round_trip(stored, shard, library):
     got = token_index(stored, tokenizer_path(), shard_tokens=shard).collect()
     rows = sorted([(r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in stored.collect()])
     by = {}
@@ -55,7 +66,7 @@ def test_round_trip(stored, shard, encoder):
         by.setdefault(r["doc_id"], []).append(r)
     want, start = {}, 0
     for known, doc_id, text in rows:
-        ids = encoder.tokenizer.encode(text, add_special_tokens=False).ids + [0]
+        ids = library.encode(text, add_special_tokens=False).ids + [0]
         want.setdefault(doc_id if known else None, []).append((len(ids), zlib.crc32(np.array(ids, "<u4"))))
         start += len(ids)
     assert {k: sorted((r["n_tokens"], r["ids_crc32"]) for r in v) for k, v in by.items()} == {k: sorted(v) for k, v in want.items()}
@@ -66,5 +77,34 @@ def test_round_trip(stored, shard, encoder):
     assert keys == sorted(keys)
 
 
+def test_select_and_rank_over_many_blocks(monkeypatch):
+    monkeypatch.setattr(module, "BLOCK", 1024)
+    rng = np.random.default_rng(6)
+    # A frequent, a rare and an absent bit by turns.
+    bits = np.concatenate([rng.random(3000) < 0.5, np.zeros(5000, bool), np.ones(4000, bool), rng.random(2500) < 0.01])
+    plane = module.Plane.build(bits, module.zstandard.ZstdCompressor().compress)
+    for bit in (0, 1):
+        places = np.flatnonzero(bits == bit)
+        assert [plane.select(bit, k) for k in range(len(places))] == places.tolist()
+    ones = np.concatenate([[0], np.cumsum(bits)])
+    assert [plane.rank1(i) for i in range(len(bits) + 1)] == ones.tolist() and plane.zeros == len(bits) - ones[-1]
+
+
+def test_access_inflates_the_blocks_on_its_way_only(monkeypatch):
+    monkeypatch.setattr(module, "BLOCK", 1024)
+    w = WaveletMatrix.from_bytes(WaveletMatrix.build(np.random.default_rng(1).integers(0, 200, 50_000).astype(np.uint32)).to_bytes())
+    w.access(777)
+    assert all(len(p.held) <= 2 < len(p.blocks) for p in w.planes)
+
+
+def test_a_file_alone_gives_documents_and_ids(stored, spark, library):
+    shards = write_shards(stored, Scratch(spark, "test"), tokenizer_path(), shard_tokens=400).select("file").collect()
+    assert shards
+    got = sorted((str(d), ids.tolist()) for r in shards for d, ids in WaveletMatrix.from_bytes(bytes(r["file"])).documents())
+    assert got == sorted((str(r["doc_id"]), library.encode(r["text"] or "", add_special_tokens=False).ids + [0]) for r in stored.collect())
+    with pytest.raises(ValueError):
+        WaveletMatrix.from_bytes(bytes(shards[0]["file"])[:-3])
+
+
 def test_empty_table(none):
     assert token_index(none, tokenizer_path()).collect() == []

@@ -1,11 +1,14 @@
 """Token ids in shards, each one compressed file with a wavelet matrix.
 
 A shard's file holds the shard's token sequence as bit planes (the wavelet matrix of Claude, Navarro and
-Ordóñez) with a rank directory, its alphabet and its documents. Single tokens, counts and the places of an id
-are read from the planes without decoding the rest; decode() returns the whole sequence.
-
-Documents are sorted by doc_id (nulls first, repeated doc_ids in the order of the rows). Null texts are empty;
-an empty document has its end id alone. An empty table gives no shard and no row.
+Ordóñez), its alphabet and its documents (their ids and lengths, and what is carried along). Planes are cut into blocks of
+BLOCK bits that are compressed apart; the header has the ones before each block and samples for select. So single tokens, counts
+and the places of an id are read by inflating the blocks on their way alone; decode() returns the whole sequence.
+A file answers by itself: `WaveletMatrix.from_bytes` needs nothing else.
+
+Ids are those of the tokenizers library at its defaults, without added special tokens. Documents are sorted by doc_id (nulls
+first, repeated doc_ids in the order of the rows). Null texts are empty; an empty document has its end id alone. A very long document has
+a shard of its own. An empty table gives no shard and no row.
 """
 
 from __future__ import annotations
@@ -22,12 +25,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import Scratch
+from .storage import Scratch, narrowed
 from .text import pieces, rows, utf8
 
-MAGIC = b"WVM1"
-#: Bits between two entries of the rank directory.
-STEP = 512
+MAGIC = b"WVM2"
+#: Bits of a block of a plane, and bits between two entries of the rank directory of an inflated block.
+BLOCK, STEP = 1 << 18, 512
 #: Marks a cut inside a word while it is encoded; texts with this character are encoded as they are.
 CUT = "\x01"
 #: Words whose ids an encoder keeps.
@@ -36,56 +39,95 @@ KEEP = 800_000
 SHARD_TOKENS = 1 << 20
 
 
+class Plane:
+    """Bits with rank and select. Blocks are inflated when they are first asked for."""
+
+    def __init__(self, n: int, blocks: list[bytes], before: np.ndarray):
+        """blocks: compressed; before: ones before each block, and all."""
+        self.n, self.blocks, self.before = n, blocks, before
+        self.zeros = n - int(before[-1])
+        starts = np.minimum(np.arange(len(before), dtype=np.int64) * BLOCK, n)
+        self.counts = (starts - before, before)
+        # For each bit, the block of every BLOCK-th such bit, so select looks at a few blocks only.
+        self.samples = tuple(np.searchsorted(c, np.arange(0, int(c[-1]) + BLOCK, BLOCK), "right") - 1 for c in self.counts)
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    @classmethod
+    def build(cls, bit: np.ndarray, pack) -> Plane:
+        packed = np.packbits(bit, bitorder="little")
+        parts = [packed[k : k + BLOCK // 8] for k in range(0, len(packed), BLOCK // 8)]
+        before = np.cumsum([0] + [int(np.bitwise_count(x).sum(dtype=np.int64)) for x in parts])
+        return cls(len(bit), [pack(x.tobytes()) for x in parts], before)
+
+    def _block(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, ones before every STEP bits of the block)."""
+        if k not in self.held:
+            data = np.zeros(BLOCK // 8, np.uint8)
+            raw = zstandard.ZstdDecompressor().decompress(self.blocks[k])
+            data[: len(raw)] = np.frombuffer(raw, np.uint8)
+            self.held[k] = data, np.concatenate([[0], np.cumsum(np.bitwise_count(data).reshape(-1, STEP // 8).sum(axis=1, dtype=np.int64))])
+        return self.held[k]
+
+    def bits(self) -> np.ndarray:
+        unpack = zstandard.ZstdDecompressor().decompress
+        return np.unpackbits(np.frombuffer(b"".join(map(unpack, self.blocks)), np.uint8), bitorder="little", count=self.n).view(bool)
+
+    def get(self, i: int) -> int:
+        return int(self._block(i // BLOCK)[0][i % BLOCK >> 3] >> (i & 7)) & 1
+
+    def rank1(self, i: int) -> int:
+        """Ones before place i."""
+        k, rest = divmod(i, BLOCK)
+        if not rest:
+            return int(self.before[k])
+        data, ranks = self._block(k)
+        step = rest // STEP
+        part = np.unpackbits(data[step * STEP // 8 : (rest + 7) // 8], bitorder="little")[: rest - step * STEP]
+        return int(self.before[k] + ranks[step] + part.sum())
+
+    def select(self, bit: int, k: int) -> int:
+        """Place of the k-th (from 0) such bit."""
+        counts, sample = self.counts[bit], self.samples[bit]
+        low, high = int(sample[k // BLOCK]), int(sample[k // BLOCK + 1])
+        block = low + int(np.searchsorted(counts[low : high + 1], k, "right")) - 1
+        data, ranks = self._block(block)
+        k -= int(counts[block])
+        if not bit:
+            ranks = np.arange(len(ranks), dtype=np.int64) * STEP - ranks
+        step = int(np.searchsorted(ranks, k, "right")) - 1
+        part = np.unpackbits(data[step * STEP // 8 : (step + 1) * STEP // 8], bitorder="little")
+        return block * BLOCK + step * STEP + int(np.flatnonzero(part == bit)[k - ranks[step]])
+
+
 class WaveletMatrix:
-    """Bit planes of a sequence over a sorted alphabet, the highest bit first. Behind each plane, zeros come before ones."""
+    """Bit planes of a sequence over a sorted alphabet, the highest bit first, and the documents that it consists of. Behind each plane, zeros come before ones."""
 
-    def __init__(self, n: int, alphabet: np.ndarray, planes: list[np.ndarray], zeros: list[int], ranks: list[np.ndarray]):
-        self.n, self.alphabet, self.planes, self.zeros, self.ranks = n, alphabet, planes, zeros, ranks
+    def __init__(self, n: int, alphabet: np.ndarray, planes: list[Plane], doc_ids: list[int | None], counts: np.ndarray, carried: np.ndarray | None = None):
+        self.n, self.alphabet, self.planes, self.doc_ids, self.counts, self.carried = n, alphabet, planes, doc_ids, counts, carried
 
     @classmethod
-    def build(cls, ids: np.ndarray) -> WaveletMatrix:
+    def build(cls, ids: np.ndarray, doc_ids: list[int | None] | None = None, counts: np.ndarray | None = None, carried: list[float | None] | None = None) -> WaveletMatrix:
+        pack = zstandard.ZstdCompressor(level=1).compress
         alphabet = np.flatnonzero(np.bincount(ids)).astype(np.uint32) if len(ids) else np.zeros(0, np.uint32)
         code = np.zeros(int(alphabet[-1]) + 1 if len(alphabet) else 1, np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)
         code[alphabet] = np.arange(len(alphabet))
         values, width = code[ids], max(1, int(len(alphabet) - 1).bit_length()) if len(alphabet) else 1
-        planes, zeros, ranks = [], [], []
+        planes = []
         for k in range(width - 1, -1, -1):
             bit = (values & values.dtype.type(1 << k)) != 0
-            planes.append(np.packbits(bit, bitorder="little"))
-            whole = np.zeros(-(-len(bit) // STEP) * STEP // 8, np.uint8)
-            whole[: len(planes[-1])] = planes[-1]
-            ranks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(whole).reshape(-1, STEP // 8).sum(axis=1, dtype=np.int64))]).astype(np.uint32))
-            low = np.flatnonzero(~bit)
-            zeros.append(len(low))
-            values = np.concatenate([values.take(low), values.take(np.flatnonzero(bit))])
-        return cls(len(ids), alphabet, planes, zeros, ranks)
-
-    def rank1(self, level: int, i: int) -> int:
-        """Ones of a plane before place i."""
-        block = i // STEP
-        first = block * STEP // 8
-        part = np.unpackbits(self.planes[level][first : (i + 7) // 8], bitorder="little")[: i - block * STEP]
-        return int(self.ranks[level][block]) + int(part.sum())
-
-    def select(self, level: int, bit: int, k: int) -> int:
-        """Place of the k-th (from 0) such bit of a plane."""
-        ranks = self.ranks[level].astype(np.int64)
-        if not bit:
-            ranks = np.minimum(np.arange(len(ranks), dtype=np.int64) * STEP, self.n) - ranks
-        block = int(np.searchsorted(ranks, k, "right")) - 1
-        part = np.unpackbits(self.planes[level][block * STEP // 8 : (block + 1) * STEP // 8], bitorder="little")[: self.n - block * STEP]
-        return block * STEP + int(np.flatnonzero(part == bit)[k - ranks[block]])
+            planes.append(Plane.build(bit, pack))
+            values = np.concatenate([values.take(np.flatnonzero(~bit)), values.take(np.flatnonzero(bit))])
+        return cls(len(ids), alphabet, planes, doc_ids or [], np.array([] if counts is None else counts, np.int64), None if carried is None else np.array([np.nan if x is None else x for x in carried], float))
 
     def access(self, i: int) -> int:
         """The token at place i."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for level in range(len(self.planes)):
-            bit = int(self.planes[level][i >> 3] >> (i & 7)) & 1
-            ones = self.rank1(level, i)
+        for plane in self.planes:
+            bit, ones = plane.get(i), plane.rank1(i)
             value = value << 1 | bit
-            i = self.zeros[level] + ones if bit else i - ones
+            i = plane.zeros + ones if bit else i - ones
         return int(self.alphabet[value])
 
     def _range(self, token: int, i: int) -> tuple[int, int]:
@@ -93,9 +135,9 @@ class WaveletMatrix:
         if value >= len(self.alphabet) or self.alphabet[value] != token:
             return 0, 0
         low, high, width = 0, i, len(self.planes)
-        for level in range(width):
-            a, b = self.rank1(level, low), self.rank1(level, high)
-            low, high = (self.zeros[level] + a, self.zeros[level] + b) if value >> (width - 1 - level) & 1 else (low - a, high - b)
+        for level, plane in enumerate(self.planes):
+            a, b = plane.rank1(low), plane.rank1(high)
+            low, high = (plane.zeros + a, plane.zeros + b) if value >> (width - 1 - level) & 1 else (low - a, high - b)
         return low, high
 
     def rank(self, token: int, i: int) -> int:
@@ -113,50 +155,60 @@ class WaveletMatrix:
         for at in range(low, high):
             for level in range(width - 1, -1, -1):
                 bit = value >> (width - 1 - level) & 1
-                at = self.select(level, bit, at - self.zeros[level] if bit else at)
+                at = self.planes[level].select(bit, at - self.planes[level].zeros if bit else at)
             out.append(at)
         return out
 
     def decode(self) -> np.ndarray:
         """The whole sequence, from the last plane up."""
         values = np.zeros(self.n, np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32)
-        for k, (plane, zero) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
-            bit = np.unpackbits(plane, bitorder="little", count=self.n).view(bool)
+        for k, plane in enumerate(reversed(self.planes)):
+            bit = plane.bits()
             before = np.empty_like(values)
-            before[np.flatnonzero(~bit)] = values[:zero]
-            before[np.flatnonzero(bit)] = values[zero:] | values.dtype.type(1 << k)
+            before[np.flatnonzero(~bit)] = values[: plane.zeros]
+            before[np.flatnonzero(bit)] = values[plane.zeros :] | values.dtype.type(1 << k)
             values = before
         return self.alphabet[values]
 
+    def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
+        """(doc_id, ids) of each document."""
+        ids, ends = self.decode(), np.cumsum(self.counts)
+        for doc_id, a, e in zip(self.doc_ids, (ends - self.counts).tolist(), ends.tolist(), strict=True):
+            yield doc_id, ids[a:e]
+
     def to_bytes(self) -> bytes:
-        packed = zstandard.ZstdCompressor(level=1).compress
-        out = [struct.pack("<4sQIB", MAGIC, self.n, len(self.alphabet), len(self.planes)), packed(self.alphabet.astype("<u4").tobytes())]
-        for plane, zero, rank in zip(self.planes, self.zeros, self.ranks, strict=True):
-            out += [struct.pack("<Q", zero), packed(rank.astype("<u4").tobytes()), packed(plane.tobytes())]
-        return b"".join(x if k == 0 or len(x) == 8 and k % 3 == 2 else struct.pack("<I", len(x)) + x for k, x in enumerate(out))
+        """Header; alphabet, documents' null flags, ids, lengths and carried values; then of each plane its ones before the blocks and its blocks. Each part behind its length."""
+        pack = zstandard.ZstdCompressor(level=1).compress
+        flags = np.array([d is None for d in self.doc_ids], bool)
+        parts = [self.alphabet.astype("<u4"), np.packbits(flags), np.array([d or 0 for d in self.doc_ids], "<i8"), self.counts.astype("<i8"), np.array([] if self.carried is None else self.carried, "<f8")]
+        out = [pack(x.tobytes()) for x in parts]
+        for plane in self.planes:
+            out += [pack(plane.before.astype("<i8").tobytes()), *plane.blocks]
+        header = struct.pack("<4sQQBB", MAGIC, self.n, len(self.doc_ids), len(self.planes), self.carried is not None)
+        return header + b"".join(struct.pack("<I", len(x)) + x for x in out)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
-        magic, n, size, width = struct.unpack_from("<4sQIB", data)
+        magic, n, docs, width, carries = struct.unpack_from("<4sQQBB", data)
         if magic != MAGIC:
             raise ValueError("not a shard file")
-        at, unpack = struct.calcsize("<4sQIB"), zstandard.ZstdDecompressor().decompress
+        at, unpack = struct.calcsize("<4sQQBB"), zstandard.ZstdDecompressor().decompress
 
-        def part(kind: str) -> np.ndarray:
+        def part() -> bytes:
             nonlocal at
             (length,) = struct.unpack_from("<I", data, at)
             at += 4 + length
-            return np.frombuffer(unpack(data[at - length : at]), kind)
+            if at > len(data):
+                raise ValueError("damaged shard file")
+            return data[at - length : at]
 
-        alphabet, planes, zeros, ranks = part("<u4"), [], [], []
+        alphabet, flags, doc_ids, counts, carried = (np.frombuffer(unpack(part()), k) for k in ("<u4", "u1", "<i8", "<i8", "<f8"))
+        none = np.unpackbits(flags, count=docs).view(bool).tolist()
+        planes = []
         for _ in range(width):
-            zeros.append(struct.unpack_from("<Q", data, at)[0])
-            at += 8
-            ranks.append(part("<u4"))
-            planes.append(part("u1"))
-        if len(alphabet) != size:
-            raise ValueError("damaged shard file")
-        return cls(n, alphabet, planes, zeros, ranks)
+            before = np.frombuffer(unpack(part()), "<i8")
+            planes.append(Plane(n, [part() for _ in range(len(before) - 1)], before))
+        return cls(n, alphabet, planes, [None if x else d for d, x in zip(doc_ids.tolist(), none, strict=True)], counts, carried if carries else None)
 
 
 class Encoder:
@@ -164,8 +216,8 @@ class Encoder:
 
     A byte-level BPE splits text before a single space, so a text's ids are those of its words, each with the
     space before it. It also splits between a letter and a mark that ends the word, and before a lone line end;
-    there, too, words are cut, which keeps them few. Texts in which a space follows a space or ends the text are
-    encoded as they are.
+    there, too, words are cut, which keeps them few. Texts in which a space follows a space or ends the text, and those that hold an added
+    token, are encoded as they are.
     Beyond `keep` words, those met once are forgotten.
     """
 
@@ -173,12 +225,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, k in vocabulary.items():
             self.bytes_of[k] = len(token)
         self.keep = keep
+        #: What makes a text one that is encoded as it is.
+        self.marks = ["  ", CUT, *sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
         self.byte_level = self._is_byte_level()
         self._forget()
 
@@ -241,7 +294,7 @@ class Encoder:
         odd = pc.or_(pc.starts_with(column, " "), pc.ends_with(column, " ")).to_numpy(zero_copy_only=False) | (not self.byte_level)
         # Looked for in all texts at once first: most have neither. A find may span two texts, so each is asked then.
         together = utf8(column)[0].tobytes()
-        for mark in ("  ", CUT):
+        for mark in self.marks:
             if mark.encode() in together:
                 odd |= pc.match_substring(column, mark).to_numpy(zero_copy_only=False)
         full = pc.binary_length(column).to_numpy() > 0
@@ -297,10 +350,10 @@ def encoder(path: str, keep: int = KEEP) -> Encoder:
 
 
 def _write(path: str, end_id: int, shard_tokens: int, keep: int = KEEP, carry: bool = False):
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("file", pa.binary()), *([("carried", pa.list_(pa.float64()))] if carry else [])])
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("file", pa.binary())])
 
     def shard(part: int, block: int, before: int, ids: np.ndarray, doc_ids: list, counts: np.ndarray, carried: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"part": [part], "block": [block], "before": [before], "n_tokens": [len(ids)], "doc_ids": [doc_ids], "counts": [counts.tolist()], "file": [WaveletMatrix.build(ids).to_bytes()], **({"carried": [carried]} if carry else {})}, schema)
+        return pa.RecordBatch.from_pydict({"part": [part], "block": [block], "before": [before], "n_tokens": [len(ids)], "file": [WaveletMatrix.build(ids, doc_ids, counts, carried if carry else None).to_bytes()]}, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, enc = -1, encoder(path, keep)
@@ -335,35 +388,39 @@ def _write(path: str, end_id: int, shard_tokens: int, keep: int = KEEP, carry: b
 
 
 def write_shards(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, keep: int = KEEP, carry: str | None = None) -> DataFrame:
-    """Encodes the texts, sorted by doc_id, and writes the shards: part, block, before (ids of the part before the shard), n_tokens, doc_ids, counts, file; and carried, the documents' values of the column `carry`, if one is named."""
+    """Encodes the texts, sorted by doc_id, and writes the shards: part, block, before (ids of the part before the shard), n_tokens and the file, which holds the documents' values of the column `carry`, too, if one is named."""
     more = [carry] if carry else []
     ordered = rows(docs, "text", *more).repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid").select("doc_id", "text", F.spark_partition_id().alias("part"), *more)
-    shards = ordered.mapInArrow(_write(tokenizer, end_id, shard_tokens, keep, bool(carry)), "part int, block int, before bigint, n_tokens bigint, doc_ids array<bigint>, counts array<bigint>, file binary" + (", carried array<double>" if carry else ""))
-    return scratch.table(shards, "shards", compression="none", rows=docs.count(), per_file=4_000)
-
-
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            ids = WaveletMatrix.from_bytes(row["file"]).decode().astype("<u4")
-            counts = np.array(row["counts"], np.int64)
-            ends = np.cumsum(counts)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "part": pa.array([row["part"]] * len(counts), pa.int32()),
-                    "doc_id": pa.array(row["doc_ids"], pa.int64()),
-                    "at": pa.array(row["before"] + ends - counts),
-                    "n_tokens": pa.array(counts),
-                    "ids_crc32": pa.array([zlib.crc32(ids[e - c : e]) for c, e in zip(counts.tolist(), ends.tolist(), strict=True)], pa.int64()),
-                    **({"carried": pa.array(row["carried"], pa.float64())} if "carried" in row else {}),
-                }
-            )
-
-
-def read_documents(shards: DataFrame) -> DataFrame:
+    shards = ordered.mapInArrow(_write(tokenizer, end_id, shard_tokens, keep, bool(carry)), "part int, block int, before bigint, n_tokens bigint, file binary")
+    return scratch.table(narrowed(shards, docs.select("text")), "shards", compression="none")
+
+
+def _read(carry: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, before, file in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                shard = WaveletMatrix.from_bytes(file)
+                ids, counts = shard.decode().astype("<u4"), shard.counts
+                ends = np.cumsum(counts)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "part": pa.array([part] * len(counts), pa.int32()),
+                        "doc_id": pa.array(shard.doc_ids, pa.int64()),
+                        "at": pa.array(before + ends - counts),
+                        "n_tokens": pa.array(counts),
+                        "ids_crc32": pa.array([zlib.crc32(ids[e - c : e]) for c, e in zip(counts.tolist(), ends.tolist(), strict=True)], pa.int64()),
+                        **({"carried": pa.array(shard.carried, from_pandas=True)} if carry else {}),
+                    }
+                )
+
+    return run
+
+
+def read_documents(shards: DataFrame, carry: bool = False) -> DataFrame:
     """Reads the files back: doc_id, start, n_tokens, ids_crc32 of each document, and what is carried."""
-    more = ["carried"] if "carried" in shards.columns else []
-    read = shards.select("part", "before", "doc_ids", "counts", "file", *more).mapInArrow(_read, "part int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint" + ", carried double" * len(more))
+    more = ["carried"] if carry else []
+    read = shards.select("part", "before", "file").mapInArrow(_read(carry), "part int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint" + ", carried double" * len(more))
+    # One row for each range partition, so what is broadcast grows with their number alone.
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     bases = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
     return read.join(bases, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *more)
@@ -371,5 +428,5 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
 def token_index(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, keep: int = KEEP, carry: str | None = None) -> DataFrame:
     """keep: words that each worker remembers, which takes about 250 bytes a word and saves encoding them again; carry: a column of numbers that goes along. Writes the shards of `docs` and returns what their files hold of each document."""
-    found = read_documents(write_shards(docs, Scratch(docs.sparkSession, "tokens"), tokenizer, end_id, shard_tokens, keep, carry))
+    found = read_documents(write_shards(docs, Scratch(docs.sparkSession, "tokens"), tokenizer, end_id, shard_tokens, keep, carry), bool(carry))
     return found.withColumnRenamed("carried", carry) if carry else found
