@@ -5,8 +5,8 @@ itself, affixes of one to three bytes, and byte bigrams and trigrams), neighbour
 transitions, and forward-backward gives each word's distribution, so stretches in another language are labelled
 as such. A text's language is the one with the largest mean marginal, and that mean is its score.
 
-Words are runs of ASCII letters and non-ASCII characters, ASCII and Latin-1 letters lower-cased. A text is labelled
-in chains of CHAIN words.
+Words are runs of ASCII letters and non-ASCII characters, ASCII and Latin-1 letters lower-cased. A text is one chain. It is worked on in
+blocks of CHAIN words, which hand each other their forward and backward messages until these settle, so labels don't depend on where blocks end.
 
 The model is fitted on a bounded sample: about SAMPLE_DOCS labelled documents of each language, chosen by a hash of
 the doc_id, and of each up to SAMPLE_WORDS words in runs spread over the whole text. So that transitions mean
@@ -14,6 +14,7 @@ something, training chains join runs of different languages.
 
 Texts that are null or have no letters get `und` and score 0. Rows with null lang or null text are not learned from.
 With nothing to learn from every text gets `und`. Repeated rows are predicted alike; ties go to the language that sorts first.
+Columns of the input that have the names of the new ones are replaced. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ SAMPLE_DOCS, SAMPLE_WORDS, RUN = 800, 96, 12
 #: Languages at most; more distinct labels are an error in the data.
 LANGUAGES = 256
 CHAIN = 64
+#: Change of a message between blocks that no longer counts.
+SETTLED = 1e-6
 #: Rows of the weight table: trigrams, bigrams, affixes and words share the last part.
 CODES = 64
 TRIGRAMS, HASHED = CODES**3, 1 << 18
@@ -108,21 +111,25 @@ def emissions(words: Words, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def forward_backward(scores: np.ndarray, length: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """scores: chains x places x labels, of which each chain has its first `length` places. Returns marginals, expected transitions, log partition."""
+def forward_backward(scores: np.ndarray, length: np.ndarray, transition: np.ndarray, entry: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """scores: chains x places x labels, of which each chain has its first `length` places; entry and leave: factors from what is before and behind the chains.
+
+    Returns marginals, expected transitions, log partition, and the messages that chains send ahead and back.
+    """
     chains, places, labels = scores.shape
     top = scores.max(axis=2, keepdims=True)
     e, a = np.exp(scores - top).astype(np.float64), np.exp(transition).astype(np.float64)
     forward = np.empty((chains, places, labels))
     scale = np.ones((chains, places))
-    now = e[:, 0]
+    now = e[:, 0] if entry is None else e[:, 0] * entry
     for t in range(places):
         if t:
             now = (forward[:, t - 1] @ a) * e[:, t]
         scale[:, t] = now.sum(axis=1)
         forward[:, t] = now / scale[:, t, None]
     live = np.arange(places) < length[:, None]
-    backward = np.ones((chains, labels))
+    end = np.ones((chains, labels)) if leave is None else leave
+    backward = end
     marginal = np.empty_like(forward)
     pairs = np.zeros((labels, labels))
     for t in range(places - 1, -1, -1):
@@ -130,9 +137,10 @@ def forward_backward(scores: np.ndarray, length: np.ndarray, transition: np.ndar
         if t:
             ahead = e[:, t] * backward / scale[:, t, None]
             pairs += (forward[:, t - 1] * live[:, t, None]).T @ (ahead * live[:, t, None])
-            backward = np.where(live[:, t, None], ahead @ a.T, 1.0)
+            backward = np.where(live[:, t, None], ahead @ a.T, end)
     marginal /= marginal.sum(axis=2, keepdims=True)
-    return marginal, pairs * a, ((np.log(scale) + top[:, :, 0]) * live).sum(axis=1)
+    ahead, back = forward[np.arange(chains), length - 1] @ a, (e[:, 0] * backward) @ a.T
+    return marginal, pairs * a, ((np.log(scale) + top[:, :, 0]) * live).sum(axis=1), ahead / ahead.sum(axis=1, keepdims=True), back / back.sum(axis=1, keepdims=True)
 
 
 class Model:
@@ -147,31 +155,45 @@ class Model:
         chains = -(-count // CHAIN)
         if not len(scores):
             return scores, word_at
-        # Place of each word in a grid of chains.
+        # Place of each word in a grid of blocks.
         row_at = np.cumsum(chains) - chains
         doc = np.repeat(np.arange(len(count)), count)
         k = np.arange(len(scores)) - word_at[:-1][doc]
         row, place = row_at[doc] + k // CHAIN, k % CHAIN
         length = np.bincount(row, minlength=int(chains.sum()))
+        first = np.searchsorted(row, np.arange(len(length)))
         out = np.empty_like(scores)
-        order = np.argsort(length, kind="stable")
-        # Chains of like lengths together, so that short ones aren't filled up.
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        by = np.argsort(rank[row], kind="stable")
-        ends = np.cumsum(length[order])
-        i = 0
-        while i < len(order):
-            j = min(len(order), i + 2048)
-            longest = int(length[order[i]])
-            limit = max(longest + 4, longest * 5 // 4)
-            j = min(j, int(np.searchsorted(length[order], limit, "right")))
-            mine = by[ends[i] - length[order[i]] : ends[j - 1]]
-            grid = np.zeros((j - i, int(length[order[j - 1]]), scores.shape[1]), np.float32)
-            r, p = rank[row[mine]] - i, place[mine]
-            grid[r, p] = scores[mine]
-            out[mine] = forward_backward(grid, length[order[i:j]], self.transition)[0][r, p]
-            i = j
+        owner = np.repeat(np.arange(len(count)), chains)
+        joined = owner[1:] == owner[:-1]
+        # What comes from the block before and from the one behind; at a text's ends it says nothing.
+        labels = scores.shape[1]
+        entry, leave = np.ones((2, len(length), labels)) / labels
+        todo = np.arange(len(length))
+        while len(todo):
+            sent = np.empty((2, len(todo), labels))
+            order = np.argsort(length[todo], kind="stable")
+            i = 0
+            while i < len(order):
+                # Blocks of like lengths together, so that short ones aren't filled up.
+                shortest = int(length[todo[order[i]]])
+                j = min(len(order), i + 2048, int(np.searchsorted(length[todo[order]], max(shortest + 4, shortest * 5 // 4), "right")))
+                mine = todo[order[i:j]]
+                size = length[mine]
+                words_of = np.repeat(first[mine] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                r, p = np.repeat(np.arange(j - i), size), place[words_of]
+                grid = np.zeros((j - i, int(size.max()), labels), np.float32)
+                grid[r, p] = scores[words_of]
+                marginal, _, _, sent[0, order[i:j]], sent[1, order[i:j]] = forward_backward(grid, size, self.transition, entry[mine], leave[mine])
+                out[words_of] = marginal[r, p]
+                i = j
+            on, back = todo[(todo < len(length) - 1)], todo[todo > 0]
+            on, back = on[joined[on]], back[joined[back - 1]]
+            to_next, to_last = sent[0, np.searchsorted(todo, on)], sent[1, np.searchsorted(todo, back)]
+            news = np.zeros(len(length), bool)
+            news[on + 1] |= np.abs(entry[on + 1] - to_next).max(axis=1, initial=0) > SETTLED
+            news[back - 1] |= np.abs(leave[back - 1] - to_last).max(axis=1, initial=0) > SETTLED
+            entry[on + 1], leave[back - 1] = to_next, to_last
+            todo = np.flatnonzero(news)
         return out, word_at
 
     def predict(self, data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -237,7 +259,7 @@ def fit(samples: list[tuple[str, str]], epochs: int = 14, rate: float = 0.15, pe
         scores = np.concatenate([_sums(weights, gram_row, first, rest_row, i, min(i + 20_000, len(first))) for i in range(0, len(first), 20_000)])
         chain = np.zeros((chains * places, k))
         chain[: len(flat)] = scores[flat]
-        marginal, pairs, _ = forward_backward(chain.reshape(chains, places, k), length, transition)
+        marginal, pairs, *_ = forward_backward(chain.reshape(chains, places, k), length, transition)
         wrong = -marginal
         wrong[np.arange(chains)[:, None], np.arange(places), truth] += 1
         wrong[~live] = 0
@@ -273,20 +295,21 @@ def learn(docs: DataFrame, train: Column, sample_docs: int = SAMPLE_DOCS) -> Mod
         raise ValueError(f"more than {LANGUAGES} languages")
     if not counts:
         return None
-    # A hash of the doc_id picks each document with the share that leaves about sample_docs of its language.
+    # A hash of the row picks it with the share that leaves about sample_docs of its language.
     share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, sample_docs / n)))])[F.col("lang")]
-    place = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) / (1 << 30)
-    picked = known.where(place < share).select("lang", "doc_id", "text").limit(2 * sample_docs * len(counts))
-    runs = picked.mapInArrow(_runs, "doc_id bigint, lang string, run string")
-    found = sorted((r["lang"], r["doc_id"] or 0, r["run"]) for r in runs.collect())
-    return fit([(lang, run) for lang, _, run in found])
+    place = F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
+    picked = known.withColumn("place", place).where(F.col("place") < share).select("lang", "place", "text")
+    runs = picked.mapInArrow(_runs, "place double, lang string, run string")
+    # The bound holds for tables of many repeated rows, too, whose hashes are equal.
+    runs = runs.orderBy("place", "lang", "run").limit(2 * sample_docs * len(counts) * -(-SAMPLE_WORDS // RUN))
+    return fit([(lang, run) for lang, _, run in sorted((r["lang"], r["place"], r["run"]) for r in runs.collect())])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [(doc_id, lang, run) for lang, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for run in spread(text)]
+        out = [(place, lang, run) for lang, place, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for run in spread(text)]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "lang", "run"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.float64(), pa.string(), pa.string()), strict=True)], names=["place", "lang", "run"])
 
 
 def _letters(text: str | None) -> bool:
@@ -295,6 +318,7 @@ def _letters(text: str | None) -> bool:
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", language: str = "lang_pred", score: str = "lang_score") -> DataFrame:
     """Adds the predicted language and its score to every row."""
+    docs = docs.drop(language, score)
     if model is None:
         return docs.withColumns({language: F.lit("und"), score: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -1,16 +1,18 @@
 """Quality classification by a regularised quadratic discriminant.
 
 A text is described by statistics of its characters, words and lines, each transformed towards a bell shape. Each
-class is a Gaussian whose covariance is shrunk towards the pooled one and its diagonal (`POOL`, `DIAGONAL`); a text's
+class is a Gaussian whose covariance is shrunk towards the pooled one and its diagonal; a text's
 score is the logistic of the difference of log-densities (Mahalanobis distances by cached Cholesky factors) with
-the class shares as priors.
+the class shares as priors, divided by a factor, as texts' statistics aren't quite Gaussian.
 
 Learning needs each class's count, mean and covariance alone. They are summed over all labelled rows in the
-tasks and added up, so nothing is sampled and a few kilobytes reach the driver.
+tasks, for two halves apart, and added up, so nothing is sampled and some kilobytes reach the driver. The shares of shrinkage and
+the factor are those of CHOICES and SOFTENINGS whose models, each fitted on one half, give the labels of the other half the highest likelihood.
 
 Null and empty texts have the statistics of an empty text and are scored like others. Labels that are null or not 0
 or 1 are ignored; a doc_id with several labels takes the lowest. If a class has no rows, every score is the share of
-label 1 (0.5 without labels). Repeated rows score alike.
+label 1 (0.5 without labels). Repeated rows score alike, and fall in the same half. Of equal likelihoods the first choice is taken. Very
+long texts are read whole.
 """
 
 from __future__ import annotations
@@ -25,10 +27,9 @@ from pyspark.sql import types as T
 
 from .text import hash_words, mix, pieces, segment, sums
 
-#: Shares of the pooled covariance and of the diagonal in a class's covariance.
-POOL, DIAGONAL = 0.01, 0.005
-#: Log-odds are divided by this before the logistic, as texts' statistics aren't quite Gaussian.
-SOFTEN = 4.0
+#: Shares of the pooled covariance and of the diagonal in a class's covariance, and what log-odds are divided by: what is tried.
+CHOICES = tuple((pool, diagonal) for pool in (0.01, 0.05, 0.2) for diagonal in (0.005, 0.05, 0.2))
+SOFTENINGS = (1.0, 2.0, 4.0, 8.0)
 
 NAMES = (
     "bytes words word_length capitals digits marks symbols pipes exclamations blanks non_ascii distinct_words top_word repeated_neighbours "
@@ -120,7 +121,8 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 class Model:
     """Two shrunk Gaussians; chol are the Cholesky factors of their covariances."""
 
-    def __init__(self, count: np.ndarray, total: np.ndarray, product: np.ndarray):
+    def __init__(self, count: np.ndarray, total: np.ndarray, product: np.ndarray, pool: float = CHOICES[0][0], diagonal: float = CHOICES[0][1], soften: float = SOFTENINGS[0]):
+        self.pool, self.diagonal, self.soften = pool, diagonal, soften
         self.share = float(count[1] / count.sum()) if count.sum() else 0.5
         self.mean = self.chol = None
         if (count < 2).any():
@@ -131,17 +133,23 @@ class Model:
         within = scatter.sum(axis=0) / count.sum()
         floor = np.maximum(np.diag(within), 1e-6) * 1e-3 + 1e-7
         own = scatter / count[:, None, None]
-        mixed = (1 - POOL - DIAGONAL) * own + POOL * within + DIAGONAL * np.stack([np.diag(np.diag(x)) for x in own])
+        mixed = (1 - pool - diagonal) * own + pool * within + diagonal * np.stack([np.diag(np.diag(x)) for x in own])
         self.chol = np.linalg.cholesky(mixed + np.diag(floor))
         self.log_det = 2 * np.log(np.diagonal(self.chol, axis1=1, axis2=2)).sum(axis=1)
 
+    def odds(self, x: np.ndarray) -> np.ndarray:
+        """Log-odds of label 1 as the densities have them."""
+        if self.chol is None:
+            share = min(max(self.share, 1e-12), 1 - 1e-12)
+            return np.full(len(x), np.log(share / (1 - share)))
+        density = np.stack([-0.5 * ((np.linalg.solve(self.chol[c], (x - self.mean[c]).T) ** 2).sum(axis=0) + self.log_det[c]) for c in (0, 1)])
+        return density[1] - density[0] + np.log(self.share / (1 - self.share))
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """The probability of label 1."""
         if self.chol is None:
             return np.full(len(x), self.share)
-        density = np.stack([-0.5 * ((np.linalg.solve(self.chol[c], (x - self.mean[c]).T) ** 2).sum(axis=0) + self.log_det[c]) for c in (0, 1)])
-        odds = (density[1] - density[0] + np.log(self.share / (1 - self.share))) / SOFTEN
-        return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.odds(x) / self.soften, -40, 40)))
 
 
 def describe(docs: DataFrame, *keep: str) -> DataFrame:
@@ -158,28 +166,58 @@ def describe(docs: DataFrame, *keep: str) -> DataFrame:
     return kept.mapInArrow(run, T.StructType([*kept.drop("text").schema.fields, T.StructField("x", T.ArrayType(T.DoubleType()))]))
 
 
+def _x(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, len(NAMES))
+
+
+def _losses(models, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Summed negative log-likelihoods of the labels by the models that were fitted on the other half."""
+    loss = np.zeros((len(CHOICES), len(SOFTENINGS)))
+    for batch in batches:
+        label, half = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        x = _x(batch.column(2))
+        for h in (0, 1):
+            mine, sign = x[half == h], 1 - 2 * label[half == h]
+            for c, model in enumerate(models[1 - h]):
+                odds = model.odds(mine) * sign
+                for k, soften in enumerate(SOFTENINGS):
+                    loss[c, k] += np.logaddexp(0, np.clip(odds / soften, -40, 40)).sum()
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(loss.size, dtype=np.int32)), pa.array(loss.ravel())], names=["k", "v"])
+
+
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    width = len(NAMES)
+    count, total, product = np.zeros((2, 2)), np.zeros((2, 2, width)), np.zeros((2, 2, width, width))
+    for batch in batches:
+        label, half = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        x = _x(batch.column(2))
+        for h in (0, 1):
+            for c in (0, 1):
+                mine = x[(label == c) & (half == h)]
+                count[h, c] += len(mine)
+                total[h, c] += mine.sum(axis=0)
+                product[h, c] += mine.T @ mine
+    flat = np.concatenate([count.ravel(), total.ravel(), product.ravel()])
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["k", "v"])
+
+
 def learn(described: DataFrame) -> Model:
-    """Fits the model on rows (label, x), all of them."""
+    """Fits the model on rows (label, x), all of them; they are read twice, so they had better be stored."""
     width = len(NAMES)
+    known = described.where("label in (0, 1)").select(F.col("label").cast("int").alias("label"), F.pmod(F.xxhash64("x"), F.lit(2)).cast("int").alias("half"), "x")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, total, product = np.zeros(2), np.zeros((2, width)), np.zeros((2, width, width))
-        for batch in batches:
-            label = batch.column(0).to_numpy(zero_copy_only=False)
-            x = batch.column(1).flatten().to_numpy().reshape(-1, width)
-            for c in (0, 1):
-                mine = x[label == c]
-                count[c] += len(mine)
-                total[c] += mine.sum(axis=0)
-                product[c] += mine.T @ mine
-        flat = np.concatenate([count, total.ravel(), product.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["k", "v"])
+    def summed(parts: DataFrame, size: int) -> np.ndarray:
+        flat = np.zeros(size)
+        for row in parts.groupBy("k").agg(F.sum("v").alias("v")).collect():
+            flat[row["k"]] = row["v"]
+        return flat
 
-    parts = described.where("label in (0, 1)").select(F.col("label").cast("int").alias("label"), "x").mapInArrow(run, "k int, v double")
-    flat = np.zeros(2 + 2 * width + 2 * width * width)
-    for row in parts.groupBy("k").agg(F.sum("v").alias("v")).collect():
-        flat[row["k"]] = row["v"]
-    return Model(flat[:2], flat[2 : 2 + 2 * width].reshape(2, width), flat[2 + 2 * width :].reshape(2, width, width))
+    flat = summed(known.mapInArrow(_moments, "k int, v double"), 4 * (1 + width + width * width))
+    count, total, product = flat[:4].reshape(2, 2), flat[4 : 4 + 4 * width].reshape(2, 2, width), flat[4 + 4 * width :].reshape(2, 2, width, width)
+    halves = [[Model(count[h], total[h], product[h], *c) for c in CHOICES] for h in (0, 1)]
+    loss = summed(known.mapInArrow(lambda batches: _losses(halves, batches), "k int, v double"), len(CHOICES) * len(SOFTENINGS))
+    choice, soften = divmod(int(loss.argmin()), len(SOFTENINGS))
+    return Model(count.sum(axis=0), total.sum(axis=0), product.sum(axis=0), *CHOICES[choice], SOFTENINGS[soften])
 
 
 def score(described: DataFrame, model: Model, *keep: str) -> DataFrame:
@@ -189,7 +227,7 @@ def score(described: DataFrame, model: Model, *keep: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(len(keep)).flatten().to_numpy().reshape(-1, len(NAMES))
+            x = _x(batch.column(len(keep)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(shared.value.score(x))], names=[*keep, "score"])
 
     return kept.mapInArrow(run, T.StructType([*kept.drop("x").schema.fields, T.StructField("score", T.DoubleType())]))

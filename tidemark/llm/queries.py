@@ -116,10 +116,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scratch = Scratch(spark, "quality")
     docs = _table(spark, sf_dir, "documents")
-    described = scratch.table(describe(docs, "doc_id"), "described", rows=docs.count(), per_file=10_000)
+    described = scratch.table(describe(docs, "doc_id"), "described", rows=docs.count(), dealt=True)
     rest = crc_mod(F.col("doc_id"), 3)
     labels = _table(spark, sf_dir, "labels").where(rest != 1).groupBy("doc_id").agg(F.min("quality").alias("label"))
-    model = learn(described.join(labels, "doc_id"))
+    model = learn(scratch.table(described.join(labels, "doc_id").select("label", "x"), "labelled", rows=described.count(), per_file=200_000))
     found = score(described, model, "doc_id")
     return found.select("doc_id", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -1,14 +1,16 @@
 """Secret scan: fixed patterns, and a character convolutional network over every candidate with its context.
 
-Candidates are the matches of the fixed patterns and every other run of 16 or more key characters with a letter and
-a digit. Each is scored by a small convolutional network (numpy) on the characters of the candidate and
-CONTEXT characters on either side. Its training findings are made by a fixed recipe: keys of many
-formats with the words that surround them, and look-alikes (dates, versions, paths, prices, identifiers, numbers).
-On findings held out of training, scores are calibrated by Platt's method and the threshold is set as high as the
-recall sought allows. Candidates above the threshold are findings of kind `model`; matches of the
+The network learns from findings that a fixed recipe makes (keys of many formats with the words that surround them, and look-alikes:
+dates, versions, paths, prices, identifiers, long words), as no labelled ones exist; its recall is measured on others of the same recipe.
+
+Candidates are all runs of 16 or more key characters that a match of the fixed patterns doesn't cover whole, and these matches. Each is
+read by a small convolutional network (numpy) with CONTEXT characters on either side; a candidate longer than INSIDE in
+windows of that length all over it, of which the highest score counts. On findings held out of training, scores are calibrated by
+Platt's method and the threshold is the highest that keeps the recall sought. Candidates at or above the threshold are findings of kind `model`; matches of the
 fixed patterns are findings whatever their score.
 
-Null and empty texts have no findings. Texts are read whole. Repeated rows are scanned one by one.
+Null and empty texts have no findings. Texts are read whole; time and memory grow in proportion to them. Findings that begin at one place
+are in the order of KINDS. Repeated rows are scanned one by one.
 """
 
 from __future__ import annotations
@@ -33,13 +35,15 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Characters read of a candidate (its ends, if it is longer) and on either side of it.
-INSIDE, CONTEXT = 40, 16
+#: Characters that the network reads of a candidate at a time and on either side, and how far windows on a longer one are apart.
+INSIDE, CONTEXT, STRIDE = 40, 16, 20
+#: Windows that are scored at a time.
+AT_ONCE = 4096
 WIDTH = INSIDE + 2 * CONTEXT + 2
 RECALL = 0.98
 
 _HEX_TABLE = bytes(0x78 if chr(b) in "0123456789abcdef" else 0x20 for b in range(256))
-_DIGIT_TABLE = bytes(0x30 if 0x30 <= b <= 0x39 else 0x20 if chr(b).isspace() or b > 127 else 0x61 for b in range(256))
+_RUN_TABLE = bytes(0x78 if chr(b) in string.ascii_letters + string.digits + "+/_=-" else 0x20 for b in range(256))
 _WORDS = re.compile(rb"(?i)passw|secret|token|api_?key")
 _ALPHABET = "\x00" + string.ascii_lowercase + string.digits + string.punctuation + " \n"
 _INDEX = np.full(0x250, len(_ALPHABET) + 27, np.int64)
@@ -68,19 +72,46 @@ def _order(span: tuple[int, int, str]) -> tuple[int, int]:
     return span[0], KINDS.index(span[2])
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs of key characters with a letter and a digit."""
-    if b"0" not in text.encode().translate(_DIGIT_TABLE):
+def candidates(text: str, base: list[tuple[int, int, str]] | None = None) -> list[tuple[int, int]]:
+    """Runs of key characters that none of the spans `base`, sorted by their starts, covers whole."""
+    if b"x" * 16 not in text.encode().translate(_RUN_TABLE):
         return []
-    return [m.span() for m in CANDIDATE.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    out, spans = [], base or []
+    k, far = 0, 0
+    for m in CANDIDATE.finditer(text):
+        while k < len(spans) and spans[k][0] <= m.start():
+            far = max(far, spans[k][1])
+            k += 1
+        if far < m.end():
+            out.append(m.span())
+    return out
+
+
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """The parts of a candidate that are read, INSIDE long but for a shorter candidate."""
+    if end - start <= INSIDE:
+        return [(start, end)]
+    return [(a, a + INSIDE) for a in (*range(start, end - INSIDE, STRIDE), end - INSIDE)]
+
+
+def symbols(text: str) -> np.ndarray:
+    """Symbol numbers of the characters."""
+    return _INDEX[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0x24F)]
+
+
+def encode(codes: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """Rows of symbol numbers of windows (start, end) of at most INSIDE characters, between two marks and their context."""
+    nothing = _INDEX[0]
+    padded = np.concatenate([np.full(CONTEXT, nothing), codes, np.full(INSIDE + CONTEXT, nothing)])
+    start, size = spots[:, :1] + CONTEXT, np.diff(spots, axis=1)
+    mark = np.full((len(spots), 1), nothing)
+    place = np.arange(INSIDE)
+    inside = np.where(place < size, padded[start + place], nothing)
+    return np.concatenate([padded[start - CONTEXT + np.arange(CONTEXT)], mark, inside, mark, padded[start + size + np.arange(CONTEXT)]], axis=1)
 
 
-def encode(text: str, start: int, end: int) -> np.ndarray:
-    """Symbol numbers of the candidate between two marks, and its context."""
-    inside = text[start:end] if end - start <= INSIDE else text[start : start + INSIDE // 2] + text[end - INSIDE // 2 : end]
-    left, right = text[max(0, start - CONTEXT) : start].rjust(CONTEXT, "\x00"), text[end : end + CONTEXT].ljust(CONTEXT, "\x00")
-    codes = [min(ord(c), 0x24F) for c in left + "\x00" + inside.ljust(INSIDE, "\x00") + "\x00" + right]
-    return _INDEX[codes]
+#: Parts of words of some languages, for the recipe's look-alikes.
+SYLLABLES = "an ti re on the er ou es la de ment ung cion lich sta ver keit heit schaft ein ach sch pf tz ge be zu und ber en ie ion able ness ing ed un con pro que ar os as ado ado mente eau eur tion aux per tra ma na ko li to mi ka ru".split()
 
 
 def made_findings(n: int = 6000, seed: int = 11) -> list[tuple[str, int, int, int]]:
@@ -89,7 +120,7 @@ def made_findings(n: int = 6000, seed: int = 11) -> list[tuple[str, int, int, in
     chars = lambda alphabet, k: "".join(rnd.choices(alphabet, k=k))
     alnum, key = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
     upper, hexa, lower = string.ascii_uppercase + string.digits, "0123456789abcdef", string.ascii_lowercase
-    word = lambda: "".join(rnd.choice(("an", "ti", "re", "on", "the", "er", "ou", "es", "la", "de", "ment", "ung", "cion", "lich", "sta", "ver")) for _ in range(rnd.randint(1, 4)))
+    word = lambda: "".join(rnd.choice(SYLLABLES) for _ in range(rnd.randint(1, 4)))
     secrets = (
         lambda: "AKIA" + chars(upper, 16), lambda: chars(hexa, rnd.choice((24, 32, 40, 64))), lambda: "ghp_" + chars(alnum, 36), lambda: "sk-" + chars(alnum, rnd.choice((32, 48))), lambda: "sk_live_" + chars(alnum, 24),
         lambda: "xoxb-" + chars(string.digits, 11) + "-" + chars(alnum, 24), lambda: "AIza" + chars(alnum + "_-", 35), lambda: "eyJ" + chars(alnum + "_-", rnd.randint(30, 90)), lambda: chars(key, rnd.choice((22, 30, 43, 64))) + rnd.choice(("", "=", "==")),
@@ -101,6 +132,8 @@ def made_findings(n: int = 6000, seed: int = 11) -> list[tuple[str, int, int, in
         lambda: f"img/{word()}/IMG_{rnd.randint(1000, 9999)}", lambda: f"{word()}{word()}{word()}{word()}{rnd.randint(1, 999)}", lambda: (c := rnd.choice(upper)) * rnd.randint(16, 40) + "1a", lambda: "=" * rnd.randint(10, 20) + word() + "1" + "=" * 8,
         lambda: "https//www/" + word() + "/" + word() + f"/{rnd.randint(1, 99)}", lambda: f"{word().title()}{word().title()}{word().title()}V{rnd.randint(1, 9)}", lambda: f"page{rnd.randint(1, 9)}/section{rnd.randint(1, 9)}/{word()}{rnd.randint(1, 9)}",
         lambda: "abcdefghijklmnopqrstuvwxyz0123456789"[: rnd.randint(28, 36)], lambda: "x" * rnd.randint(14, 30) + str(rnd.randint(10, 99)), lambda: f"RFC-{rnd.randint(100, 9999)}-{word()}-{word()}-{word()}",
+        lambda: word() + word() + word() + word() + word(), lambda: "_".join(word() for _ in range(5)), lambda: "-".join(word() for _ in range(5)), lambda: "".join(word().title() for _ in range(5)), lambda: "/".join(word() for _ in range(6)), lambda: (word() + word() + word() + word()).upper() + "_" + word().upper(),
+        lambda: rnd.choice("=-_/+") * rnd.randint(16, 90), lambda: rnd.choice(("-=", "=-", "_-", "x-")) * rnd.randint(9, 40), lambda: "-".join(str(rnd.randint(1, 99999)) for _ in range(6)), lambda: str(rnd.randint(10**15, 10 ** rnd.randint(16, 24))), lambda: "/".join(f"{word()}{rnd.choice(('', '', str(rnd.randint(1, 99))))}" for _ in range(12)),
     )
     before = ("", "key ", "token=", "secret: ", "Authorization Bearer ", "export KEY=", "credential ", "pass ")
     out = []
@@ -163,34 +196,56 @@ class Network:
         return 1 / (1 + np.exp(-(self.line[0] * logit + self.line[1])))
 
 
+def scored(net: Network, text: str, spots: list[tuple[int, int]]) -> np.ndarray:
+    """The highest score of each candidate's windows."""
+    out = np.zeros(len(spots))
+    if not spots:
+        return out
+    codes = symbols(text)
+    parts = [(k, *w) for k, spot in enumerate(spots) for w in windows(*spot)]
+    for i in range(0, len(parts), AT_ONCE):
+        part = np.array(parts[i : i + AT_ONCE], np.int64)
+        np.maximum.at(out, part[:, 0], net.score(encode(codes, part[:, 1:])))
+    return out
+
+
+def recall_of(net: Network, findings: list[tuple[str, int, int, int]]) -> float:
+    """The share of the findings labelled 1 that scan_text() reports: as a candidate at or above the threshold, or by a fixed pattern."""
+    wanted = [(t, a, e) for t, a, e, label in findings if label]
+    return sum(any(a < e2 and b < e for b, e2, *_ in scan_text(t, net)) for t, a, e in wanted) / max(1, len(wanted))
+
+
 def train(findings: list[tuple[str, int, int, int]], recall: float = RECALL, epochs: int = 4, seed: int = 5) -> Network:
     """Fits on four fifths of the findings; calibration and threshold come from the rest."""
     rng = np.random.default_rng(seed)
-    x, y = np.stack([encode(t, a, b) for t, a, b, _ in findings]), np.array([f[3] for f in findings], float)
-    order = rng.permutation(len(x))
-    held, used = order[: len(x) // 5], order[len(x) // 5 :]
+    order = rng.permutation(len(findings))
+    held, used = [findings[k] for k in order[: len(order) // 5].tolist()], [findings[k] for k in order[len(order) // 5 :].tolist()]
+    spots = [windows(a, e) for _, a, e, _ in used]
+    x = np.concatenate([encode(symbols(f[0]), np.array(w, np.int64)) for f, w in zip(used, spots, strict=True)])
+    y = np.repeat([float(f[3]) for f in used], [len(w) for w in spots])
     net = Network.start(rng)
     m, v, step = {k: np.zeros_like(p) for k, p in net.parts.items()}, {k: np.zeros_like(p) for k, p in net.parts.items()}, 0
     for _ in range(epochs):
-        rng.shuffle(used)
-        for k in range(0, len(used), 64):
+        turn = rng.permutation(len(x))
+        for k in range(0, len(turn), 64):
             step += 1
-            for name, g in net.gradients(x[used[k : k + 64]], y[used[k : k + 64]]).items():
+            for name, g in net.gradients(x[turn[k : k + 64]], y[turn[k : k + 64]]).items():
                 m[name] = 0.9 * m[name] + 0.1 * g
                 v[name] = 0.999 * v[name] + 0.001 * g * g
                 net.parts[name] = net.parts[name] - 0.004 * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)
-    logit = np.concatenate([net.forward(x[held[k : k + 512]])[0] for k in range(0, len(held), 512)])
+    net.line = (1.0, 0.0)
+    p = np.clip(np.array([scored(net, t, [(a, e)])[0] for t, a, e, _ in held]), 1e-12, 1 - 1e-12)
+    logit, truth = np.log(p / (1 - p)), np.array([f[3] for f in held], float)
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps on Platt's log-likelihood, slightly held back
         p = 1 / (1 + np.exp(-(a * logit + b)))
-        g = np.array([((p - y[held]) * logit).sum() + 0.01 * (a - 1), (p - y[held]).sum() + 0.01 * b])
+        g = np.array([((p - truth) * logit).sum() + 0.01 * (a - 1), (p - truth).sum() + 0.01 * b])
         w = p * (1 - p)
         h = np.array([[(w * logit * logit).sum() + 0.01, (w * logit).sum()], [(w * logit).sum(), w.sum() + 0.01]])
         a, b = np.array([a, b]) - np.linalg.solve(h, g)
     net.line = (float(a), float(b))
-    found = np.sort(net.score(x[held])[y[held] == 1])
-    # The highest threshold that still finds the share sought, but no coin toss counts as a finding.
-    net.threshold = max(0.5, float(found[int((1 - recall) * len(found))]))
+    found = np.sort([scored(net, t, [(a, e)])[0] for t, a, e, label in held if label])
+    net.threshold = float(found[int((1 - recall) * len(found))])
     return net
 
 
@@ -202,11 +257,8 @@ def network() -> Network:
 def scan_text(text: str, net: Network) -> list[tuple[int, int, str, float]]:
     """All findings (start, end, kind, score) of a text, in order."""
     base = base_spans(text)
-    more = [c for c in candidates(text) if all(b <= c[0] or a >= c[1] for a, b, _ in base)]
-    spots = [s[:2] for s in base] + more
-    if not spots:
-        return []
-    scores = net.score(np.stack([encode(text, a, b) for a, b in spots])).tolist()
+    more = candidates(text, base)
+    scores = scored(net, text, [s[:2] for s in base] + more).tolist()
     found = [(*s, p) for s, p in zip(base, scores, strict=False)]
     found += [(a, b, "model", p) for (a, b), p in zip(more, scores[len(base) :], strict=True) if p >= net.threshold]
     return sorted(found, key=_order)
