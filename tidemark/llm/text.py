@@ -24,8 +24,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-#: Column that holds the numbers of stored rows.
-PLACE = "__place"
+#: Column that holds the numbers of stored rows; no table of documents may have one of this name.
+PLACE = "__tidemark_row"
 
 
 def rows(docs: DataFrame, *columns: str, key: str = "doc_id") -> DataFrame:
