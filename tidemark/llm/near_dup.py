@@ -181,12 +181,12 @@ def forest(reps: DataFrame, scratch: Scratch, many: int, similarity: float, reca
     strings = reps.select("uid", "sig").mapInArrow(_strings, _STRING)
     order = ["tree", *(f"v{k}" for k in range(DEPTH))]
     trie = strings.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_named(length), "uid bigint, tree int, short bigint, long bigint, edge boolean")
-    trie = scratch.table(trie, "trie", rows=TREES * many, per_file=2_000_000)
+    trie = scratch.table(trie, "trie", rows=TREES * many, per_file=500_000)
     # The names of both lengths are hashes, so they tell nodes of one length from those of the other.
     nodes = trie.select("tree", "short", "long", "edge").mapInArrow(_runs, "tree int, node bigint, size bigint").groupBy("tree", "node").agg(F.sum("size").alias("size")).where("size > 1")
     nodes = scratch.table(nodes, "nodes", rows=2 * TREES * many, per_file=1_000_000)
     met = trie.drop("edge").join(nodes.withColumnsRenamed({"node": "short", "size": "n_short"}), ["tree", "short"])
-    met = scratch.table(met.join(nodes.withColumnsRenamed({"node": "long", "size": "n_long"}), ["tree", "long"], "left"), "met", rows=TREES * many, per_file=1_000_000)
+    met = scratch.table(met.join(nodes.withColumnsRenamed({"node": "long", "size": "n_long"}), ["tree", "long"], "left"), "met", rows=TREES * many, per_file=500_000)
     crowded = met.where(F.col("n_short") > SMALL_NODE).groupBy("uid").agg(F.collect_list(F.struct(F.col("n_short").alias("n"), "tree")).alias("large"))
     large = F.coalesce("large", F.array().cast("array<struct<n:bigint,tree:int>>"))
     own = F.struct(F.col("n_short").alias("n"), "tree")
