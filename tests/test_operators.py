@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 from dataclasses import replace
 from datetime import datetime
@@ -153,6 +154,51 @@ def test_hash_pairs_reach_all_similar_items(spark):
     assert pairs(density.similar_hash_groups(rows, Scratch(spark, "t")).select("item_id", "component")) == [(1, 1), (2, 1), (3, 1)]
 
 
+@pytest.mark.parametrize("prefix, bits", [(2, 5), (4, 8), (1, 20)])
+def test_nearest_hashes_against_all_pairs(spark, prefix, bits):
+    rnd = random.Random(3)
+    base = [rnd.getrandbits(64) for _ in range(6)]
+    # One hash that many rows have, near ones in all bits, and others.
+    hashes = [base[0]] * 25 + [b ^ sum(1 << rnd.randrange(62) for _ in range(rnd.randint(0, 6))) & (1 << 64) - 1 for b in base for _ in range(12)]
+    rows = [(k, f"{h:016x}") for k, h in enumerate(hashes)] + [(999, None)]
+    df = spark.createDataFrame(rows, "item_id bigint, phash string").repartition(3)
+    want = []
+    for i, h in enumerate(hashes):
+        near = sorted((bin(h ^ g).count("1"), j) for j, g in enumerate(hashes) if i != j and f"{h:016x}"[:prefix] == f"{g:016x}"[:prefix])
+        want += [(i, j, d, r + 1) for r, (d, j) in enumerate([x for x in near if x[0] <= bits][:4])]
+    assert pairs(joins.hamming_nearest(df, df, "item_id", bits, 4, prefix)) == sorted(want)
+    first = {h: hashes.index(h) for h in hashes}
+    classes = {(min(a, b), max(a, b)) for h, a in first.items() for g, b in first.items() if a != b and f"{h:016x}"[:prefix] == f"{g:016x}"[:prefix] and bin(h ^ g).count("1") <= bits}
+    same = {(first[h], k) for k, h in enumerate(hashes) if first[h] != k}
+    assert pairs(density.similar_hash_pairs(df, prefix, bits).select("a", "b")) == sorted(classes | same)
+
+
+def test_staypoints_of_a_crowded_spot_take_linear_time(spark):
+    rows = [(1, k, k // 100, 48.0 + (k % 7) * 1e-5, 11.0 + (k % 5) * 1e-5) for k in range(100_000)] + [(1, 100_001, 2000, 49.0, 12.0)]
+    df = spark.createDataFrame(rows, ITEM)
+    began = time.perf_counter()
+    assert islands.staypoints(df, ["user_id"], 400.0, 1200).collect() == []
+    assert [r["n"] for r in islands.staypoints(df, ["user_id"], 400.0, 500).collect()] == [100_000]
+    assert time.perf_counter() - began < 30
+
+
+def test_dominance_on_a_long_path(spark):
+    n = 1000
+    drafts = spark.createDataFrame([(k, k) for k in range(n)], "draft_id bigint, r bigint")
+    edges = spark.createDataFrame([(k, k + 1) for k in range(n - 1)], "a bigint, b bigint")
+    got = consolidate.dominant(drafts, edges, "r", Scratch(spark, "t"), rounds=3)
+    assert pairs(got.select("draft_id")) == [(k,) for k in range(0, n, 2)]
+
+
+def test_signatures_beyond_the_bound_are_an_error(spark):
+    drafts = spark.createDataFrame([(1, 5), (2, None)], "draft_id bigint, h bigint")
+    signs = spark.createDataFrame([("a", 5), ("b", 4), ("c", 5)], "name string, h bigint")
+    assert [tuple(r) for r in score.iconic(drafts, signs).collect()] == [(1, "c", 1.0)]
+    assert score.iconic(drafts, signs.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        score.iconic(drafts, spark.range(score.SIGNATURES + 1).selectExpr("string(id) name", "id h"))
+
+
 def test_dominance_equals_the_pass_in_order(spark):
     rnd = random.Random(5)
     n = 80

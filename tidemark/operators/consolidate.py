@@ -44,15 +44,17 @@ def nest(pairs: DataFrame, drafts: DataFrame) -> DataFrame:
     return both.groupBy("other_id").agg(F.min_by("preferred_id", "best").alias("preferred_id"))
 
 
-def dominant(drafts: DataFrame, conflicts: DataFrame, order: str, scratch: Scratch, rounds: int = 200) -> DataFrame:
+def dominant(drafts: DataFrame, conflicts: DataFrame, order: str, scratch: Scratch, rounds: int = 20) -> DataFrame:
     """Drafts that a pass in the order accepts, when a draft conflicting (a, b) with an accepted one is rejected. `order` is a unique rank, the smallest first.
 
     The pass is sequential by definition but settles in few rounds: a draft is accepted once no undecided draft
-    before it conflicts with it, which rejects its conflicts. Every round is a join on the conflicts.
+    before it conflicts with it, which rejects its conflicts. Every round is a join on the conflicts. What long chains of
+    conflicts leave after `rounds` is passed through in order, each component of undecided drafts by a task that holds the ids of those it has rejected.
     """
     rank = drafts.select("draft_id", F.col(order).alias("r"))
     edges = conflicts.join(rank.select(F.col("draft_id").alias("a"), F.col("r").alias("ra")), "a").join(rank.select(F.col("draft_id").alias("b"), F.col("r").alias("rb")), "b")
-    edges = edges.select(F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("first"), F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("then")).distinct()
+    left = F.col("ra") < F.col("rb")
+    edges = edges.select(F.when(left, F.col("a")).otherwise(F.col("b")).alias("first"), F.when(left, F.col("b")).otherwise(F.col("a")).alias("then"), F.when(left, F.col("rb")).otherwise(F.col("ra")).alias("r")).distinct()
     edges = scratch.table(edges, "edges")
     rejected = None
     for k in range(rounds):
@@ -66,10 +68,26 @@ def dominant(drafts: DataFrame, conflicts: DataFrame, order: str, scratch: Scrat
         kept = edges.join(gone, "then", "left_anti").join(gone.withColumnRenamed("then", "first"), "first", "left_anti")
         edges = scratch.table(kept, f"edges{k}")
     else:
-        raise RuntimeError("conflicts did not settle")
+        if edges.limit(1).count():
+            roots = components(edges.select(F.col("first").alias("a"), F.col("then").alias("b")), scratch, "undecided")
+            keyed = edges.join(roots.select(F.col("node").alias("then"), F.col("root").alias("component")), "then")
+            losers = scratch.table(scan_sorted(keyed, ["component"], ["r", "then"], _rejections, "draft_id bigint"), "losers")
+            rejected = losers if rejected is None else rejected.unionByName(losers)
     return drafts if rejected is None else drafts.join(rejected, "draft_id", "left_anti")
 
 
+def _rejections(_):
+    """Passes through conflicts (first, then) in the order of `then`: it is rejected if a draft before it isn't."""
+    rejected: set = set()
+
+    def step(row):
+        if row is not None and row["then"] not in rejected and row["first"] not in rejected:
+            rejected.add(row["then"])
+            yield {"draft_id": row["then"]}
+
+    return step
+
+
 def overlap_actions(pairs: DataFrame, drafts: DataFrame, same: float = 0.45, any_: float = 0.85, least_iou: float = 0.55) -> DataFrame:
     """(winner, loser, action) of overlapping drafts: same algorithm from the lower, others from the higher similarity; merged if their times overlap enough, else the loser is dropped. Parts of other drafts (sub_story) are left alone."""
     from tidemark.functions.hashing import interval_iou

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import haversine_m
-from tidemark.functions.hashing import hamming_bits, hex_bits
+from tidemark.functions.hashing import hex_bits
+from tidemark.operators.joins import hash_pairs
 from tidemark.sources.scratch import Scratch
 
 
@@ -73,10 +74,11 @@ def drop_outliers(points: DataFrame, metres: float, least: int, scratch: Scratch
 def similar_hash_pairs(items: DataFrame, prefix: int = 4, bits: int = 5, hash_column: str = "phash", id_column: str = "item_id") -> DataFrame:
     """(a, b, distance), a before b, of items whose hash begins alike and differs in few bits. Equal hashes are joined once as a class: the pairs are those between classes, and each class's items with its first."""
     rows = items.where(F.col(hash_column).isNotNull()).select(id_column, hash_column)
-    classes = rows.groupBy(hash_column).agg(F.min(id_column).alias("first")).withColumns({"block": F.substring(hash_column, 1, prefix), "h": hex_bits(F.col(hash_column))})
-    other = classes.select("block", F.col("first").alias("first_b"), F.col("h").alias("h_b"))
-    between = classes.join(other, "block").where("first < first_b").withColumn("distance", hamming_bits(F.col("h"), F.col("h_b"))).where(F.col("distance") <= bits)
-    same = rows.join(classes, hash_column).where(F.col(id_column) > F.col("first")).select(F.col("first").alias("a"), F.col(id_column).alias("b"), F.lit(0).alias("distance"))
+    rows = rows.withColumn("h", hex_bits(F.col(hash_column))).where("h is not null")
+    classes = rows.groupBy("h").agg(F.min(id_column).alias("first"))
+    other = classes.select(F.col("h").alias("g"), F.col("first").alias("first_b"))
+    between = hash_pairs(classes, other, prefix, bits).join(classes, "h").join(other, "g").where("first < first_b")
+    same = rows.join(classes, "h").where(F.col(id_column) > F.col("first")).select(F.col("first").alias("a"), F.col(id_column).alias("b"), F.lit(0).alias("distance"))
     return between.select(F.col("first").alias("a"), F.col("first_b").alias("b"), "distance").unionByName(same)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -102,35 +104,91 @@ def anchored_windows(rows: DataFrame, key: list[str], seconds: int, metres: floa
 
 
 def staypoints(rows: DataFrame, key: list[str], metres: float = 250.0, dwell: int = 1200, time: str = "t", order: str = "item_id") -> DataFrame:
-    """Stays: from a located row on as long as rows are within `metres` of it; kept if they last `dwell` seconds, and the search goes on behind; else it goes on from the next row."""
+    """Stays: from a located row on as long as rows are within `metres` of it; kept if they last `dwell` seconds, and the search goes on behind; else it goes on from the next row.
+
+    A stay that goes on is held as sums; before that, the rows of the last `dwell` seconds are. Whether all of them are in reach is asked of their bounding box first, and a row that was out of reach is asked first, so a dense spot costs each row once.
+    """
     names = [f for f in rows.schema.fields if f.name in key]
     out = T.StructType([*names, *[T.StructField(n, t) for n, t in (("lat", T.DoubleType()), ("lon", T.DoubleType()), ("start", T.LongType()), ("end", T.LongType()), ("dwell", T.LongType()), ("n", T.LongType()))]])
 
     def start(now):
-        held: list[dict] = []
-
-        def close(n):
-            part = held[:n]
-            span = part[-1][time] - part[0][time]
-            if span >= dwell:
-                del held[:n]
-                return {**dict(zip(key, now, strict=True)), "lat": sum(r["lat"] for r in part) / n, "lon": sum(r["lon"] for r in part) / n, "start": part[0][time], "end": part[-1][time], "dwell": span, "n": n}
-            del held[:1]
-            return None
+        # Rows from the present anchor on (head), and the bounding box of those: ends of lists that fall and rise.
+        lat, lon, when = [], [], []
+        head, out = 0, -1
+        box = [(deque(), 1, lat), (deque(), -1, lat), (deque(), 1, lon), (deque(), -1, lon)]
+        stay = None  # the anchor, rows, sums and end of a stay that still goes on
+
+        def add(row):
+            lat.append(row["lat"])
+            lon.append(row["lon"])
+            when.append(row[time])
+            for ends, sign, values in box:
+                while ends and sign * values[ends[-1]] >= sign * values[-1]:
+                    ends.pop()
+                ends.append(len(values) - 1)
+
+        def drop(n):
+            nonlocal head, out
+            head += n
+            for ends, _, _ in box:
+                while ends and ends[0] < head:
+                    ends.popleft()
+            if head > 4096 and head * 2 > len(lat):
+                for values in (lat, lon, when):
+                    del values[:head]
+                for k, (ends, sign, values) in enumerate(box):
+                    box[k] = (deque(e - head for e in ends), sign, values)
+                head, out = 0, out - head
+
+        def far(k):
+            return _metres({"lat": lat[head], "lon": lon[head]}, {"lat": lat[k], "lon": lon[k]}) > metres
 
         def reach():
-            n = 1
-            while n < len(held) and _metres(held[0], held[n]) <= metres:
-                n += 1
-            return n
+            """The first row out of the anchor's reach, or the end; None if the row that completes the dwell time isn't reached."""
+            nonlocal out
+            full = bisect_left(when, when[head] + dwell, head)
+            # The completing row, and the row that was out of reach of an anchor before, decide most anchors at once.
+            if far(full) or head < out <= full and far(out):
+                return None
+            south, north, west, east = (values[ends[0]] for ends, _, values in box)
+            anchor = {"lat": lat[head], "lon": lon[head]}
+            if max(_metres(anchor, {"lat": y, "lon": x}) for y in (south, north) for x in (west, east)) <= 0.999 * metres:
+                return len(lat)
+            out = next((k for k in range(head + 1, len(lat)) if far(k)), len(lat))
+            return out if out > full else None
+
+        def closed():
+            n = stay["n"]
+            return {**dict(zip(key, now, strict=True)), "lat": stay["lat_sum"] / n, "lon": stay["lon_sum"] / n, "start": stay["start"], "end": stay["end"], "dwell": stay["end"] - stay["start"], "n": n}
+
+        def begun(end):
+            part = slice(head, end)
+            return {"lat": lat[head], "lon": lon[head], "n": end - head, "lat_sum": sum(lat[part]), "lon_sum": sum(lon[part]), "start": when[head], "end": when[end - 1]}
 
         def step(row):
+            nonlocal stay
+            if stay is not None:
+                if row is not None and _metres(stay, row) <= metres:
+                    stay.update(n=stay["n"] + 1, lat_sum=stay["lat_sum"] + row["lat"], lon_sum=stay["lon_sum"] + row["lon"], end=row[time])
+                    return
+                yield closed()
+                stay = None
             if row is not None:
-                held.append({"lat": row["lat"], "lon": row["lon"], time: row[time]})
-            # A stretch is complete once a row behind it is out of reach, or nothing follows.
-            while held and (row is None or _metres(held[0], held[-1]) > metres):
-                if found := close(reach()):
-                    yield found
+                add(row)
+            # Only an anchor that a row stands behind by the dwell time can begin a stay.
+            while head < len(lat) and when[-1] - when[head] >= dwell and stay is None:
+                end = reach()
+                if end is None:
+                    drop(1)
+                    continue
+                stay = begun(end)
+                gone = end == len(lat)
+                drop(end - head)
+                if not gone:
+                    yield closed()
+                    stay = None
+            if row is None and stay is not None:
+                yield closed()
 
         return step
 

@@ -8,13 +8,48 @@ from pyspark.sql import functions as F
 from tidemark.functions.hashing import hamming_bits, hex_bits
 
 
+def hash_bands(h: Column, prefix: int, bits: int) -> Column:
+    """Keys of a 64-bit hash, as an array, of which two hashes with the same `prefix` hex digits that differ in up to `bits` places share one at least.
+
+    The places behind the prefix are cut into bits + 1 bands; one of them is equal. Where bands would be narrower than four places they
+    would part little, and there is one key, the prefix.
+    """
+    rest = 64 - 4 * prefix
+    head = F.shiftrightunsigned(h, rest) if prefix else F.lit(0).cast("bigint")
+    if rest < 4 * (bits + 1):
+        return F.array(F.struct(F.lit(0).alias("band"), head.alias("head"), F.lit(0).cast("bigint").alias("value")))
+    cuts = [rest * k // (bits + 1) for k in range(bits + 2)]
+    value = lambda low, high: F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("bigint"))
+    return F.array(*[F.struct(F.lit(k).alias("band"), head.alias("head"), value(low, high).alias("value")) for k, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False))])
+
+
+def hash_pairs(left: DataFrame, right: DataFrame, prefix: int, bits: int) -> DataFrame:
+    """(h, g, distance) of the distinct hashes h of the left and g of the right side that begin alike and differ in few bits."""
+    a = left.select("h").distinct().withColumn("__keys", hash_bands(F.col("h"), prefix, bits))
+    b = right.select("g").distinct().withColumn("__others", hash_bands(F.col("g"), prefix, bits))
+    keyed = a.withColumn("__key", F.explode("__keys")).join(b.withColumn("__key", F.explode("__others")), "__key")
+    # A pair that shares several bands is taken at the first.
+    first = F.element_at(F.filter(F.arrays_zip("__keys", "__others"), lambda x: x["__keys"] == x["__others"]), 1)["__keys"]["band"]
+    pairs = keyed.withColumn("distance", hamming_bits(F.col("h"), F.col("g"))).where((F.col("distance") <= bits) & (first == F.col("__key.band")))
+    return pairs.select("h", "g", "distance")
+
+
 def hamming_nearest(left: DataFrame, right: DataFrame, key: str, bits: int, k: int, prefix: int = 4, hash_column: str = "phash") -> DataFrame:
-    """(key, other, distance, rank): for each left row up to k right rows whose hash begins alike and differs in few bits, the nearest first."""
-    a = left.select(F.col(key), F.substring(hash_column, 1, prefix).alias("__block"), hex_bits(F.col(hash_column)).alias("__h"))
-    b = right.select(F.col(key).alias("other"), F.substring(hash_column, 1, prefix).alias("__block"), hex_bits(F.col(hash_column)).alias("__g"))
-    pairs = a.join(b, "__block").where(F.col(key) != F.col("other")).withColumn("distance", hamming_bits(F.col("__h"), F.col("__g"))).where(F.col("distance") <= bits)
-    w = Window.partitionBy(key).orderBy("distance", "other")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(key, "other", "distance", "rank")
+    """(key, other, distance, rank): for each left row up to k right rows whose hash begins alike and differs in few bits, the nearest first, ties by id.
+
+    Distinct hashes are joined. Of the right rows with one hash only the k + 1 lowest ids can be among a row's nearest, so a
+    frequent hash adds no more to any row.
+    """
+    a = left.select(F.col(key), hex_bits(F.col(hash_column)).alias("h")).where("h is not null")
+    b = right.select(F.col(key).alias("other"), hex_bits(F.col(hash_column)).alias("g")).where("g is not null")
+    # In two steps, so that no task sorts all rows of a hash.
+    part = b.withColumn("__part", F.pmod(F.xxhash64("other"), F.lit(64)))
+    for by in (["g", "__part"], ["g"]):
+        part = part.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("other"))).where(F.col("__r") <= k + 1)
+    near = hash_pairs(a, b, prefix, bits).join(part.select("g", "other"), "g")
+    near = near.withColumn("__r", F.row_number().over(Window.partitionBy("h").orderBy("distance", "other"))).where(F.col("__r") <= k + 1).select("h", "other", "distance")
+    rows = a.join(near, "h").where(F.col(key) != F.col("other"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance", "other"))).where(F.col("rank") <= k).select(key, "other", "distance", "rank")
 
 
 def interval_join(points: DataFrame, spans: DataFrame, key: list[str], at: str, start: str, end: str, width: int) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.geo import haversine_m
 from tidemark.functions.scoring import clamp01, quantile_normal, span_score, weighted_mean
 
+#: Signatures that drafts are compared with, at most.
+SIGNATURES = 1000
 #: Default weights of the parts.
 WEIGHTS = {"quality": 0.22, "aesthetics": 0.08, "people": 0.16, "content": 0.09, "density": 0.10, "novelty": 0.09, "holiday": 0.07, "recency": 0.12, "location": 0.05, "poi": 0.02, "time_coverage": 0.10, "liveliness": 0.08}
 
@@ -99,11 +101,16 @@ def normalise(drafts: DataFrame, by: str = "algorithm", score: str = "score", bo
 
 
 def iconic(drafts: DataFrame, signatures: DataFrame) -> DataFrame:
-    """The most similar of a short list of signatures (name, h) to each draft's hash h: (draft_id, icon, similarity)."""
+    """The most similar of the signatures (name, h) to each draft's hash h, of equals the last name: (draft_id, icon, similarity). Signatures are a list by hand, `SIGNATURES` at most, else an error; they go along as one array, so no pairs are made."""
     from tidemark.functions.hashing import hamming_bits
 
-    pairs = drafts.crossJoin(F.broadcast(signatures.limit(1000).select("name", F.col("h").alias("s")))).withColumn("similarity", 1 - hamming_bits(F.col("h"), F.col("s")) / 64)
-    return pairs.groupBy("draft_id").agg(F.max_by("name", F.struct("similarity", "name")).alias("icon"), F.max("similarity").alias("similarity"))
+    listed = signatures.where("h is not null").select("name", "h").limit(SIGNATURES + 1).collect()
+    if len(listed) > SIGNATURES:
+        raise ValueError(f"more than {SIGNATURES} signatures")
+    schema = "array<struct<name:string,h:bigint>>"
+    known = F.lit(None).cast(schema) if not listed else F.array(*[F.struct(F.lit(r["name"]).alias("name"), F.lit(r["h"]).cast("bigint").alias("h")) for r in listed])
+    best = F.array_max(F.transform(known, lambda s: F.struct((1 - hamming_bits(F.col("h"), s["h"]) / 64).alias("similarity"), s["name"].alias("name"))))
+    return drafts.where("h is not null").withColumn("__best", best).where("__best is not null").select("draft_id", F.col("__best.name").alias("icon"), F.col("__best.similarity").alias("similarity"))
 
 
 def distance_km(lat: Column, lon: Column, home_lat: Column, home_lon: Column) -> Column:

@@ -56,8 +56,9 @@ def into_store(items: DataFrame, folder: str, late_key: str, checkpoint: str, ta
         if fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
             known = spark.read.parquet(path)
             again = known.join(df.select(late_key).where(F.col(late_key).isNotNull()).distinct(), late_key, "left_semi")
-            again.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/{table}_siblings")
-        df.write.mode("append").parquet(path)
+            # A batch that is replayed after a failure overwrites its own part, and doesn't meet its own rows.
+            again.where(F.col("batch") != number).drop("batch").write.mode("overwrite").parquet(f"{folder}/{table}_siblings/batch={number}")
+        df.write.mode("overwrite").parquet(f"{path}/batch={number}")
         df.unpersist()
 
     return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
