@@ -10,5 +10,5 @@ from tidemark.sources.scratch import Scratch
 @query()
 def cluster_and_feed(spark, d):
     options = Options(types=("day_album", "video_stories", "device_similarity", "burst"), as_of=1706745600)
-    made = consolidated(cluster(items(spark, d), options), Scratch(spark, "cluster"))
-    return make_feed(made, options.as_of).select("rank", "draft_id", "algorithm", "n", F.round("score", 6).alias("score"))
+    made = consolidated(cluster(items(spark, d), options, Scratch(spark, "cluster")))
+    return make_feed(made.drafts, options.as_of).select("rank", "draft_id", "algorithm", "n", F.round("score", 6).alias("score"))

@@ -116,7 +116,7 @@ def significant_places(spark, d):
     SELECT c.user_id, {HEAD}, {DIGEST} AS digest FROM c JOIN r USING (user_id, x, y, day) JOIN b USING (user_id, x, y, run) GROUP BY c.user_id, x, y"""
 )
 def first_visits(spark, d):
-    return rounded(S.first_visits(eligible(items(spark, d)), OWNER))
+    return rounded(S.first_visits(eligible(items(spark, d)), OWNER, per_day=2, least=4))
 
 
 SEGMENT = "SELECT segment, {key} count(*) AS n, min(t) AS t_from, max(t) AS t_to, {digest} AS digest FROM {rows} GROUP BY segment{group} HAVING {having}"
@@ -155,7 +155,7 @@ def one_year_ago(spark, d):
     SELECT segment, month_day, n, years, round(5 * n + 10 * years + 3 * n / years + 2 * span + best, 6) AS score FROM g ORDER BY 5 * n + 10 * years + 3 * n / years + 2 * span + best DESC, segment, month_day LIMIT 30"""
 )
 def anniversaries(spark, d):
-    return S.anniversaries(bought(spark, d), ["segment"]).select("segment", "month_day", "n", "years", F.round("score", 6).alias("score"))
+    return S.anniversaries(bought(spark, d), ["segment"], years=3).select("segment", "month_day", "n", "years", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {BOUGHT}, y AS (SELECT *, CAST(year(day) AS BIGINT) AS y FROM bought), m AS (SELECT *, day - {_EASTER} AS after, strftime(day, '%m-%d') AS md FROM y), h AS (SELECT *, {HOLIDAY_SQL} AS holiday FROM m) SELECT holiday, segment, {HEAD}, {DIGEST} AS digest FROM h WHERE holiday IS NOT NULL GROUP BY segment, day, holiday HAVING count(*) >= 2")
@@ -231,7 +231,7 @@ def transit_days(spark, d):
 )
 def weekend_getaways(spark, d):
     home = items(spark, d).select("user_id").distinct().withColumns({"home_lat": F.lit(47.5), "home_lon": F.lit(11.5)})
-    return rounded(S.weekend_getaways(eligible(items(spark, d)), OWNER, home))
+    return rounded(S.weekend_getaways(eligible(items(spark, d)), OWNER, home, (1, 3), 2, years=1, least=4))
 
 
 @query(text="day")

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.operators.density import components
 from tidemark.operators.islands import scan_sorted
 from tidemark.sources.scratch import Scratch
 
+#: Numbers of the tables that stages write.
+_NUMBERS = count()
+
 
 def effective_score(drafts: DataFrame) -> DataFrame:
     """The score if it is above 0, else the number of members."""
@@ -187,6 +193,212 @@ def titled(drafts: DataFrame) -> DataFrame:
     return drafts.withColumns({"title": F.concat_ws(", ", F.col("place"), days), "subtitle": F.concat(F.col("n").cast("string"), F.lit(" items"))})
 
 
-#: The stages in the order in which a job runs them.
-STAGES = ("filter", "rank_members", "curate", "collapse", "nest", "dominate", "overlaps", "annotations", "caps", "titles")
-DRAFT = T.StructType([T.StructField("draft_id", T.LongType()), T.StructField("algorithm", T.StringType()), T.StructField("n", T.LongType())])
+def member_quality(members: DataFrame, megapixels: float = 12.0, weights: tuple[float, float] = (0.7, 0.3), penalties: dict[str, float] | None = None) -> DataFrame:
+    """Adds quality_part, aesthetics_part, penalty, score and rank to the members of drafts.
+
+    Members have draft_id, item_id, position; quality, width, height, sharpness, noise, iso; exposure, brightness, contrast, entropy,
+    colorfulness; phash, dhash, burst_uuid; and the draft's means avg_quality, avg_aesthetics, avg_resolution, avg_sharpness, avg_iso, any of them null.
+    Without a quality of its own an item has the mean of resolution, sharpness and noise, where the draft's means stand in for what
+    it lacks. Both parts are set in relation to the draft's mean. Every earlier member with the same hash or burst adds to the penalty.
+    """
+    from tidemark.functions.scoring import balanced, clamp01, iso_score, weighted_mean
+
+    penalties = penalties or {"phash": 0.35, "dhash": 0.25, "burst_uuid": 0.15}
+    c = F.col
+    resolution = F.when((c("width") > 0) & (c("height") > 0), clamp01(c("width").cast("double") * c("height") / 1e6 / megapixels))
+    noise = F.coalesce(clamp01(c("noise")), iso_score(c("iso")), c("avg_iso"))
+    own = weighted_mean([(F.coalesce(resolution, c("avg_resolution")), 0.45), (F.coalesce(clamp01(c("sharpness")), c("avg_sharpness")), 0.35), (noise, 0.20)])
+    quality = F.coalesce(clamp01(c("quality")), own, c("avg_quality"), F.lit(0.0))
+    light = [(F.when(c("exposure").isNull(), balanced(clamp01(c("brightness")), 0.55, 0.35)), 0.30), (F.when(c("exposure").isNull(), clamp01(c("contrast"))), 0.20), (clamp01(c("exposure")), 0.50)]
+    looks = F.coalesce(weighted_mean([*light, (clamp01(c("entropy")), 0.25), (clamp01(c("colorfulness")), 0.25)]), c("avg_aesthetics"), F.lit(0.0))
+
+    def related(x: Column, mean: Column) -> Column:
+        return clamp01(F.when(mean > 0, clamp01(0.6 * x + 0.4 * clamp01(x / F.greatest(mean, F.lit(0.0001))))).otherwise(x))
+
+    def repeats(name: str, base: float) -> Column:
+        k = F.row_number().over(Window.partitionBy("draft_id", name).orderBy("position", "item_id")) - 1
+        return F.when((F.length(c(name)) > 0) & (k > 0), F.least(F.lit(0.9), base * (1 + 0.5 * (k - 1)))).otherwise(0.0)
+
+    out = members.withColumns({"quality_part": related(quality, c("avg_quality")), "aesthetics_part": related(looks, c("avg_aesthetics"))})
+    out = out.withColumn("penalty", F.least(F.lit(0.9), sum((repeats(n, p) for n, p in penalties.items()), F.lit(0.0))))
+    score = clamp01((weights[0] * c("quality_part") + weights[1] * c("aesthetics_part")) * F.greatest(F.lit(0.0), 1 - c("penalty")))
+    out = out.withColumn("score", F.round(score, 9))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("draft_id").orderBy(F.desc("score"), "position", "item_id")))
+
+
+#: Limits of a merge of overlapping drafts.
+MERGE = {"iou": 0.55, "metres": 25_000.0, "core": 0.5, "hash": 0.18, "gap": 0.35}
+
+
+def overlap_decisions(pairs: DataFrame, drafts: DataFrame, same: float = 0.45, any_: float = 0.85) -> DataFrame:
+    """(winner, loser, action) of the pairs (a, b, jaccard) that must be settled: of one algorithm from the lower similarity on, others from the higher.
+
+    Drafts have draft_id, algorithm, priority, score, n, t_from, t_to, lat, lon, core (names of places and people) and hash_median (a number up to 2**64), the last four may be
+    null; sub-stories aren't given here. The winner takes the loser's members (`merge`) if their times overlap, they are near in space, share half of
+    their names, have like hashes and like scores; else the loser is dropped (`drop`).
+    """
+    from tidemark.functions.geo import haversine_m
+    from tidemark.functions.hashing import interval_iou
+
+    d = effective_score(drafts).withColumn("names", F.array_distinct(F.transform(F.filter("core", lambda x: F.length(x) > 0), lambda x: F.lower(x))))
+    side = lambda c: d.select(F.col("draft_id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("algorithm", "priority", "effective", "n", "t_from", "t_to", "lat", "lon", "names", "hash_median")])
+    both = pairs.select("a", "b", "jaccard").join(side("a"), "a").join(side("b"), "b")
+    both = both.where((F.col("jaccard") >= any_) | ((F.col("algorithm_a") == F.col("algorithm_b")) & (F.col("jaccard") >= same)))
+    left = F.struct("priority_a", "effective_a", "n_a", -F.col("a")) >= F.struct("priority_b", "effective_b", "n_b", -F.col("b"))
+    known = lambda ok: F.coalesce(ok, F.lit(True))
+    overlap = F.coalesce(interval_iou(F.col("t_from_a"), F.col("t_to_a"), F.col("t_from_b"), F.col("t_to_b")), F.lit(0.0)) >= MERGE["iou"]
+    near = known(haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"), 6371000.0) <= MERGE["metres"])
+    shared = F.size(F.array_intersect("names_a", "names_b")) / F.size(F.array_union("names_a", "names_b"))
+    core = F.when((F.size("names_a") > 0) & (F.size("names_b") > 0), shared >= MERGE["core"]).otherwise(True)
+    alike = known(F.abs(F.col("hash_median_a") - F.col("hash_median_b")) / float(2**64 - 1) <= MERGE["hash"])
+    best = F.when(left, F.col("effective_a")).otherwise(F.col("effective_b"))
+    even = F.abs(F.col("effective_a") - F.col("effective_b")) <= F.greatest(F.lit(1.0), best) * MERGE["gap"] + 1e-9
+    action = F.when(overlap & near & core & alike & even, "merge").otherwise("drop")
+    return both.select(F.when(left, F.col("a")).otherwise(F.col("b")).alias("winner"), F.when(left, F.col("b")).otherwise(F.col("a")).alias("loser"), action.alias("action"))
+
+
+def merged_members(decisions: DataFrame, members: DataFrame) -> DataFrame:
+    """Members (draft_id, item_id, position) with those that merges add: behind a winner's own, in order, what only its losers have, by the loser's id and position."""
+    won = decisions.where("action = 'merge'").select("winner", "loser").join(members.withColumnRenamed("draft_id", "loser"), "loser")
+    new = won.join(members.select(F.col("draft_id").alias("winner"), "item_id"), ["winner", "item_id"], "left_anti").groupBy("winner", "item_id").agg(F.min(F.struct("loser", "position")).alias("at"))
+    last = members.groupBy(F.col("draft_id").alias("winner")).agg(F.max("position").alias("last"))
+    added = new.join(last, "winner").withColumn("position", F.col("last") + F.row_number().over(Window.partitionBy("winner").orderBy("at", "item_id")))
+    return members.unionByName(added.select(F.col("winner").alias("draft_id"), "item_id", F.col("position").cast(members.schema["position"].dataType).alias("position")))
+
+
+def resolve_overlaps(drafts: DataFrame, members: DataFrame, scratch: Scratch, same: float = 0.45, any_: float = 0.85, rounds: int = 30) -> tuple[DataFrame, DataFrame]:
+    """Drafts and members after all overlaps are settled, in rounds: in each, drafts that lose to no other take in or drop those that lose to them (a loser goes to its best winner), and what has grown is compared again.
+
+    A round ends the draft of every loser of an undefeated winner, so there are as many rounds as drafts defeat each other in a chain.
+    """
+    from tidemark.operators.joins import set_overlaps
+
+    for k in range(rounds):
+        pairs = set_overlaps(members.select("draft_id", F.col("item_id").alias("member")), same)
+        made = scratch.table(overlap_decisions(pairs, drafts, same, any_), f"decisions{k}")
+        if not made.limit(1).count():
+            return drafts, members
+        free = made.join(made.select(F.col("loser").alias("winner")).distinct(), "winner", "left_anti")
+        rank = effective_score(drafts).select(F.col("draft_id").alias("winner"), F.struct("priority", "effective", "n", (-F.col("draft_id")).alias("i")).alias("rank"))
+        best = free.join(rank, "winner").groupBy("loser").agg(F.max_by(F.struct("winner", "action"), "rank").alias("w")).select("w.winner", "loser", "w.action")
+        best = scratch.table(best, f"settled{k}")
+        gone = best.select(F.col("loser").alias("draft_id"))
+        grown = best.where("action = 'merge'").join(effective_score(drafts).select(F.col("draft_id").alias("loser"), F.col("t_from").alias("f"), F.col("t_to").alias("u"), F.col("score").alias("s")), "loser")
+        grown = grown.groupBy(F.col("winner").alias("draft_id")).agg(F.min("f").alias("f"), F.max("u").alias("u"), F.max("s").alias("s"))
+        members = scratch.table(merged_members(best, members).join(gone, "draft_id", "left_anti"), f"members{k}")
+        sizes = members.groupBy("draft_id").agg(F.count("*").alias("__n"))
+        kept = drafts.join(gone, "draft_id", "left_anti").join(grown, "draft_id", "left").join(sizes, "draft_id", "left")
+        new = {"t_from": F.least("t_from", F.coalesce("f", "t_from")), "t_to": F.greatest("t_to", F.coalesce("u", "t_to")), "score": F.greatest("score", F.coalesce("s", "score")), "n": F.coalesce("__n", "n")}
+        drafts = scratch.table(kept.withColumns(new).select(*drafts.columns), f"drafts{k}")
+    raise RuntimeError(f"overlaps did not settle in {rounds} rounds")
+
+
+def composite_fingerprint(members: Column, t_from: Column, t_to: Column, cell: Column, cover: Column) -> Column:
+    """A hash of what makes two drafts the same story: member set, time range, place cell and cover; parts that are null are left out."""
+    return F.sha1(F.concat_ws("|", F.array_join(F.array_sort(F.array_distinct(members)), ","), t_from.cast("string"), t_to.cast("string"), cell, cover.cast("string")))
+
+
+def clamp_members(members: DataFrame, most: int) -> DataFrame:
+    """The first `most` members of each draft by position; all if `most` isn't above 0."""
+    if most <= 0:
+        return members
+    return members.withColumn("__r", F.row_number().over(Window.partitionBy("draft_id").orderBy("position", "item_id"))).where(F.col("__r") <= most).drop("__r")
+
+
+@dataclass
+class State:
+    """What stages hand on: drafts (one row each) and their members (draft_id, item_id, position, ...)."""
+
+    drafts: DataFrame
+    members: DataFrame
+    scratch: Scratch
+
+
+#: A stage of the consolidation; callers may give their own.
+Stage = Callable[[State], State]
+
+
+def _only(state: State, drafts: DataFrame) -> State:
+    """The state with some of its drafts, stored, and their members."""
+    kept = state.scratch.table(drafts, f"kept{next(_NUMBERS)}")
+    return State(kept, state.members.join(kept.select("draft_id"), "draft_id", "left_semi"), state.scratch)
+
+
+def default_stages(settings: dict | None = None) -> dict[str, Stage]:
+    """The stages by name, in the order in which a job runs them. Settings: least, score, conflict, same, any, annotate, cap, most, groups (by algorithm), curate (a stage of the caller's own)."""
+    from tidemark.operators.joins import set_overlaps, subsets
+
+    s = {"least": 2, "score": 0.25, "conflict": 0.5, "same": 0.45, "any": 0.85, "annotate": {}, "cap": 2, "most": 0, "groups": {}, "curate": None} | (settings or {})
+    sets = lambda state: state.members.select("draft_id", F.col("item_id").alias("member"))
+
+    def ranked(state: State) -> State:
+        """Members in the order of their score, where they are scored."""
+        if "score" not in state.members.columns:
+            return state
+        w = Window.partitionBy("draft_id").orderBy(F.desc("score"), "position", "item_id")
+        return State(state.drafts, state.members.withColumn("rank", F.row_number().over(w)), state.scratch)
+
+    def curated(state: State) -> State:
+        state = s["curate"](state) if s["curate"] else state
+        return State(state.drafts, clamp_members(state.members, s["most"]), state.scratch)
+
+    def collapsed(state: State) -> State:
+        return _only(state, collapse_duplicates(effective_score(state.drafts), ["digest", "n"], [F.desc("effective"), F.desc("priority")]).select(*state.drafts.columns))
+
+    def nested(state: State) -> State:
+        """Marks drafts that another one holds as its parts."""
+        held = nest(subsets(sets(state)), state.drafts)
+        parts = held.select(F.col("other_id").alias("draft_id"), F.col("preferred_id").alias("holder"))
+        drafts = state.drafts.drop("holder", "sub_story").join(parts, "draft_id", "left").withColumn("sub_story", F.col("holder").isNotNull())
+        return State(state.scratch.table(drafts, f"nested{next(_NUMBERS)}"), state.members, state.scratch)
+
+    def apart(state: State) -> tuple[DataFrame, DataFrame]:
+        whole = state.drafts.where(~F.coalesce("sub_story", F.lit(False))) if "sub_story" in state.drafts.columns else state.drafts
+        return whole, state.drafts.join(whole.select("draft_id"), "draft_id", "left_anti")
+
+    def dominated(state: State) -> State:
+        whole, parts = apart(state)
+        ids = whole.select("draft_id")
+        pairs = set_overlaps(sets(state).join(ids, "draft_id", "left_semi"), s["conflict"])
+        group = whole.select("draft_id", F.coalesce(*[F.when(F.col("algorithm") == k, F.lit(v)) for k, v in s["groups"].items()], F.col("algorithm")).alias("g"))
+        pairs = pairs.join(group.select(F.col("draft_id").alias("a"), F.col("g").alias("ga")), "a").join(group.select(F.col("draft_id").alias("b"), F.col("g").alias("gb")), "b").where("ga = gb").select("a", "b")
+        order = effective_score(whole).withColumn("order", F.struct((-F.col("priority")).alias("p"), (-F.col("effective")).alias("s"), (-F.col("n")).alias("n"), "draft_id"))
+        return _only(state, dominant(order, pairs, "order", state.scratch).select(*state.drafts.columns).unionByName(parts))
+
+    def overlapped(state: State) -> State:
+        whole, parts = apart(state)
+        lacks = {c: F.lit(None).cast(t) for c, t in (("lat", "double"), ("lon", "double"), ("core", "array<string>"), ("hash_median", "double")) if c not in whole.columns}
+        inside = state.members.join(whole.select("draft_id"), "draft_id", "left_semi")
+        drafts, members = resolve_overlaps(whole.withColumns(lacks), inside.select("draft_id", "item_id", "position"), state.scratch, s["same"], s["any"])
+        rest = state.members.join(parts.select("draft_id"), "draft_id", "left_semi").select("draft_id", "item_id", "position")
+        return State(drafts.select(*state.drafts.columns).unionByName(parts), members.unionByName(rest), state.scratch)
+
+    def pruned(state: State) -> State:
+        listed = sets(state).groupBy("draft_id").agg(F.collect_list("member").alias("members"))
+        stay = prune_annotations(state.drafts.select("draft_id", "algorithm").join(listed, "draft_id"), s["annotate"], state.scratch)
+        return _only(state, state.drafts.join(stay, "draft_id", "left_semi"))
+
+    def capped(state: State) -> State:
+        whole, parts = apart(state)
+        listed = sets(state).groupBy("draft_id").agg(F.collect_list("member").alias("members"))
+        rows = whole.select("draft_id", F.coalesce(*[F.when(F.col("algorithm") == k, F.lit(v)) for k, v in s["groups"].items()], F.col("algorithm")).alias("grouping"), "score", "priority").join(listed, "draft_id")
+        stay = per_member_cap(rows.withColumn("cover", F.col("members")[0]), state.scratch, s["cap"])
+        return _only(state, whole.join(stay, "draft_id", "left_semi").unionByName(parts))
+
+    def named(state: State) -> State:
+        place = state.drafts if "place" in state.drafts.columns else state.drafts.withColumn("place", F.lit(None).cast("string"))
+        return State(titled(place), state.members, state.scratch)
+
+    return {
+        "filter": lambda state: _only(state, filter_drafts(state.drafts, s["least"], s["score"]).select(*state.drafts.columns)), "rank_members": ranked, "curate": curated, "collapse": collapsed, "nest": nested,
+        "dominate": dominated, "overlaps": overlapped, "annotations": pruned, "caps": capped, "titles": named,
+    }
+
+
+def run_stages(state: State, stages: dict[str, Stage], watch: Callable[[str, int], None] | None = None) -> State:
+    """Runs the stages one after the other; `watch` is told each one's name and how many drafts it has left."""
+    for name, stage in stages.items():
+        state = stage(state)
+        if watch:
+            watch(name, state.drafts.count())
+    return state

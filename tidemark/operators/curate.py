@@ -196,3 +196,79 @@ def covers(members: DataFrame, key: str = "draft_id") -> DataFrame:
     ranked = members.withColumn("cover_score", F.round(value, 9))
     w = Window.partitionBy(key).orderBy(F.desc("cover_score"), "item_id")
     return ranked.withColumn("__r", F.row_number().over(w)).where("__r = 1").select(key, F.col("item_id").alias("cover"), "cover_score")
+
+
+def candidate_scores(members: DataFrame, floor: float = 0.0, video: float = 0.0, face: float = 0.0, selfie: float = 0.0, cohort: float = 0.0) -> DataFrame:
+    """Adds candidate_score to the members (draft_id, item_id, position, quality, is_video, faces, largest_face, is_selfie, persons) that may be chosen; others are left out.
+
+    Quality and bonuses for videos, faces and groups, less penalties for close faces and selfies, and for every earlier candidate of the draft that shows
+    one of the same people. Not below 0.
+    """
+    fits = members.where(~F.coalesce("no_show", F.lit(False)) & ~F.coalesce("low_quality", F.lit(False)) & (F.coalesce("quality", F.lit(0.0)) >= floor))
+    faces, largest = F.coalesce("faces", F.lit(0)), F.coalesce("largest_face", F.lit(0.0))
+    group = F.when(faces >= 3, face * F.least(F.lit(1.0), (faces - 2) / 4)).otherwise(0.0)
+    close = selfie * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (largest - 0.25) / 0.35))
+    base = F.coalesce("quality", F.lit(0.0)) + F.when(F.col("is_video"), video).otherwise(0.0) + F.when(faces > 0, face).otherwise(0.0) + group - close - F.when(F.coalesce("is_selfie", F.lit(False)), selfie).otherwise(0.0)
+    seen = fits.select("draft_id", "item_id", "position", F.explode(F.array_distinct("persons")).alias("p"))
+    before = F.row_number().over(Window.partitionBy("draft_id", "p").orderBy("position", "item_id")) - 1
+    repeats = seen.withColumn("k", before).groupBy("draft_id", "item_id").agg(F.sum("k").alias("__repeats"))
+    out = fits.join(repeats, ["draft_id", "item_id"], "left")
+    return out.withColumn("candidate_score", F.greatest(F.lit(0.0), base - cohort * F.coalesce("__repeats", F.lit(0)))).drop("__repeats")
+
+
+def assign_stays(members: DataFrame, metres: float = 120.0) -> DataFrame:
+    """Adds stay to the members: in order of position, a located one belongs to the first centre of its draft within `metres`, else it is a new centre. Numbered from 1; null without a place. A draft's centres are held, not its members."""
+    from pyspark.sql import types as T
+
+    def start(_):
+        centers: list[dict] = []
+
+        def step(row):
+            if row is None:
+                return
+            stay = None
+            if row["lat"] is not None and row["lon"] is not None:
+                stay = next((k for k, c in enumerate(centers, 1) if _metres(c, row) <= metres), None)
+                if stay is None:
+                    centers.append({"lat": row["lat"], "lon": row["lon"]})
+                    stay = len(centers)
+            yield {**row, "stay": stay}
+
+        return step
+
+    return scan_sorted(members, ["draft_id"], ["position", "item_id"], start, T.StructType([*members.schema.fields, T.StructField("stay", T.IntegerType())]))
+
+
+def day_quotas(days: dict[str, tuple[str, float]], target: int, per_day: int | None = None, least: int = 0, core_bonus: int = 1, peripheral_penalty: int = 1) -> dict[str, int]:
+    """How many members each day of a run may have. days: of each its category (`core` or `peripheral`) and score.
+
+    Each day gets an even part of the target, core days more, peripheral ones fewer, these together 30 to 40 % of the target and one or two each. If that is
+    more than the target (or `least`), peripheral days give way first, the lowest scored first, then core days down to one.
+    """
+    if not days:
+        return {}
+    even = -(-target // len(days))
+    base = max(1, even if per_day is None else min(per_day, even))
+    outer = [d for d, (kind, _) in days.items() if kind == "peripheral"]
+    share = len(outer) / len(days)
+    limit = min(target, max(len(outer), int(target * (0.4 if share >= 0.6 else 0.3 if share <= 0.25 else 0.35))))
+    hard = 2 if target >= 2 * len(outer) else 1
+    quota = {d: min(hard, max(0, base - peripheral_penalty)) if kind == "peripheral" else max(1, base + (core_bonus if kind == "core" else 0)) for d, (kind, _) in days.items()}
+    # The largest peripheral quotas give one each in turn until they are within their share.
+    over = sum(quota[d] for d in outer) - limit
+    while over > 0 and any(quota[d] for d in outer):
+        for d in sorted(outer, key=lambda d: -quota[d]):
+            if over > 0 and quota[d] > 0:
+                quota[d] -= 1
+                over -= 1
+    floor = {d: 0 if kind == "peripheral" else 1 for d, (kind, _) in days.items()}
+    total = sum(quota.values())
+    goal = min(target, total)
+    lowest = max(sum(floor.values()), least)
+    excess = total - (goal if goal >= lowest else min(total, lowest))
+    for kind in ("peripheral", "core"):
+        for d in sorted((d for d, (k, _) in days.items() if k == kind), key=lambda d: (days[d][1], d)):
+            cut = min(excess, max(0, quota[d] - floor[d]))
+            quota[d] -= cut
+            excess -= cut
+    return quota

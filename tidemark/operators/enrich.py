@@ -108,3 +108,57 @@ def device_key(maker: Column, model: Column, owner: Column) -> Column:
     maker, model = F.trim(maker), F.trim(model)
     named = F.when(F.lower(model).startswith(F.lower(maker)), model).otherwise(F.concat_ws(" ", maker, model))
     return F.concat_ws("|", F.nullif(F.lower(named), F.lit("")), F.lower(F.trim(owner)))
+
+
+def normalised_time(items: DataFrame, order: tuple[str, ...] = ("filename", "mtime"), plausible_minutes: int = 720) -> DataFrame:
+    """Adds taken, taken_source and minutes_off to items (taken_at, time_source, path, mtime).
+
+    A time from the item itself (exif, or any source but mtime) stays. Else the sources in `order` are tried: the time stamp in the file name,
+    read as UTC, and the file's own. minutes_off tells by how much the file's time is away, if by more than `plausible_minutes`.
+    """
+    from tidemark.functions.calendar import filename_time
+
+    own = (F.col("time_source") == "exif") | (F.col("taken_at").isNotNull() & F.col("time_source").isNotNull() & (F.col("time_source") != "mtime"))
+    own = F.coalesce(own, F.lit(False))
+    found = {"filename": filename_time(F.col("path")), "mtime": F.col("mtime")}
+    tried = F.coalesce(*[F.when(found[name].isNotNull(), F.struct(found[name].alias("at"), F.lit(name).alias("source"))) for name in order], F.struct(F.col("taken_at").alias("at"), F.col("time_source").alias("source")))
+    best = F.when(own, F.struct(F.col("taken_at").alias("at"), F.col("time_source").alias("source"))).otherwise(tried)
+    out = items.withColumn("__t", best).withColumns({"taken": F.col("__t.at"), "taken_source": F.col("__t.source")}).drop("__t")
+    off = F.floor(F.abs(F.unix_timestamp("taken") - F.unix_timestamp("mtime")) / 60)
+    return out.withColumn("minutes_off", F.when(off > plausible_minutes, off))
+
+
+def reliable_range(drafts: DataFrame, members: DataFrame, key: list[str], samples: int = 3, coverage: float = 0.6, year: int = 1990) -> DataFrame:
+    """Drafts with t_from and t_to: as they stand if they are a range from `year` on, else from the members (key, t), if at least `samples` of them and that share of all have a time from then on; else null."""
+    least = F.unix_timestamp(F.to_timestamp(F.lit(f"{year:04d}-01-01")))
+    good = (F.col("t_from") > 0) & (F.col("t_to") >= F.col("t_from")) & (F.col("t_from") >= least)
+    timed = F.when(F.col("t") >= least, F.col("t"))
+    found = members.groupBy(*key).agg(F.count("*").alias("__all"), F.count(timed).alias("__timed"), F.min(timed).alias("__a"), F.max(timed).alias("__b"))
+    enough = (F.col("__timed") >= samples) & (F.col("__timed") >= coverage * F.col("__all"))
+    out = drafts.join(found, key, "left").withColumn("__good", F.coalesce(good, F.lit(False)))
+    both = {c: F.when(F.col("__good"), F.col(c)).when(enough, F.col(x)) for c, x in (("t_from", "__a"), ("t_to", "__b"))}
+    return out.withColumns(both).drop("__all", "__timed", "__a", "__b", "__good")
+
+
+def link_places(items: DataFrame, places: DataFrame, metres: float = 1000.0) -> DataFrame:
+    """Items with the nearest stored place (place_id, lat, lon) within a distance, and how far it is; ties by place_id. Items without one have nulls.
+
+    Takes the part of geocoding. Items are grouped by their coordinates rounded to five digits first, so a spot is looked up once; places are looked up in cells as wide as the distance.
+    """
+    from tidemark.functions.geo import haversine_m
+
+    rows = items.withColumns({"__y": F.round("lat", 5), "__x": F.round("lon", 5)})
+    spots = rows.where("__y is not null and __x is not null").select("__y", "__x").distinct()
+    step = metres / 111_000.0
+    # The width of a cell in degrees of longitude is that of its band's side nearer to the pole.
+    band = lambda y: F.floor(y / step)
+    width = lambda b: step / F.greatest(F.cos(F.radians(F.least(F.greatest(F.abs(b * step), F.abs((b + 1) * step)), F.lit(89.0)))), F.lit(0.01))
+    near = lambda k: F.explode(F.array(*[F.lit(x) for x in (-1, 0, 1)])).alias(k)
+    look = spots.select("*", near("__dy")).withColumn("__b", band(F.col("__y")) + F.col("__dy")).select("*", near("__dx"))
+    look = look.withColumn("__c", F.floor(F.col("__x") / width(F.col("__b"))) + F.col("__dx"))
+    known = places.where("lat is not null and lon is not null").select("place_id", F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), band(F.col("lat")).alias("__b"))
+    known = known.withColumn("__c", F.floor(F.col("__lon") / width(F.col("__b"))))
+    pairs = look.join(known, ["__b", "__c"]).withColumn("__m", haversine_m(F.col("__y"), F.col("__x"), F.col("__lat"), F.col("__lon"))).where(F.col("__m") <= metres)
+    best = pairs.groupBy("__y", "__x").agg(F.min(F.struct("__m", "place_id")).alias("__best"))
+    out = rows.join(best, ["__y", "__x"], "left")
+    return out.withColumns({"place_id": F.col("__best.place_id"), "place_metres": F.col("__best.__m")}).drop("__y", "__x", "__best")

@@ -7,6 +7,9 @@ Every strategy takes the owner of the items as a list of columns (`owner`); grou
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +28,32 @@ def drafts(rows: DataFrame, algorithm: str, key: list[str], least: int = 1, extr
     out = out.where(F.col("n") >= least)
     if where is not None:
         out = out.where(where)
-    return out.withColumn("algorithm", F.lit(algorithm))
+    out = out.withColumn("algorithm", F.lit(algorithm))
+    if (found := _MEMBERS.get()) is not None:
+        found.append(_members(rows, out, key))
+    return out
+
+
+#: Where `with_members` gathers the members of the drafts that are being made.
+_MEMBERS: ContextVar[list[DataFrame] | None] = ContextVar("members", default=None)
+
+
+def _members(rows: DataFrame, made: DataFrame, key: list[str]) -> DataFrame:
+    """(algorithm, digest, t_from, n, item_id, t) of the rows that the drafts are made of."""
+    k = made.select(*[F.col(c).alias(f"__{c}") for c in key], "algorithm", "digest", "t_from", "n")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key] or [F.lit(True)]
+    return rows.join(k, same).select("algorithm", "digest", "t_from", "n", "item_id", "t")
+
+
+def with_members(strategy: Callable[[], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    """What a strategy makes, and the members of its drafts as rows (algorithm, digest, t_from, n, item_id, t)."""
+    found: list[DataFrame] = []
+    token = _MEMBERS.set(found)
+    try:
+        made = strategy()
+    finally:
+        _MEMBERS.reset(token)
+    return made, union(*found) if found else None
 
 
 def is_panorama(least: float = 2.3) -> Column:
@@ -109,7 +137,7 @@ def significant_places(items: DataFrame, owner: list[str], step: float = 0.01, l
     return drafts(rows, "significant_place", [*owner, "cell"], least, {"days": F.count_distinct("day")}, F.col("days") >= days)
 
 
-def first_visits(items: DataFrame, owner: list[str], step: float = 0.01, per_day: int = 2, nights: tuple[int, int] = (0, 3), least: int = 4) -> DataFrame:
+def first_visits(items: DataFrame, owner: list[str], step: float = 0.01, per_day: int = 4, nights: tuple[int, int] = (0, 3), least: int = 7) -> DataFrame:
     """The earliest run of consecutive days in a cell that is long enough and not too long."""
     rows = located(items).withColumn("cell", floor_cell(F.col("lat"), F.col("lon"), step))
     key = [*owner, "cell"]
@@ -150,13 +178,23 @@ def one_year_ago(items: DataFrame, owner: list[str], as_of: str, days: int = 3,
     return drafts(rows, "one_year_ago", [*owner, "anchor"], least)
 
 
-def anniversaries(items: DataFrame, owner: list[str], least: int = 5, years: int = 3, top: int = 30) -> DataFrame:
+def anniversaries(items: DataFrame, owner: list[str], least: int = 5, years: int = 10, top: int = 30) -> DataFrame:
     """Month-days that recur, scored by items, years, items a year, span and the best year; the top ones."""
     per = items.withColumns({"month_day": F.date_format("day", "MM-dd"), "year": F.year("day")}).groupBy(*owner, "month_day", "year").agg(F.count("*").alias("c"))
     g = per.groupBy(*owner, "month_day").agg(F.sum("c").alias("n"), F.count("*").alias("years"), F.max("c").alias("best"), (F.max("year") - F.min("year")).alias("span"))
     g = g.where((F.col("n") >= least) & (F.col("years") >= years))
     score = 5 * F.col("n") + 10 * F.col("years") + 3 * F.col("n") / F.col("years") + 2 * F.col("span") + F.col("best")
-    return g.withColumn("score", score).orderBy(F.desc("score"), *owner, "month_day").limit(top)
+    out = g.withColumn("score", score).orderBy(F.desc("score"), *owner, "month_day").limit(top)
+    if (found := _MEMBERS.get()) is not None:
+        rows = items.withColumn("month_day", F.date_format("day", "MM-dd")).join(out.select(*owner, "month_day"), [*owner, "month_day"], "left_semi")
+        found.append(drafts_members(rows, "anniversary", [*owner, "month_day"]))
+    return out
+
+
+def drafts_members(rows: DataFrame, algorithm: str, key: list[str]) -> DataFrame:
+    """Members of the groups of rows, for strategies that don't group by `drafts`."""
+    made = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("t").alias("t_from"), member_digest(F.col("item_id")).alias("digest")).withColumn("algorithm", F.lit(algorithm))
+    return _members(rows, made, key)
 
 
 def holidays(items: DataFrame, owner: list[str], least: int = 6) -> DataFrame:
@@ -215,7 +253,7 @@ def transit_days(items: DataFrame, owner: list[str], least: int = 3, km: float =
     return drafts(legs, "transit_travel_day", key, least, extra, (F.col("km") >= km) & (F.col("fast") >= fast_legs) & (F.col("straight") >= straight_legs))
 
 
-def weekend_getaways(items: DataFrame, owner: list[str], home: DataFrame, nights: tuple[int, int] = (1, 3), per_day: int = 2, km: tuple[float, float] = (80.0, 400.0), years: int = 1, least: int = 4) -> DataFrame:
+def weekend_getaways(items: DataFrame, owner: list[str], home: DataFrame, nights: tuple[int, int] = (2, 3), per_day: int = 4, km: tuple[float, float] = (80.0, 400.0), years: int = 3, least: int = 20) -> DataFrame:
     """Per owner and year the best run of days away from home that holds a weekend day; owners with enough such years."""
     rows = located(items).join(home, owner).withColumn("km", haversine_m(F.col("lat"), F.col("lon"), F.col("home_lat"), F.col("home_lon")) / 1000)
     days = rows.groupBy(*owner, "day").agg(F.count("*").alias("c"), F.median("km").alias("km")).where((F.col("c") >= per_day) & F.col("km").between(*km))
@@ -261,7 +299,42 @@ def monthly_highlights(items: DataFrame, owner: list[str], least: int = 28, days
     from tidemark.operators.islands import scan_sorted
 
     ranked = events.withColumn("rank", -F.col("score"))
-    return scan_sorted(ranked, key, ["rank", "day"], start, events.schema).withColumn("algorithm", F.lit("monthly_highlights"))
+    out = scan_sorted(ranked, key, ["rank", "day"], start, events.schema).withColumn("algorithm", F.lit("monthly_highlights"))
+    if (found := _MEMBERS.get()) is not None:
+        found.append(_members(rows, out, [*key, "day"]))
+    return out
+
+
+def similar_times(items: DataFrame, owner: list[str], scratch, metres: float = 250.0, seconds: int = 10800, least: int = 9) -> DataFrame:
+    """Buckets of a day by density, then time."""
+    from tidemark.operators.grouping import geo_time_buckets
+
+    found = geo_time_buckets(items, owner, scratch, metres, seconds, least)
+    return drafts(items.select("item_id", "t", "lat", "lon").join(found, "item_id"), "time_similarity", [*owner, "day", "bucket"], least)
+
+
+def similar_places(items: DataFrame, owner: list[str], scratch, metres: float = 140.0, seconds: int = 10800, least: int = 6, step: float = 0.01) -> DataFrame:
+    """The same within each place that has enough items; items of no place among themselves."""
+    from tidemark.operators.grouping import geo_time_buckets
+
+    rows = items.withColumn("place", F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), floor_cell(F.col("lat"), F.col("lon"), step)))
+    if "locality" in items.columns:
+        rows = rows.withColumn("place", F.coalesce("locality", "place"))
+    rows = rows.withColumn("place", F.coalesce("place", F.lit("")))
+    full = rows.groupBy(*owner, "place").agg(F.count("*").alias("__n")).where(F.col("__n") >= least).drop("__n")
+    rows = rows.join(full, [*owner, "place"], "left_semi")
+    found = geo_time_buckets(rows, [*owner, "place"], scratch, metres, seconds, least)
+    return drafts(rows.select("item_id", "t", "lat", "lon").join(found, "item_id"), "location_similarity", [*owner, "place", "day", "bucket"], least)
+
+
+def vacations(items: DataFrame, owner: list[str], home: DataFrame, least_km: float = 60.0) -> DataFrame:
+    """Trips (`trips`) that reach the threshold of their class, as drafts of their days' items."""
+    from tidemark.operators import trips as T
+
+    days = T.runs(T.away_days(T.day_summaries(items, owner, home), owner, least_km), owner)
+    made = T.trips(days, owner).where("passes").select(*owner, "run", F.col("class").alias("trip_class"))
+    rows = items.join(days.select(*owner, "day", "run"), [*owner, "day"]).join(made, [*owner, "run"])
+    return drafts(rows, "vacation", [*owner, "run", "trip_class"])
 
 
 def phash_groups(items: DataFrame, scratch, prefix: int = 4, bits: int = 5, least: int = 2) -> DataFrame:

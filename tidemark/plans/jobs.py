@@ -4,20 +4,78 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import consolidate, feed, score, strategies
+from tidemark.functions.hashing import member_digest
+from tidemark.operators import consolidate, feed, novelty, score, strategies
+from tidemark.operators.aggregates import home_places
 from tidemark.operators.scans import eligible
 from tidemark.sources.scratch import Scratch
 
+@dataclass
+class Context:
+    """What strategies may ask for besides items."""
+
+    owner: list[str]
+    home: DataFrame
+    scratch: Scratch
+    as_of: str
+
+
 #: A strategy turns items into drafts.
-Strategy = Callable[[DataFrame, list[str]], DataFrame]
+Strategy = Callable[[DataFrame, Context], DataFrame]
+
+
+def _plain(f: Callable[[DataFrame, list[str]], DataFrame]) -> Strategy:
+    return lambda items, c: f(items, c.owner)
+
+
+_WEEKDAYS, _WEEKEND = (1, 2, 3, 4, 5), (6, 7)
+#: All strategies, in the order of their priority.
 STRATEGIES: dict[str, Strategy] = {
-    "day_album": strategies.day_albums, "video_stories": strategies.video_stories, "burst": strategies.bursts, "cross_dimension": strategies.cross_dimension, "nightlife_event": strategies.nightlife, "golden_hour": strategies.golden_hours,
-    "panorama": strategies.panoramas, "portrait_orientation": strategies.portraits, "device_similarity": strategies.device_groups, "significant_place": strategies.significant_places, "first_visit_place": strategies.first_visits,
-}
+    "vacation": lambda r, c: strategies.vacations(r, c.owner, c.home),
+    "weekend_getaways_over_years": lambda r, c: strategies.weekend_getaways(r, c.owner, c.home),
+    "transit_travel_day": _plain(strategies.transit_days),
+    "first_visit_place": _plain(strategies.first_visits),
+    "significant_place": _plain(strategies.significant_places),
+    "year_in_review": lambda r, c: strategies.per_year(r, c.owner, 110, 4),
+    "monthly_highlights": _plain(strategies.monthly_highlights),
+    "this_month_over_years": lambda r, c: strategies.this_month(r, c.owner, c.as_of),
+    "on_this_day_over_years": lambda r, c: strategies.on_this_day(r, c.owner, c.as_of),
+    "one_year_ago": lambda r, c: strategies.one_year_ago(r, c.owner, c.as_of),
+    "people_cohort": lambda r, c: strategies.cohorts(r),
+    "anniversary": lambda r, c: _digested(r, c.owner, strategies.anniversaries(r, c.owner)),
+    "holiday_event": _plain(strategies.holidays),
+    "new_year_eve": _plain(strategies.new_years_eve),
+    "nightlife_event": _plain(strategies.nightlife),
+    "season_over_years": _plain(strategies.seasons_over_years),
+    "season": _plain(strategies.seasons),
+    "golden_hour": _plain(strategies.golden_hours),
+    "day_album": _plain(strategies.day_albums),
+    "at_home_weekend": lambda r, c: strategies.at_home(r, c.owner, c.home, _WEEKEND, 0.62, 3, 6, algorithm="at_home_weekend"),
+    "at_home_weekday": lambda r, c: strategies.at_home(r, c.owner, c.home, _WEEKDAYS, 0.60, 3, 5, algorithm="at_home_weekday"),
+    "location_similarity": lambda r, c: strategies.similar_places(r, c.owner, c.scratch),
+    "cross_dimension": _plain(strategies.cross_dimension),
+    "time_similarity": lambda r, c: strategies.similar_times(r, c.owner, c.scratch),
+    "panorama": _plain(strategies.panoramas),
+    "panorama_over_years": _plain(strategies.panoramas_over_years),
+    "portrait_orientation": _plain(strategies.portraits),
+    "video_stories": _plain(strategies.video_stories),
+    "device_similarity": _plain(strategies.device_groups),
+    "phash_similarity": lambda r, c: strategies.phash_groups(r, c.scratch),
+    "burst": _plain(strategies.bursts),
+}
+#: Priority of the drafts of each strategy, the first the highest.
+PRIORITY = {name: len(STRATEGIES) - k for k, name in enumerate(STRATEGIES)}
+
+
+def _digested(items: DataFrame, owner: list[str], made: DataFrame) -> DataFrame:
+    """Anniversaries as drafts."""
+    rows = items.withColumn("month_day", F.date_format("day", "MM-dd")).join(made.select(*owner, "month_day"), [*owner, "month_day"], "left_semi")
+    return rows.groupBy(*owner, "month_day").agg(F.count("*").alias("n"), F.min("t").alias("t_from"), F.max("t").alias("t_to"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), member_digest(F.col("item_id")).alias("digest")).withColumn("algorithm", F.lit("anniversary"))
 
 
 @dataclass(frozen=True)
@@ -36,31 +94,65 @@ def register(name: str, strategy: Strategy) -> None:
     STRATEGIES[name] = strategy
 
 
-def cluster(items: DataFrame, options: Options) -> DataFrame:
-    """Drafts of all strategies that are asked for, filtered; each with its draft_id (strategy, key and digest hashed)."""
+def home_of(items: DataFrame, owner: list[str]) -> DataFrame:
+    """(owner, home_lat, home_lon) as inferred from the items."""
+    return home_places(items, owner).select(*owner, "home_lat", "home_lon")
+
+
+def strategy_drafts(items: DataFrame, options: Options, scratch: Scratch, home: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Drafts of all strategies that are asked for, unscored, and their members (draft_id, item_id, position by time), both stored. draft_id is strategy, digest and start hashed."""
     rows = eligible(items)
     if options.since:
         rows = rows.where(F.col("ts") >= F.lit(options.since).cast("timestamp"))
     if options.until:
         rows = rows.where(F.col("ts") <= F.lit(options.until).cast("timestamp"))
+    day = datetime.fromtimestamp(options.as_of, UTC).date().isoformat()
+    context = Context(list(options.owner), home if home is not None else scratch.table(home_of(rows, options.owner), "home"), scratch, day)
     names = options.types or tuple(STRATEGIES)
-    shown = [*options.owner, "algorithm", "n", "t_from", "t_to", "lat", "lon", "digest"]
-    made = strategies.union(*[STRATEGIES[n](rows, options.owner).select(*shown) for n in names])
-    made = made.withColumn("draft_id", F.xxhash64("algorithm", *options.owner, "digest", "t_from"))
-    hours = (F.col("t_to") - F.col("t_from")) / 3600
-    parts = {"density": score.density(F.col("n"), hours * 3600), "recency": score.recency(F.col("t_to"), options.as_of), "holiday": score.holiday(F.col("t_from"), F.col("t_to")), "time_coverage": score.time_coverage(F.lit(1.0), hours * 3600)}
-    made = score.normalise(made.withColumn("raw", score.weighted(parts)), score="raw").withColumnRenamed("normalised", "score")
-    return consolidate.filter_drafts(made, options.least, options.min_score, need_time=True)
-
-
-def consolidated(drafts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Drafts of the same owner's algorithms without exact copies, and of those that share a time range the dominant one."""
-    once = scratch.table(consolidate.collapse_duplicates(drafts, ["digest", "n"], [F.desc("score")]), "once")
-    same = once.select(F.col("draft_id").alias("a"), "t_from", "t_to", "digest", "n").alias("x")
-    other = once.select(F.col("draft_id").alias("b"), "t_from", "t_to", "digest", "n").alias("y")
-    pairs = same.join(other, ["t_from", "t_to", "n"]).where("a < b").select("a", "b")
-    ranked = once.withColumn("order", F.struct((-F.col("score")).alias("s"), "draft_id"))
-    return consolidate.dominant(ranked, pairs, "order", scratch).drop("order")
+    if unknown := set(names) - set(STRATEGIES):
+        raise ValueError(f"unknown strategies: {', '.join(sorted(unknown))}")
+    made, members = [], []
+    for name in names:
+        drafts, inside = strategies.with_members(lambda name=name: STRATEGIES[name](rows, context))
+        for c in options.owner:
+            if c not in drafts.columns:
+                drafts = drafts.withColumn(c, F.lit(None).cast(items.schema[c].dataType))
+        lacks = [c for c in ("lat", "lon") if c not in drafts.columns]
+        made.append(drafts.withColumns({c: F.lit(None).cast("double") for c in lacks}).select(*options.owner, "algorithm", "n", "t_from", "t_to", "lat", "lon", "digest"))
+        members.append(inside)
+    key = F.xxhash64("algorithm", "digest", "t_from", "n")
+    drafts = scratch.table(strategies.union(*made).withColumn("draft_id", key), "drafts")
+    rows = strategies.union(*members).withColumn("draft_id", key).join(drafts.select("draft_id").distinct(), "draft_id", "left_semi")
+    position = F.row_number().over(Window.partitionBy("draft_id").orderBy("t", "item_id")).cast("bigint")
+    return drafts, scratch.table(rows.select("draft_id", "item_id", "t").distinct().withColumn("position", position).select("draft_id", "item_id", "position"), "members")
+
+
+def scored(drafts: DataFrame, members: DataFrame, items: DataFrame, scratch: Scratch, as_of: int, weights: dict[str, float] | None = None) -> DataFrame:
+    """Drafts with all parts of the score, their weighted sum (raw), and score, the sum normalised within each algorithm; priority by strategy."""
+    detail = ["item_id", "t", "lat", "lon", "quality", "persons", "is_video", "tag", "device", "phash"]
+    rows = scratch.table(members.join(items.select(*detail), "item_id"), "scored_members")
+    parts = score.draft_parts(rows, ["draft_id"], as_of)
+    new = novelty.novelty(rows.withColumn("stay", F.lit(None).cast("string")), items, ["draft_id"]).select("draft_id", "novelty")
+    place = rows.groupBy("draft_id").agg(F.max("tag").alias("label"))
+    parts = parts.join(new, "draft_id").join(place, "draft_id").withColumns({"poi": score.poi(F.col("label"), F.lit(None), F.lit(None), F.lit(None)), "aesthetics": F.col("quality")})
+    names = [c for c in score.WEIGHTS if c in parts.columns]
+    total = score.weighted({c: F.col(c) for c in names}, weights)
+    out = drafts.join(parts.select("draft_id", *names, total.alias("raw")), "draft_id")
+    out = score.normalise(out, score="raw").withColumnRenamed("normalised", "score")
+    order = F.create_map(*[x for k, v in PRIORITY.items() for x in (F.lit(k), F.lit(v))])
+    return scratch.table(out.withColumn("priority", F.coalesce(order[F.col("algorithm")], F.lit(0))), "scored")
+
+
+def cluster(items: DataFrame, options: Options, scratch: Scratch, home: DataFrame | None = None) -> consolidate.State:
+    """Scored drafts of all strategies that are asked for, and their members."""
+    drafts, members = strategy_drafts(items, options, scratch, home)
+    return consolidate.State(scored(drafts.dropDuplicates(["draft_id"]), members, items, scratch, options.as_of), members, scratch)
+
+
+def consolidated(state: consolidate.State, settings: dict | None = None, only: tuple[str, ...] = (), watch: Callable[[str, int], None] | None = None) -> consolidate.State:
+    """The state after the consolidation's stages, all or those named, in their order."""
+    stages = consolidate.default_stages(settings)
+    return consolidate.run_stages(state, {k: v for k, v in stages.items() if not only or k in only}, watch)
 
 
 def make_feed(drafts: DataFrame, as_of: int, profile: feed.Profile | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +26,10 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder = spark, f"{shared_folder(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+        self.used: Counter[str] = Counter()
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.folder}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+        self.used[name] += 1
+        path = f"{self.folder}/{name}" + (f"-{self.used[name]}" if self.used[name] > 1 else "")
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import config_hash
 from tidemark.operators.consolidate import insert_new
+from tidemark.sources.scratch import Scratch
 
 
 class DraftStore:
@@ -39,6 +40,25 @@ class DraftStore:
             path = fs_path(target)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def insert_stream(self, drafts: DataFrame, checkpoint: str):
+        """Starts a query that inserts a stream of drafts batch by batch; each batch sees what those before it have stored, so a replayed one adds nothing."""
+
+        def batch(df: DataFrame, _: int) -> None:
+            self.insert(df)
+
+        return drafts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def refresh(self, rows: DataFrame, columns: list[str]) -> None:
+        """Sets columns of stored drafts to those of `rows` (algorithm, fingerprint, the columns): the partitions of their algorithms are written anew, others aren't touched. Rows that aren't stored are ignored."""
+        key = ["algorithm", "fingerprint"]
+        news = rows.select(*key, F.lit(True).alias("__new"), *[F.col(c).alias(f"__{c}") for c in columns]).dropDuplicates(key)
+        names = [r["algorithm"] for r in rows.select("algorithm").distinct().collect()]
+        stored = self.drafts().where(F.col("algorithm").isin(names))
+        out = stored.join(news, key, "left")
+        out = out.withColumns({c: F.when(F.col("__new"), F.col(f"__{c}")).otherwise(F.col(c)) for c in columns}).select(*stored.columns)
+        # What is read can't be overwritten: the new partitions are written beside and then take the old ones' place.
+        Scratch(self.spark, "refresh").table(out, "drafts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("algorithm").parquet(f"{self.folder}/drafts")
+
     def latest(self, n: int) -> DataFrame:
         return self.drafts().orderBy(F.desc("t_from"), F.desc("t_to"), "draft_id").limit(n)
 
@@ -76,3 +96,37 @@ def export_html(feed: DataFrame, most: int = 200) -> str:
 def emit_event(spark: SparkSession, path: str, job: str, status: str, **context: str) -> None:
     """Appends one run event as a JSON line."""
     spark.createDataFrame([(job, status, {k: str(v) for k, v in context.items()})], "job string, status string, context map<string,string>").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").json(path)
+
+
+class Preferences:
+    """A table of (profile, kind, value): favourites, hidden things and opt-outs of users. Every change is a new version of the profile; the last one counts."""
+
+    SCHEMA = "profile string, version bigint, kind string, value string"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _all(self) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.folder)
+
+    def read(self) -> DataFrame:
+        """(profile, kind, value) as they stand."""
+        rows = self._all()
+        last = rows.groupBy("profile").agg(F.max("version").alias("version"))
+        return rows.join(last, ["profile", "version"]).where("kind is not null").select("profile", "kind", "value").distinct()
+
+    def of(self, profile: str) -> dict[str, list[str]]:
+        """The values of one profile by kind, sorted; a user's list is short."""
+        out: dict[str, list[str]] = {}
+        for r in self.read().where(F.col("profile") == profile).orderBy("kind", "value").collect():
+            out.setdefault(r["kind"], []).append(r["value"])
+        return out
+
+    def write(self, profile: str, values: dict[str, list[str]]) -> None:
+        """Replaces what is stored of a profile."""
+        version = (self._all().where(F.col("profile") == profile).agg(F.max("version")).first()[0] or 0) + 1
+        rows = [(profile, version, kind, v) for kind, given in values.items() for v in given] or [(profile, version, None, None)]
+        self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.folder)
