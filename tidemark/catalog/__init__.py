@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tidemark.catalog.base import ORACLE_SQL, QUERIES
 
-for _name in ("scans", "features", "sessions", "strategies", "aggregates", "joins", "consolidation", "trips", "selection", "jobs", "extras"):
+for _name in ("scans", "features", "sessions", "strategies", "aggregates", "joins", "consolidation", "trips", "selection", "jobs", "extras", "closeness"):
     import_module(f"tidemark.catalog.{_name}")
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -138,13 +138,3 @@ def composite_score(spark, d):
 )
 def normalised_score(spark, d):
     return score.normalise(_scored(spark, d), "device").select("device", "day", F.round("normalised", 6).alias("normalised"))
-
-
-@query(f"WITH {ELIGIBLE}, f AS (SELECT device, count(*) AS c FROM eligible GROUP BY device), k AS (SELECT hour(ts) AS h, count(*) AS c FROM eligible GROUP BY 1) SELECT item_id, round(0.6 * (1 - f.c / (SELECT max(c) FROM f)) + 0.4 * (1 - k.c / (SELECT max(c) FROM k)), 6) AS novelty FROM eligible JOIN f USING (device) JOIN k ON k.h = hour(ts)")
-def novelty(spark, d):
-    from tidemark.operators.aggregates import frequencies
-
-    rows = eligible(items(spark, d)).withColumn("h", F.hour("ts"))
-    dev, hour = frequencies(rows, "device", "device"), frequencies(rows, "h", "h")
-    out = rows.join(dev.select("device", score.rarity(F.col("c"), F.col("most")).alias("a")), "device").join(hour.select("h", score.rarity(F.col("c"), F.col("most")).alias("b")), "h")
-    return out.select("item_id", F.round(0.6 * F.col("a") + 0.4 * F.col("b"), 6).alias("novelty"))
