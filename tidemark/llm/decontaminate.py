@@ -35,7 +35,7 @@ SLOP = 4
 #: Positions between two documents of a segment, more than a window and its slop.
 GAP = 64
 #: Words of a segment, and words of test items that are looked up at a time (more are looked up in blocks).
-SEGMENT_WORDS = 1 << 21
+SEGMENT_WORDS = 1 << 19
 QUERY_WORDS = 1 << 20
 #: Candidates that are intersected at a time.
 CHUNK = 1 << 20
@@ -234,7 +234,8 @@ def _query(given, slop: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = given.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 counts = np.array(row["n_words"], np.int64)
                 base = np.cumsum(counts + GAP) - counts - GAP
                 seg = Segment(row, items)
@@ -251,8 +252,8 @@ def _query(given, slop: int):
                         names[d].append(items.ids[i])
                     reach = np.maximum.accumulate(end) if len(end) else end
                     new = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]])) if len(end) else np.zeros(0, np.int64)
-                    for k, e in zip(new.tolist(), reach[np.append(new[1:], len(end)) - 1].tolist() if len(new) else [], strict=True):
-                        spans[doc[k]].append({"a": int(start[k] - base[doc[k]]), "b": int(e - base[doc[k]])})
+                    for n, e in zip(new.tolist(), reach[np.append(new[1:], len(end)) - 1].tolist() if len(new) else [], strict=True):
+                        spans[doc[n]].append({"a": int(start[n] - base[doc[n]]), "b": int(e - base[doc[n]])})
                     for w, a, b in zip(*(x.tolist() for x in proximity_matches(seg, items, slop)), strict=True) if slop else ():
                         d = int(np.searchsorted(base, a, "right")) - 1
                         near[d].append({"item": items.ids[items.item[w]], "a": a - int(base[d]), "b": b + 1 - int(base[d])})
