@@ -46,3 +46,15 @@ def image_features(pixels: pd.Series) -> pd.DataFrame:
         size = min(16, side)
         rows.append((f"{perceptual_hash(image, size):0{min(128, size * size) // 4}x}", f"{difference_hash(image):x}", float(image.mean()), float(image.std()), float(around.var())))
     return pd.DataFrame(rows, columns=["phash", "dhash", "mean", "contrast", "sharpness"])
+
+
+def oriented(image: np.ndarray, orientation: int | None) -> np.ndarray:
+    """The image as it is to be seen, by its EXIF orientation (1 to 8; others change nothing): turned by quarters, and mirrored where the number says so."""
+    turns = {3: 2, 4: 2, 5: 3, 6: 3, 7: 1, 8: 1}.get(orientation or 1, 0)
+    out = np.rot90(image, turns) if turns else image
+    return out[:, ::-1] if orientation in (2, 4, 5, 7) else out
+
+
+def turned(image: np.ndarray, degrees: int | None) -> np.ndarray:
+    """A video's frame by its rotation clockwise in degrees."""
+    return np.rot90(image, -(((degrees or 0) % 360) // 90))
