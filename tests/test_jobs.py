@@ -1,5 +1,6 @@
 """Stages, jobs, and operators that SQL can't express, against plain versions."""
 
+import datetime as dt
 import random
 
 import pytest
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 from tidemark.catalog.base import items
 from tidemark.operators import consolidate, curate, grouping
 from tidemark.operators.islands import _metres
-from tidemark.plans import jobs
+from tidemark.plans import ingest, jobs
+from tidemark.plans.trips import trip_days, trip_scores
 from tidemark.sources.scratch import Scratch
 from tidemark.sources.sinks import DraftStore, Preferences
 
@@ -218,3 +220,50 @@ def test_preferences_are_replaced_as_a_whole(spark, tmp_path):
     assert store.of("me") == {"favourite": ["c"]} and store.of("you") == {"favourite": ["z"]}
     store.write("me", {})
     assert store.of("me") == {} and pairs(store.read()) == [("you", "favourite", "z")]
+
+
+def test_trip_days_and_runs(spark):
+    """A week at home, four days far away with an evening stay each, and home again."""
+    rows, k = [], 0
+    for day in range(14):
+        lat = 50.0 if 5 <= day <= 8 else 48.0
+        for hour in (9, 10, 12, 18, 19, 20, 21, 22):
+            at = dt.datetime(2024, 5, 1 + day, hour, tzinfo=dt.UTC)
+            rows.append((1, k, int(at.timestamp()), at.date(), lat + (0.001 if hour < 18 else 0.0), 11.0))
+            k += 1
+    df = spark.createDataFrame(rows, "user_id bigint, item_id bigint, t bigint, day date, lat double, lon double")
+    home = spark.createDataFrame([(1, 48.0, 11.0)], "user_id bigint, home_lat double, home_lon double")
+    days = trip_days(df, ["user_id"], home, Scratch(spark, "t"))
+    got = {r["day"].day: r for r in days.collect()}
+    assert [d for d in sorted(got) if got[d]["candidate"]] == [6, 7, 8, 9]
+    assert got[6]["away"] and got[6]["outside"] and got[6]["dwell"] and not got[3]["away"] and got[3]["outside"] is False
+    (trip,) = trip_scores(days, ["user_id"]).collect()
+    assert (trip["first"].day, trip["last"].day, trip["days"], trip["n"], trip["class"]) == (6, 9, 4, 32, "vacation")
+
+
+def test_curation_as_a_stage(spark, state):
+    rows = items(spark, FOLDER).withColumn("user_id", F.col("user_id") % 4)
+    stages = {"curate": jobs.curated(rows, {"season": curate.policy("trip"), "day_album": curate.policy("session")})}
+    out = consolidate.run_stages(state, stages)
+    sizes = {r["draft_id"]: r for r in out.drafts.collect()}
+    before = {r["draft_id"]: r["n"] for r in state.drafts.collect()}
+    for k, r in sizes.items():
+        assert r["n"] <= {"season": 25, "day_album": 8}.get(r["algorithm"], before[k])
+    inside = out.members.groupBy("draft_id").agg(F.count("*").alias("m")).collect()
+    assert {r["draft_id"]: r["m"] for r in inside} == {k: r["n"] for k, r in sizes.items()}
+
+
+def test_ingest_reads_each_content_once(spark, tmp_path):
+    from .test_media import DETAIL, GPS, jpeg, tiff
+
+    image = jpeg((0xE1, b"Exif\0\0" + tiff("<", [(0x0110, 2, "M1")], DETAIL, GPS)))
+    (tmp_path / "sub").mkdir()
+    for name, data in (("a.jpg", image), ("sub/b.jpg", image), ("IMG_20230405_060708.jpg", b"\xff\xd8\xff broken"), ("known.png", b"\x89PNG known"), ("note.txt", b"x")):
+        (tmp_path / name).write_bytes(data)
+    known = ingest.ingest(spark, str(tmp_path)).where("path like '%known.png'").select("checksum")
+    got = {r["path"].rsplit("/", 1)[-1]: r for r in ingest.ingest(spark, str(tmp_path), known).collect()}
+    assert set(got) == {"a.jpg", "IMG_20230405_060708.jpg"}
+    a, b = got["a.jpg"], got["IMG_20230405_060708.jpg"]
+    assert (a["exif_model"], a["taken_source"], str(a["taken"])) == ("M1", "exif", "2024-01-02 03:04:05")
+    assert (b["exif_model"], b["taken_source"], str(b["taken"])) == (None, "filename", "2023-04-05 06:07:08")
+    assert "exif_model" not in ingest.ingest(spark, str(tmp_path), without=("exif",)).columns

@@ -327,11 +327,10 @@ def similar_places(items: DataFrame, owner: list[str], scratch, metres: float =
     return drafts(rows.select("item_id", "t", "lat", "lon").join(found, "item_id"), "location_similarity", [*owner, "place", "day", "bucket"], least)
 
 
-def vacations(items: DataFrame, owner: list[str], home: DataFrame, least_km: float = 60.0) -> DataFrame:
-    """Trips (`trips`) that reach the threshold of their class, as drafts of their days' items."""
+def vacations(items: DataFrame, owner: list[str], days: DataFrame) -> DataFrame:
+    """Trips of runs of days (owner, day, run and what `trips.trips` asks for) that reach the threshold of their class, as drafts of their days' items."""
     from tidemark.operators import trips as T
 
-    days = T.runs(T.away_days(T.day_summaries(items, owner, home), owner, least_km), owner)
     made = T.trips(days, owner).where("passes").select(*owner, "run", F.col("class").alias("trip_class"))
     rows = items.join(days.select(*owner, "day", "run"), [*owner, "day"]).join(made, [*owner, "run"])
     return drafts(rows, "vacation", [*owner, "run", "trip_class"])

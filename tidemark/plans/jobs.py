@@ -9,10 +9,12 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import member_digest
-from tidemark.operators import consolidate, feed, novelty, score, strategies
+from tidemark.functions.hashing import hex_bits, member_digest
+from tidemark.operators import consolidate, curate, feed, novelty, score, strategies
 from tidemark.operators.aggregates import home_places
+from tidemark.operators.away import trip_runs
 from tidemark.operators.scans import eligible
+from tidemark.plans.trips import trip_days
 from tidemark.sources.scratch import Scratch
 
 @dataclass
@@ -36,7 +38,7 @@ def _plain(f: Callable[[DataFrame, list[str]], DataFrame]) -> Strategy:
 _WEEKDAYS, _WEEKEND = (1, 2, 3, 4, 5), (6, 7)
 #: All strategies, in the order of their priority.
 STRATEGIES: dict[str, Strategy] = {
-    "vacation": lambda r, c: strategies.vacations(r, c.owner, c.home),
+    "vacation": lambda r, c: strategies.vacations(r, c.owner, trip_runs(trip_days(r, c.owner, c.home, c.scratch), c.owner)),
     "weekend_getaways_over_years": lambda r, c: strategies.weekend_getaways(r, c.owner, c.home),
     "transit_travel_day": _plain(strategies.transit_days),
     "first_visit_place": _plain(strategies.first_visits),
@@ -155,6 +157,28 @@ def consolidated(state: consolidate.State, settings: dict | None = None, only: t
     return consolidate.run_stages(state, {k: v for k, v in stages.items() if not only or k in only}, watch)
 
 
+def curated(items: DataFrame, policies: dict[str, curate.Policy] | None = None) -> consolidate.Stage:
+    """A stage that chooses the members of the drafts, each algorithm's by its policy (those without one keep all): candidates are scored, of each burst the best is taken, and the rules of the policy choose."""
+    policies = policies or {"vacation": curate.policy("trip")}
+    detail = items.select("item_id", "t", F.col("day").cast("string").alias("day"), "lat", "lon", hex_bits(F.col("phash")).alias("hash"), "quality", "is_video", "persons", "burst_uuid", "no_show", "low_quality", (F.col("height") > F.col("width")).alias("upright"), F.when(F.col("is_video"), "video").otherwise(F.col("device")).alias("scene"))
+
+    def stage(state: consolidate.State) -> consolidate.State:
+        algorithms = state.drafts.select("draft_id", "algorithm")
+        kept = state.members.join(algorithms.where(~F.col("algorithm").isin(*policies)), "draft_id", "left_semi").select("draft_id", "item_id", "position")
+        for name, policy in policies.items():
+            mine = state.members.join(algorithms.where(F.col("algorithm") == name), "draft_id", "left_semi").select("draft_id", "item_id", "position").join(detail, "item_id")
+            faces = F.size(F.coalesce("persons", F.array().cast("array<string>")))
+            scored = curate.candidate_scores(mine.withColumns({"faces": faces, "largest_face": F.lit(0.0), "is_selfie": F.lit(False)}), video=0.05, face=0.05, cohort=0.01)
+            best = curate.collapse_bursts(scored.withColumn("score", F.col("candidate_score")), ["draft_id"])
+            kept = kept.unionByName(curate.curate(best, policy).withColumn("position", F.col("position").cast("bigint")))
+        members = state.scratch.table(kept, "curated")
+        sizes = members.groupBy("draft_id").agg(F.count("*").alias("__n"))
+        drafts = state.drafts.join(sizes, "draft_id", "left").withColumn("n", F.coalesce("__n", F.lit(0)).cast("bigint")).select(*state.drafts.columns)
+        return consolidate.State(state.scratch.table(drafts.where("n > 0"), "curated_drafts"), members, state.scratch)
+
+    return stage
+
+
 def make_feed(drafts: DataFrame, as_of: int, profile: feed.Profile | None = None) -> DataFrame:
     """The ranked feed of the drafts, under the profile's caps."""
     profile = profile or feed.Profile()

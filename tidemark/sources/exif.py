@@ -115,12 +115,22 @@ def read_exif(data: bytes | None) -> dict[str, object]:
     return out
 
 
+def _safe(data: bytes | None) -> dict[str, object]:
+    """What a damaged file makes fail concerns this file alone."""
+    try:
+        found = read_exif(data)
+        texts = ("make", "model", "lens", "taken", "taken_offset", "taken_fraction")
+        return {k: v if v is None or k == "keywords" or isinstance(v, str) == (k in texts) and not isinstance(v, list | bytes) else None for k, v in found.items()}
+    except (ValueError, TypeError, IndexError, struct.error, OverflowError, ZeroDivisionError):
+        return dict.fromkeys(NAMES)
+
+
 def with_exif(files: DataFrame, column: str = "content") -> DataFrame:
     """Files (path and their bytes) with what their headers tell, as the columns of SCHEMA; a file that can't be read has nulls."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = pd.DataFrame([read_exif(x) for x in batch[column]], columns=NAMES, index=batch.index)
+            found = pd.DataFrame([_safe(x) for x in batch[column]], columns=NAMES, index=batch.index)
             for part in SCHEMA.split(", "):
                 name, kind = part.strip().split(" ", 1)
                 if kind in ("int", "boolean", "double"):
