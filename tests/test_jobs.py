@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import items
-from tidemark.operators import consolidate, curate, grouping
+from tidemark.operators import consolidate, curate, enrich, feed, grouping, strategies
 from tidemark.operators.islands import _metres
 from tidemark.plans import ingest, jobs
 from tidemark.plans.trips import trip_days, trip_scores
@@ -267,3 +267,94 @@ def test_ingest_reads_each_content_once(spark, tmp_path):
     assert (a["exif_model"], a["taken_source"], str(a["taken"])) == ("M1", "exif", "2024-01-02 03:04:05")
     assert (b["exif_model"], b["taken_source"], str(b["taken"])) == (None, "filename", "2023-04-05 06:07:08")
     assert "exif_model" not in ingest.ingest(spark, str(tmp_path), without=("exif",)).columns
+
+
+def test_location_similarity_against_plain_pass(spark):
+    rnd = random.Random(4)
+    rows = [{"user_id": k % 2, "item_id": k, "t": rnd.randrange(80_000), "day": f"2024-01-0{1 + k % 2}", "lat": 48 + rnd.random() * 0.03 if k % 6 else None, "lon": 11 + rnd.random() * 0.01 if k % 6 else None} for k in range(300)]
+    df = spark.createDataFrame(rows, "user_id bigint, item_id bigint, t bigint, day string, lat double, lon double").repartition(3)
+    got = strategies.location_similarity(df, ["user_id"], 9000, 600.0, 3).collect()
+    want = []
+    for r in rows:
+        r["place"] = None if r["lat"] is None else (int(r["lat"] / 0.01 + 1e-12), int(r["lon"] / 0.01 + 1e-12))
+    for key in {(r["user_id"], r["place"], r["day"]) for r in rows if r["place"]}:
+        want += [(key[0], key[2], len(w), w[0]["t"], w[-1]["t"]) for w in windows([r for r in rows if (r["user_id"], r["place"], r["day"]) == key], 9000, 600.0) if len(w) >= 3]
+    assert sorted((r["user_id"], r["day"], r["n"], r["t_from"], r["t_to"]) for r in got) == sorted(want) and want
+
+
+def test_monthly_highlights_against_plain_pass(spark):
+    rnd = random.Random(6)
+    rows = []
+    for k in range(900):
+        at = dt.datetime(2024, 1, 1, tzinfo=dt.UTC) + dt.timedelta(seconds=rnd.randrange(86400 * 58))
+        rows.append((k % 3, k, int(at.timestamp()), at.date(), round(rnd.random(), 3), [f"p{x}" for x in range(rnd.randint(0, 3))], rnd.random() < 0.2))
+    df = spark.createDataFrame(rows, "user_id bigint, item_id bigint, t bigint, day date, quality double, persons array<string>, is_video boolean").repartition(3)
+    got = strategies.monthly_highlights(df, ["user_id"], least=140, days=7).collect()
+    want = []
+    for u in range(3):
+        for month in (1, 2):
+            mine = [r for r in rows if r[0] == u and r[3].month == month]
+            days = sorted({r[3] for r in mine})
+            if len(mine) < 140 or len(days) < 7:
+                continue
+            scored = []
+            for d in days:
+                g = [r for r in mine if r[3] == d]
+                mean = lambda f: sum(map(f, g)) / len(g)  # noqa: B023, E731
+                scored.append((-round(0.3 * min(1, len(g) / 20) + 0.35 * mean(lambda r: r[4]) + 0.2 * min(1, mean(lambda r: len(r[5])) / 2) + 0.15 * mean(lambda r: r[6]), 9), d, min(r[2] for r in g)))
+            taken = []
+            for _, d, t in sorted(scored):
+                if len(taken) < 5 and all(abs(t - x) >= 36 * 3600 for _, x in taken):
+                    taken.append((d, t))
+            want += [(u, d) for d, _ in taken]
+    assert sorted((r["user_id"], r["day"]) for r in got) == sorted(want) and want
+
+
+def feed_plain(drafts, p):
+    """The best drafts in order, as long as nothing that they belong to is full."""
+    out, used = [], {}
+    for r in sorted(drafts, key=lambda r: (-r["score"], r["draft_id"])):
+        caps = [(("day", r["day"]), p.per_day), (("algorithm", r["algorithm"]), p.per_algorithm), (("both", r["day"], r["algorithm"]), p.per_algorithm_day)]
+        caps += [(("place", r["day"], r["place"]), p.per_place_day)] if r["place"] is not None else []
+        if len(out) < p.max_total and all(used.get(k, 0) < c for k, c in caps):
+            out.append(r["draft_id"])
+            for k, _ in caps:
+                used[k] = used.get(k, 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("look", [1, 5])
+def test_feed_against_plain_pass(spark, look):
+    rnd = random.Random(look)
+    rows = [{"draft_id": k, "algorithm": rnd.choice("aaaab"), "day": dt.date(2024, 1, 1 + min(rnd.randrange(40), 20)), "place": rnd.choice([None, "x", "y"]), "score": round(rnd.random(), 2)} for k in range(400)]
+    p = feed.Profile(max_total=25, per_day=3, per_algorithm=14)
+    got = feed.build(spark.createDataFrame(rows, "draft_id bigint, algorithm string, day date, place string, score double"), p, look).orderBy("rank").collect()
+    assert [r["draft_id"] for r in got] == feed_plain(rows, p) and len(got) > 10
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_annotations_against_plain_pass(spark, seed):
+    rnd = random.Random(seed)
+    rows = [(k, rnd.choice(["trip", "note", "tag", "note"]), sorted(rnd.sample(range(60), rnd.randint(1, 8)))) for k in range(70)] + [(99, "note", [])]
+    need = {"note": 0.5, "tag": 0.25}
+    used = {m for _, a, ms in rows if a not in need for m in ms}
+    want = {k for k, a, _ in rows if a not in need}
+    for k, a, ms in sorted(rows):
+        if a in need and ms and sum(m not in used for m in ms) / len(ms) >= need[a]:
+            want.add(k)
+            used |= set(ms)
+    df = spark.createDataFrame(rows, "draft_id bigint, algorithm string, members array<bigint>").repartition(3)
+    for rounds in (0, 1, 12):
+        assert pairs(consolidate.prune_annotations(df, need, Scratch(spark, "t"), rounds)) == sorted((k,) for k in want)
+
+
+def test_hidden_places_and_pets(spark):
+    rows = spark.createDataFrame([(1, "Rome", ["rex"]), (2, "paris", None), (3, None, ["tom"])], "id bigint, place string, pets array<string>")
+    assert pairs(feed.visible(rows, places=["rome"], pets=["tom"]).select("id")) == [(2,)]
+
+
+def test_points_of_interest_by_their_fixed_weights(spark):
+    f = lambda category, value, name, tags, metres: enrich.poi_score(F.lit(category), F.lit(name), F.lit(None).cast("string"), F.lit(metres), F.lit(value), tags)
+    tags = F.create_map(F.lit("man_made"), F.lit("tower"), F.lit("wikidata"), F.lit("Q1"))
+    r = spark.range(1).select(f("man_made", "tower", "T", tags, 130.0).alias("a"), f("sport", None, None, None, None).alias("b")).first()
+    assert (r.a, r.b) == (150 + 100 + 30 + 120 + 220 + 260 - 5, 50 + 60)

@@ -86,7 +86,7 @@ def overlap_actions(spark, d):
 
 @query()
 def annotation_pruning(spark, d):
-    return C.prune_annotations(drafts(spark, d).withColumn("members", F.transform("members", lambda m: m % 40 + 40 * (F.col("draft_id") % 700))), {"burst": 0.35, "session": 0.2}, Scratch(spark, "annotations"))
+    return C.prune_annotations(drafts(spark, d), {"burst": 0.35, "session": 0.2}, Scratch(spark, "annotations"))
 
 
 @query()

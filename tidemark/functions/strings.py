@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words in file names and what they hint at.
-NAME_HINTS = {"pano": "panorama", "panorama": "panorama", "edited": "edited", "edit": "edited", "timelapse": "timelapse", "slowmo": "slowmotion", "slomo": "slowmotion"}
+NAME_HINTS = {"panorama": r"(^|[^\p{L}\p{N}])pano", "edited": r"(^|[^\p{L}\p{N}])(img_e|edited|edit($|[^\p{L}\p{N}]))", "timelapse": r"timelapse", "slowmotion": r"slo-?w?mo"}
 
 
 def title_if_lower(x: Column) -> Column:
@@ -30,10 +30,10 @@ def path_tokens(path: Column) -> Column:
 
 
 def name_hint(path: Column) -> Column:
-    """What the words of a file name hint at; the first in the order of NAME_HINTS."""
-    tokens, out = path_tokens(path), F.lit(None).cast("string")
-    for word, hint in reversed(NAME_HINTS.items()):
-        out = F.when(F.array_contains(tokens, word), hint).otherwise(out)
+    """What a path without its extension hints at; the first in the order of NAME_HINTS. Words may go on: panorama, timelapse2."""
+    stem, out = F.lower(F.regexp_replace(path, r"\.[^./\\]*$", "")), F.lit(None).cast("string")
+    for hint, pattern in reversed(NAME_HINTS.items()):
+        out = F.when(stem.rlike(pattern), hint).otherwise(out)
     return out
 
 

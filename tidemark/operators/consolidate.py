@@ -115,8 +115,34 @@ def linked(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return rows.select("draft_id").distinct().join(roots.withColumnRenamed("node", "draft_id"), "draft_id", "left").select("draft_id", F.coalesce("root", "draft_id").alias("component"))
 
 
-def prune_annotations(drafts: DataFrame, annotate: dict[str, float], scratch: Scratch) -> DataFrame:
-    """(draft_id) of the drafts that stay: annotating algorithms need a least share of members that no draft kept so far uses; other drafts always stay and use theirs first. Annotating drafts (draft_id, algorithm, members) are taken in the order of draft_id, each component of drafts with common members on its own."""
+def prune_annotations(drafts: DataFrame, annotate: dict[str, float], scratch: Scratch, rounds: int = 12) -> DataFrame:
+    """(draft_id) of the drafts that stay: annotating algorithms need a least share of members that no draft kept so far uses; other drafts always stay and use theirs first. Annotating drafts (draft_id, algorithm, members) are taken in the order of draft_id.
+
+    The order settles in rounds of joins on the members: a draft stays if it has enough members that no undecided draft before it could take
+    either, and goes if too many are taken for sure. What long chains leave undecided after `rounds` is passed through in order, each component of such
+    drafts with common members by itself, in a task that holds the members it has given away.
+    """
+    later = F.col("algorithm").isin(*annotate) if annotate else F.lit(False)
+    stay = drafts.where(~later).select("draft_id")
+    if not annotate:
+        return stay
+    taken = drafts.where(~later).select(F.explode("members").alias("member")).distinct()
+    least = F.create_map(*[x for k, v in annotate.items() for x in (F.lit(k), F.lit(float(v)))])
+    rows = drafts.where(later & (F.size("members") > 0)).select("draft_id", least[F.col("algorithm")].alias("least"), F.explode(F.array_distinct("members")).alias("member"))
+    open_ = scratch.table(rows.join(taken.withColumn("taken", F.lit(True)), "member", "left").withColumn("taken", F.col("taken").isNotNull()), "annotations")
+    kept: list[DataFrame] = []
+    for k in range(rounds):
+        if not open_.limit(1).count():
+            break
+        first = open_.groupBy("member").agg(F.min("draft_id").alias("first"))
+        state = open_.join(first, "member").groupBy("draft_id", "least").agg(F.avg((~F.col("taken")).cast("double")).alias("most"), F.avg((~F.col("taken") & (F.col("first") == F.col("draft_id"))).cast("double")).alias("sure"))
+        settled = scratch.table(state.where((F.col("sure") >= F.col("least")) | (F.col("most") < F.col("least"))).select("draft_id", (F.col("sure") >= F.col("least")).alias("stays")), f"settled{k}")
+        won = settled.where("stays").select("draft_id")
+        kept.append(won)
+        # A draft that stays takes its members from those behind it; one before it has been looked at with this one as undecided.
+        news = open_.join(won, "draft_id").groupBy("member").agg(F.min("draft_id").alias("by"))
+        rest = open_.join(settled.select("draft_id"), "draft_id", "left_anti").join(news, "member", "left")
+        open_ = scratch.table(rest.withColumn("taken", F.col("taken") | F.coalesce(F.col("by") < F.col("draft_id"), F.lit(False))).drop("by"), f"annotations{k}")
 
     def start(_):
         used: set = set()
@@ -125,20 +151,19 @@ def prune_annotations(drafts: DataFrame, annotate: dict[str, float], scratch: Sc
             if row is None:
                 return
             members = row["members"]
-            free = sum(m["free"] and m["member"] not in used for m in members)
-            if members and free / len(members) >= annotate[row["algorithm"]]:
+            if sum(m["free"] and m["member"] not in used for m in members) / len(members) >= row["least"]:
                 used.update(m["member"] for m in members)
                 yield {"draft_id": row["draft_id"]}
 
         return step
 
-    later = F.col("algorithm").isin(*annotate) if annotate else F.lit(False)
-    stay = drafts.where(~later).select("draft_id")
-    taken = drafts.where(~later).select(F.explode("members").alias("member")).distinct().withColumn("taken", F.lit(True))
-    rows = drafts.where(later).select("draft_id", "algorithm", F.explode(F.array_distinct("members")).alias("member"))
-    marked = rows.join(taken, "member", "left").groupBy("draft_id", "algorithm").agg(F.collect_list(F.struct("member", F.col("taken").isNull().alias("free"))).alias("members"))
-    keyed = scratch.table(marked.join(linked(rows.select("draft_id", "member"), scratch, "annotations"), "draft_id"), "keyed_annotations")
-    return stay.unionByName(scan_sorted(keyed, ["component"], ["draft_id"], start, "draft_id bigint"))
+    if open_.limit(1).count():
+        marked = open_.groupBy("draft_id", "least").agg(F.collect_list(F.struct("member", (~F.col("taken")).alias("free"))).alias("members"))
+        keyed = scratch.table(marked.join(linked(open_.where("not taken").select("draft_id", "member"), scratch, "linked_annotations"), "draft_id", "left").withColumn("component", F.coalesce("component", "draft_id")), "keyed_annotations")
+        kept.append(scan_sorted(keyed, ["component"], ["draft_id"], start, "draft_id bigint"))
+    for made in kept:
+        stay = stay.unionByName(made)
+    return stay
 
 
 def per_member_cap(drafts: DataFrame, scratch: Scratch, cap: int = 2) -> DataFrame:

@@ -78,10 +78,27 @@ def still_quality(sharpness: Column, clipping: Column, contrast: Column, noise:
     )
 
 
-def poi_score(category: Column, name: Column, wikidata: Column, distance_m: Column) -> Column:
-    """Weight of a point of interest: its category, a name, an encyclopaedia entry, less its distance."""
-    weights = F.create_map(*[F.lit(x) for pair in {"tourism": 120, "historic": 110, "man_made": 60, "leisure": 70, "natural": 90, "amenity": 30, "shop": 10}.items() for x in pair])
-    return F.coalesce(weights[category], F.lit(0)) + F.when(name.isNotNull(), 50).otherwise(0) + F.when(wikidata.isNotNull(), 120).otherwise(0) - F.coalesce(distance_m, F.lit(0.0)) / 25
+#: Weights of a point of interest's tags, of its category, of single tag values, and of what else is known of it.
+POI_TAGS = {"tourism": 600, "historic": 450, "man_made": 220, "leisure": 140, "natural": 140, "place": 130, "sport": 60, "landuse": 25}
+POI_CATEGORIES = {"tourism": 220, "historic": 180, "man_made": 150, "leisure": 90, "natural": 90, "place": 80, "sport": 50}
+POI_VALUES = {("man_made", "tower"): 260}
+POI_NAME, POI_CATEGORY_VALUE, POI_WIKIDATA, POI_METRES = 100, 30, 120, 25
+
+
+def poi_score(category: Column, name: Column, wikidata: Column, distance_m: Column, value: Column | None = None, tags: Column | None = None) -> Column:
+    """Weight of a point of interest: its category (key and value), its tags (a map; without one the category is the only tag), a name, an encyclopaedia entry, less a point for each 25 m."""
+    points = lambda known, key: F.coalesce(F.create_map(*[F.lit(x) for pair in known.items() for x in pair])[key], F.lit(0))
+    flag = lambda c, w: F.when(c.isNotNull(), w).otherwise(0)
+    value = value if value is not None else F.lit(None).cast("string")
+    if tags is None:
+        tags = F.when(category.isNotNull(), F.create_map(category, F.coalesce(value, F.lit(""))))
+    total = points(POI_CATEGORIES, category) + flag(name, POI_NAME) + flag(value, POI_CATEGORY_VALUE)
+    total = total + flag(F.coalesce(wikidata, F.try_element_at(tags, F.lit("wikidata"))), POI_WIKIDATA)
+    for key, weight in POI_TAGS.items():
+        total = total + flag(F.try_element_at(tags, F.lit(key)), weight)
+    for (key, wanted), weight in POI_VALUES.items():
+        total = total + F.when(F.try_element_at(tags, F.lit(key)) == wanted, weight).otherwise(0)
+    return total - F.when(distance_m > 0, F.floor(distance_m / POI_METRES)).otherwise(0)
 
 
 def primary_poi(pois: Column) -> Column:

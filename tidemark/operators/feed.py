@@ -30,8 +30,8 @@ class Profile:
     old_malus: float = 0.05
 
 
-def visible(rows: DataFrame, persons: list[str] = (), days: list[str] = (), tags: list[str] = ()) -> DataFrame:
-    """Rows without hidden people, days or tags; a null hides nothing."""
+def visible(rows: DataFrame, persons: list[str] = (), days: list[str] = (), tags: list[str] = (), places: list[str] = (), pets: list[str] = ()) -> DataFrame:
+    """Rows without hidden people, days, tags, places (column place) or pets (column pets, an array); a null hides nothing."""
     hidden = F.lit(False)
     if persons:
         hidden = hidden | F.coalesce(F.arrays_overlap("persons", F.array(*map(F.lit, persons))), F.lit(False))
@@ -39,6 +39,10 @@ def visible(rows: DataFrame, persons: list[str] = (), days: list[str] = (), tags
         hidden = hidden | F.coalesce(F.col("day").isin(*[F.lit(d).cast("date") for d in days]), F.lit(False))
     if tags:
         hidden = hidden | F.coalesce(F.col("tag").isin(*tags), F.lit(False))
+    if places:
+        hidden = hidden | F.coalesce(F.lower("place").isin(*[p.lower() for p in places]), F.lit(False))
+    if pets:
+        hidden = hidden | F.coalesce(F.arrays_overlap("pets", F.array(*map(F.lit, pets))), F.lit(False))
     return rows.where(~hidden)
 
 

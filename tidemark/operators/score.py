@@ -92,6 +92,16 @@ def composite(parts: DataFrame) -> DataFrame:
     return parts.withColumn("score", weighted({c: F.col(c) for c in names}))
 
 
+def explained(parts: DataFrame, key: list[str], weights: dict[str, float] | None = None) -> DataFrame:
+    """What the score is made of, a row for each part that is known: (key, part, value, weight, contribution, rank), the largest contribution first."""
+    from pyspark.sql import Window
+
+    weights = weights or WEIGHTS
+    listed = F.array(*[F.struct(F.lit(n).alias("part"), F.col(n).cast("double").alias("value"), F.lit(float(w)).alias("weight")) for n, w in weights.items() if n in parts.columns])
+    rows = parts.select(*key, F.explode(listed).alias("__p")).select(*key, "__p.*").where("value is not null").withColumn("contribution", F.col("value") * F.col("weight"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(F.round("contribution", 9)), "part")))
+
+
 def normalise(drafts: DataFrame, by: str = "algorithm", score: str = "score", boost: Column | None = None) -> DataFrame:
     """Adds normalised: the score by the quartiles of its algorithm, times a boost."""
     q = drafts.groupBy(by).agg(F.min(score).alias("__lo"), F.percentile(score, 0.25).alias("__q1"), F.percentile(score, 0.75).alias("__q3"), F.max(score).alias("__hi"))
