@@ -208,11 +208,11 @@ def linked_places(spark, d):
     f"""WITH {_SCORES}, unp AS (UNPIVOT (SELECT device, day, CAST(quality AS DOUBLE) AS quality, CAST(people AS DOUBLE) AS people, CAST(content AS DOUBLE) AS content, CAST(density AS DOUBLE) AS density, CAST(holiday AS DOUBLE) AS holiday, CAST(recency AS DOUBLE) AS recency, CAST(location AS DOUBLE) AS location, CAST(liveliness AS DOUBLE) AS liveliness FROM scored)
       ON quality, people, content, density, holiday, recency, location, liveliness INTO NAME part VALUE value),
     con AS (SELECT *, value * CASE part WHEN 'quality' THEN 0.22 WHEN 'people' THEN 0.16 WHEN 'content' THEN 0.09 WHEN 'density' THEN 0.1 WHEN 'holiday' THEN 0.07 WHEN 'recency' THEN 0.12 WHEN 'location' THEN 0.05 ELSE 0.08 END AS contribution FROM unp)
-    SELECT device, day, part, round(value, 6) AS value, round(contribution, 6) AS contribution FROM con""",
+    SELECT device, day, part, round(value, 10) AS value, round(contribution, 10) AS contribution FROM con""",
     text="day",
 )
 def explained_scores(spark, d):
     from tidemark.operators import score
 
     made = score.explained(_scored(spark, d).drop("time_coverage"), ["device", "day"])
-    return made.select("device", "day", "part", F.round("value", 6).alias("value"), F.round("contribution", 6).alias("contribution"))
+    return made.select("device", "day", "part", F.round("value", 10).alias("value"), F.round("contribution", 10).alias("contribution"))
