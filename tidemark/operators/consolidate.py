@@ -238,7 +238,8 @@ def member_quality(members: DataFrame, megapixels: float = 12.0, weights: tuple[
     looks = F.coalesce(weighted_mean([*light, (clamp01(c("entropy")), 0.25), (clamp01(c("colorfulness")), 0.25)]), c("avg_aesthetics"), F.lit(0.0))
 
     def related(x: Column, mean: Column) -> Column:
-        return clamp01(F.when(mean > 0, clamp01(0.6 * x + 0.4 * clamp01(x / F.greatest(mean, F.lit(0.0001))))).otherwise(x))
+        # Within a transform the value is worked out once; written out, its copies would outgrow the generated code.
+        return F.transform(F.array(x), lambda v: F.when(mean > 0, clamp01(0.6 * v + 0.4 * clamp01(v / F.greatest(mean, F.lit(0.0001))))).otherwise(clamp01(v)))[0]
 
     def repeats(name: str, base: float) -> Column:
         k = F.row_number().over(Window.partitionBy("draft_id", name).orderBy("position", "item_id")) - 1
