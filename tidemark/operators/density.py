@@ -77,7 +77,7 @@ def similar_hash_pairs(items: DataFrame, prefix: int = 4, bits: int = 5, hash_co
     rows = rows.withColumn("h", hex_bits(F.col(hash_column))).where("h is not null")
     classes = rows.groupBy("h").agg(F.min(id_column).alias("first"))
     other = classes.select(F.col("h").alias("g"), F.col("first").alias("first_b"))
-    between = hash_pairs(classes, other, prefix, bits).join(classes, "h").join(other, "g").where("first < first_b")
+    between = hash_pairs(classes, other, prefix, bits).where("first < first_b")
     same = rows.join(classes, "h").where(F.col(id_column) > F.col("first")).select(F.col("first").alias("a"), F.col(id_column).alias("b"), F.lit(0).alias("distance"))
     return between.select(F.col("first").alias("a"), F.col("first_b").alias("b"), "distance").unionByName(same)
 

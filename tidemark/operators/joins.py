@@ -8,30 +8,32 @@ from pyspark.sql import functions as F
 from tidemark.functions.hashing import hamming_bits, hex_bits
 
 
-def hash_bands(h: Column, prefix: int, bits: int) -> Column:
-    """Keys of a 64-bit hash, as an array, of which two hashes with the same `prefix` hex digits that differ in up to `bits` places share one at least.
+def _head(h: Column, prefix: int) -> Column:
+    return F.shiftrightunsigned(h, 64 - 4 * prefix) if prefix else F.lit(0).cast("bigint")
 
-    The places behind the prefix are cut into bits + 1 bands; one of them is equal. Where bands would be narrower than four places they
-    would part little, and there is one key, the prefix.
-    """
+
+def hash_bands(h: Column, prefix: int, bits: int) -> Column:
+    """The bands of a 64-bit hash, as an array: the places behind the prefix cut into bits + 1 parts, of which two hashes that differ in up to `bits` places share one at least."""
     rest = 64 - 4 * prefix
-    head = F.shiftrightunsigned(h, rest) if prefix else F.lit(0).cast("bigint")
-    if rest < 4 * (bits + 1):
-        return F.array(F.struct(F.lit(0).alias("band"), head.alias("head"), F.lit(0).cast("bigint").alias("value")))
     cuts = [rest * k // (bits + 1) for k in range(bits + 2)]
-    value = lambda low, high: F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("bigint"))
-    return F.array(*[F.struct(F.lit(k).alias("band"), head.alias("head"), value(low, high).alias("value")) for k, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False))])
+    return F.array(*[F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("bigint")) for low, high in zip(cuts, cuts[1:], strict=False)])
 
 
 def hash_pairs(left: DataFrame, right: DataFrame, prefix: int, bits: int) -> DataFrame:
-    """(h, g, distance) of the distinct hashes h of the left and g of the right side that begin alike and differ in few bits."""
-    a = left.select("h").distinct().withColumn("__keys", hash_bands(F.col("h"), prefix, bits))
-    b = right.select("g").distinct().withColumn("__others", hash_bands(F.col("g"), prefix, bits))
-    keyed = a.withColumn("__key", F.explode("__keys")).join(b.withColumn("__key", F.explode("__others")), "__key")
-    # A pair that shares several bands is taken at the first.
-    first = F.element_at(F.filter(F.arrays_zip("__keys", "__others"), lambda x: x["__keys"] == x["__others"]), 1)["__keys"]["band"]
-    pairs = keyed.withColumn("distance", hamming_bits(F.col("h"), F.col("g"))).where((F.col("distance") <= bits) & (first == F.col("__key.band")))
-    return pairs.select("h", "g", "distance")
+    """Rows of the left side (h, ...) and the right side (g, ...), each hash once on either, whose hashes begin alike and differ in few bits, with the distance.
+
+    Hashes are joined by prefix and band, at the first band that a pair shares. Where bands would be narrower than four places they would part
+    little, and the prefix alone is the key.
+    """
+    near = lambda both: both.withColumn("distance", hamming_bits(F.col("h"), F.col("g"))).where(F.col("distance") <= bits)
+    a, b = left.withColumn("__head", _head(F.col("h"), prefix)), right.withColumn("__head", _head(F.col("g"), prefix))
+    if 64 - 4 * prefix < 4 * (bits + 1):
+        return near(a.join(b, "__head")).drop("__head")
+    bands = lambda df, c: df.select("*", F.posexplode(hash_bands(F.col(c), prefix, bits)).alias("__band", "__value"))
+    both = near(bands(a, "h").join(bands(b, "g"), ["__head", "__band", "__value"]))
+    differ = F.col("h").bitwiseXOR(F.col("g"))
+    first = F.array_position(hash_bands(differ, prefix, bits), 0) - 1
+    return both.where(first == F.col("__band")).drop("__head", "__band", "__value")
 
 
 def hamming_nearest(left: DataFrame, right: DataFrame, key: str, bits: int, k: int, prefix: int = 4, hash_column: str = "phash") -> DataFrame:
@@ -46,7 +48,7 @@ def hamming_nearest(left: DataFrame, right: DataFrame, key: str, bits: int, k: i
     part = b.withColumn("__part", F.pmod(F.xxhash64("other"), F.lit(64)))
     for by in (["g", "__part"], ["g"]):
         part = part.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("other"))).where(F.col("__r") <= k + 1)
-    near = hash_pairs(a, b, prefix, bits).join(part.select("g", "other"), "g")
+    near = hash_pairs(a.select("h").distinct(), b.select("g").distinct(), prefix, bits).join(part.select("g", "other"), "g")
     near = near.withColumn("__r", F.row_number().over(Window.partitionBy("h").orderBy("distance", "other"))).where(F.col("__r") <= k + 1).select("h", "other", "distance")
     rows = a.join(near, "h").where(F.col(key) != F.col("other"))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance", "other"))).where(F.col("rank") <= k).select(key, "other", "distance", "rank")
