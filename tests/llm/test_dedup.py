@@ -138,7 +138,7 @@ def test_shortening_is_the_least_that_reaches_the_recall():
         k, j = shortening(similarity, recall)
         reached = lambda j: 1 - (1 - similarity**k) ** j * (1 - similarity ** (k + 1)) ** (near_dup.TREES - j)  # noqa: B023, E731
         assert reached(j) >= recall and (j == 0 or reached(j - 1) < recall)
-    assert shortening() == (3, 5)
+    assert shortening() == (3, 13)
 
 
 def test_forest_against_plain_tries(spark, monkeypatch):
@@ -148,7 +148,7 @@ def test_forest_against_plain_tries(spark, monkeypatch):
     sigs = rng.choice([7, 7, 7, 9, 11, 13, 1 << 31], (70, near_dup.TREES, near_dup.DEPTH)).astype(np.uint32)
     reps = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(sigs)], "uid bigint, sig binary").repartition(4)
     got = forest(reps, Scratch(spark, "test"), 70, 0.8, 0.9999)
-    length, needed = shortening()
+    length, needed = shortening(0.8, 0.9999)
     name = lambda k, t, n: (t, *sigs[k, t, :n].tolist())
     nodes = defaultdict(set)
     for k in range(70):

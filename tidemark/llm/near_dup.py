@@ -43,7 +43,7 @@ TREES, DEPTH = 16, 4
 #: Members of a node that is shortened to without a look at its size.
 SMALL_NODE = 64
 #: Least share of pairs at the threshold itself that meet in some tree; more similar ones are found more surely.
-RECALL = 0.9999
+RECALL = 0.99998
 #: Members of a tile of a trie node and of a candidate group, and shingles of the latter, by its largest set.
 NODE_TILE, TILE, TILE_SHINGLES = 1024, 512, 1_000_000
 
