@@ -149,6 +149,36 @@ def test_set_overlaps_against_all_pairs(spark, threshold):
     assert pairs(joins.subsets(rows)) == inside
 
 
+@pytest.mark.parametrize("carried", [0, 3, 64])
+def test_set_overlaps_of_kinds_against_all_pairs(spark, carried):
+    """Sets that go along with their members, sets that don't, and one member of all; pairs that share more than one member come once."""
+    rnd = random.Random(11)
+    sets = {f"d{k}": {f"m{x}" for x in rnd.sample(range(30), rnd.randint(1, 9))} | {"all"} for k in range(70)}
+    kind = {k: int(k[1:]) % 3 for k in sets}
+    rows = spark.createDataFrame([(k, m) for k, s in sets.items() for m in [*s, *s]] + [("d1", None)], "draft_id string, member string").repartition(3)
+    want = []
+    for a in sets:
+        for b in sets:
+            shared = len(sets[a] & sets[b])
+            jaccard = shared / len(sets[a] | sets[b])
+            if a < b and jaccard >= (0.2 if kind[a] == kind[b] else 0.6) - 1e-12:
+                want.append((a, b, shared, round(jaccard, 9)))
+    by_rows = spark.createDataFrame(list(kind.items()), "draft_id string, kind int")
+    for kinds in (by_rows, F.substring("draft_id", 2, 9).cast("int") % 3):
+        got = joins.set_overlaps(rows, 0.2, kinds, 0.6, carried=carried)
+        assert pairs(got.withColumn("jaccard", F.round("jaccard", 9))) == sorted(want)
+
+
+def test_overlap_decisions_carry_few_columns(spark):
+    """Pairs that differ in time are settled before places, names and hashes are joined."""
+    drafts = spark.range(4).selectExpr("id draft_id", "'x' algorithm", "1 priority", "0.5D score", "3L n", "id % 2 * 1000 t_from", "id % 2 * 1000 + 100 t_to", "48.0D lat", "11.0D lon", "array('a') core", "1.0D hash_median")
+    found = spark.createDataFrame([(a, b, 0.9) for a in range(4) for b in range(a + 1, 4)], "a bigint, b bigint, jaccard double")
+    got = consolidate.overlap_decisions(found, drafts)
+    assert pairs(got) == sorted((a, b, "merge" if (b - a) % 2 == 0 else "drop") for a in range(4) for b in range(a + 1, 4))
+    exchanged = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x]
+    assert len(exchanged) >= 4
+
+
 def test_hash_pairs_reach_all_similar_items(spark):
     rows = spark.createDataFrame([(1, "00000000000000ff"), (2, "00000000000000ff"), (3, "00000000000000fe"), (4, "1000000000000000"), (5, None)], "item_id bigint, phash string")
     assert pairs(density.similar_hash_groups(rows, Scratch(spark, "t")).select("item_id", "component")) == [(1, 1), (2, 1), (3, 1)]

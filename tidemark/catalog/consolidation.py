@@ -20,11 +20,11 @@ def members(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("draft_id"), F.col("l_partkey").alias("member")).distinct()
 
 
-def drafts(spark, d):
+def drafts(spark, d, rows=None):
     from tidemark.functions.calendar import seconds
 
     o = F.col("o_orderkey")
-    sets = members(spark, d).groupBy("draft_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("member")).alias("members"))
+    sets = (members(spark, d) if rows is None else rows).groupBy("draft_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("member")).alias("members"))
     head = table(spark, d, "orders").select(
         o.alias("draft_id"), F.when(o % 4 == 0, "burst").when(o % 4 == 1, "trip").when(o % 4 == 2, "session").otherwise("day").alias("algorithm"), (o % 3).alias("priority"),
         (F.round(F.col("o_totalprice") / 500000, 9) * F.when(o % 9 == 0, 0).otherwise(1)).alias("score"), seconds(F.col("o_orderdate")).alias("t_from"), (seconds(F.col("o_orderdate")) + 86400 * (o % 5)).alias("t_to"),

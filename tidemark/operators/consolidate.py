@@ -256,6 +256,11 @@ def member_quality(members: DataFrame, megapixels: float = 12.0, weights: tuple[
 MERGE = {"iou": 0.55, "metres": 25_000.0, "core": 0.5, "hash": 0.18, "gap": 0.35}
 
 
+def kinds_of(drafts: DataFrame) -> DataFrame:
+    """(draft_id, kind): a number for the algorithm, the same for the same name."""
+    return drafts.select("draft_id", F.hash("algorithm").alias("kind"))
+
+
 def overlap_decisions(pairs: DataFrame, drafts: DataFrame, same: float = 0.45, any_: float = 0.85) -> DataFrame:
     """(winner, loser, action) of the pairs (a, b, jaccard) that must be settled: of one algorithm from the lower similarity on, others from the higher.
 
@@ -267,20 +272,24 @@ def overlap_decisions(pairs: DataFrame, drafts: DataFrame, same: float = 0.45, a
     from tidemark.functions.hashing import interval_iou
 
     d = effective_score(drafts).withColumn("names", F.array_distinct(F.transform(F.filter("core", lambda x: F.length(x) > 0), lambda x: F.lower(x))))
-    side = lambda c: d.select(F.col("draft_id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("algorithm", "priority", "effective", "n", "t_from", "t_to", "lat", "lon", "names", "hash_median")])
-    both = pairs.select("a", "b", "jaccard").join(side("a"), "a").join(side("b"), "b")
-    both = both.where((F.col("jaccard") >= any_) | ((F.col("algorithm_a") == F.col("algorithm_b")) & (F.col("jaccard") >= same)))
-    left = F.struct("priority_a", "effective_a", "n_a", -F.col("a")) >= F.struct("priority_b", "effective_b", "n_b", -F.col("b"))
+    side = lambda c, names: d.select(F.col("draft_id").alias(c), *[F.col(x).alias(f"{x}_{c[0]}") for x in names])
     known = lambda ok: F.coalesce(ok, F.lit(True))
+    # Few pairs agree in time and score, and only these carry places, names and hashes.
+    first, second = ("algorithm", "priority", "effective", "n", "t_from", "t_to"), ("lat", "lon", "names", "hash_median")
+    close = pairs.select("a", "b", (F.col("jaccard") >= any_).alias("any"), (F.col("jaccard") >= same).alias("same")).where(F.col("any") | F.col("same"))
+    both = close.join(side("a", first), "a").join(side("b", first), "b").where(F.col("any") | (F.col("same") & (F.col("algorithm_a") == F.col("algorithm_b"))))
+    left = F.struct("priority_a", "effective_a", "n_a", -F.col("a")) >= F.struct("priority_b", "effective_b", "n_b", -F.col("b"))
     overlap = F.coalesce(interval_iou(F.col("t_from_a"), F.col("t_to_a"), F.col("t_from_b"), F.col("t_to_b")), F.lit(0.0)) >= MERGE["iou"]
-    near = known(haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"), 6371000.0) <= MERGE["metres"])
-    shared = F.size(F.array_intersect("names_a", "names_b")) / F.size(F.array_union("names_a", "names_b"))
-    core = F.when((F.size("names_a") > 0) & (F.size("names_b") > 0), shared >= MERGE["core"]).otherwise(True)
-    alike = known(F.abs(F.col("hash_median_a") - F.col("hash_median_b")) / float(2**64 - 1) <= MERGE["hash"])
     best = F.when(left, F.col("effective_a")).otherwise(F.col("effective_b"))
     even = F.abs(F.col("effective_a") - F.col("effective_b")) <= F.greatest(F.lit(1.0), best) * MERGE["gap"] + 1e-9
-    action = F.when(overlap & near & core & alike & even, "merge").otherwise("drop")
-    return both.select(F.when(left, F.col("a")).otherwise(F.col("b")).alias("winner"), F.when(left, F.col("b")).otherwise(F.col("a")).alias("loser"), action.alias("action"))
+    both = both.select(F.when(left, F.col("a")).otherwise(F.col("b")).alias("winner"), F.when(left, F.col("b")).otherwise(F.col("a")).alias("loser"), F.coalesce(overlap & even, F.lit(False)).alias("like"))
+    rest = both.where("like").join(side("winner", second), "winner").join(side("loser", second), "loser")
+    near = known(haversine_m(F.col("lat_w"), F.col("lon_w"), F.col("lat_l"), F.col("lon_l"), 6371000.0) <= MERGE["metres"])
+    shared = F.size(F.array_intersect("names_w", "names_l")) / F.size(F.array_union("names_w", "names_l"))
+    core = F.when((F.size("names_w") > 0) & (F.size("names_l") > 0), shared >= MERGE["core"]).otherwise(True)
+    alike = known(F.abs(F.col("hash_median_w") - F.col("hash_median_l")) / float(2**64 - 1) <= MERGE["hash"])
+    rest = rest.select("winner", "loser", F.when(near & core & alike, "merge").otherwise("drop").alias("action"))
+    return both.where("not like").select("winner", "loser", F.lit("drop").alias("action")).unionByName(rest)
 
 
 def merged_members(decisions: DataFrame, members: DataFrame) -> DataFrame:
@@ -300,7 +309,7 @@ def resolve_overlaps(drafts: DataFrame, members: DataFrame, scratch: Scratch, sa
     from tidemark.operators.joins import set_overlaps
 
     for k in range(rounds):
-        pairs = set_overlaps(members.select("draft_id", F.col("item_id").alias("member")), same)
+        pairs = set_overlaps(members.select("draft_id", F.col("item_id").alias("member")), same, kinds_of(drafts), any_)
         made = scratch.table(overlap_decisions(pairs, drafts, same, any_), f"decisions{k}")
         if not made.limit(1).count():
             return drafts, members
