@@ -179,6 +179,15 @@ def test_overlap_decisions_carry_few_columns(spark):
     assert len(exchanged) >= 4
 
 
+def test_merges_compare_the_winners_members_only(spark):
+    members = spark.createDataFrame([(d, d + k, k + 1) for d in range(6) for k in range(3)], "draft_id bigint, item_id bigint, position bigint")
+    decided = spark.createDataFrame([(0, 2, "merge"), (0, 1, "merge"), (3, 5, "drop"), (3, 4, "merge")], "winner bigint, loser bigint, action string")
+    got = consolidate.merged_members(decided, members)
+    assert pairs(got) == sorted([*map(tuple, members.collect()), (0, 3, 4), (0, 4, 5), (3, 6, 4)])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+
+
 def test_hash_pairs_reach_all_similar_items(spark):
     rows = spark.createDataFrame([(1, "00000000000000ff"), (2, "00000000000000ff"), (3, "00000000000000fe"), (4, "1000000000000000"), (5, None)], "item_id bigint, phash string")
     assert pairs(density.similar_hash_groups(rows, Scratch(spark, "t")).select("item_id", "component")) == [(1, 1), (2, 1), (3, 1)]

@@ -295,8 +295,10 @@ def overlap_decisions(pairs: DataFrame, drafts: DataFrame, same: float = 0.45, a
 def merged_members(decisions: DataFrame, members: DataFrame) -> DataFrame:
     """Members (draft_id, item_id, position) with those that merges add: behind a winner's own, in order, what only its losers have, by the loser's id and position."""
     won = decisions.where("action = 'merge'").select("winner", "loser").join(members.withColumnRenamed("draft_id", "loser"), "loser")
-    new = won.join(members.select(F.col("draft_id").alias("winner"), "item_id"), ["winner", "item_id"], "left_anti").groupBy("winner", "item_id").agg(F.min(F.struct("loser", "position")).alias("at"))
-    last = members.groupBy(F.col("draft_id").alias("winner")).agg(F.max("position").alias("last"))
+    # Of all members only the winners' own are compared with what they win.
+    winners = members.withColumnRenamed("draft_id", "winner").join(won.select("winner").distinct(), "winner", "left_semi")
+    last = winners.groupBy("winner").agg(F.max("position").alias("last"))
+    new = won.join(winners.select("winner", "item_id"), ["winner", "item_id"], "left_anti").groupBy("winner", "item_id").agg(F.min(F.struct("loser", "position")).alias("at"))
     added = new.join(last, "winner").withColumn("position", F.col("last") + F.row_number().over(Window.partitionBy("winner").orderBy("at", "item_id")))
     return members.unionByName(added.select(F.col("winner").alias("draft_id"), "item_id", F.col("position").cast(members.schema["position"].dataType).alias("position")))
 
