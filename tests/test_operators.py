@@ -188,6 +188,26 @@ def test_merges_compare_the_winners_members_only(spark):
     assert "LeftSemi" in plan
 
 
+def test_member_quality_beyond_one_and_rounded_once(spark, tmp_path):
+    """Items of more than full quality, and scores that two roundings would take up, as the SQL has them."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    con.execute(f"copy (select * replace (value * 3 as value) from '/root/testdata/sf0.001/events.parquet') to '{tmp_path}/events.parquet' (format parquet)")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want = {r[:2]: tuple(map(float, r[2:])) for r in con.execute(f"select draft_id, item_id, quality_part, aesthetics_part, penalty, score from ({entry.oracle_sql()['member_quality']})").fetchall()}
+    got = {(r.draft_id, r.item_id): (r.quality_part, r.aesthetics_part, r.penalty, r.score) for r in entry.queries()["member_quality"](spark, str(tmp_path)).collect()}
+    assert got == want and max(v[0] for v in got.values()) > 1
+    columns = "draft_id bigint, item_id bigint, position bigint, quality double, width int, height int, sharpness double, noise double, iso int, exposure double, brightness double, contrast double, entropy double, colorfulness double, phash string, dhash string, burst_uuid string, avg_quality double, avg_aesthetics double, avg_resolution double, avg_sharpness double, avg_iso double"
+    blank = [None] * 5 + [0.0] + [None] * 4 + [None] * 8
+    rows = spark.createDataFrame([(1, 1, 1, 1.2, *blank), (1, 2, 2, 0.1234499999, *blank), (1, 3, 3, -0.5, *blank)], columns)
+    free, held = ([tuple(r) for r in consolidate.member_quality(rows, limited=x).orderBy("item_id").select("quality_part", "score", "rank").collect()] for x in (False, True))
+    assert [(round(q, 12), r) for q, _, r in free] == [(1.2, 1), (0.1234499999, 2), (-0.5, 3)] and [q for q, _, _ in held] == [1.0, 0.1234499999, 0.0]
+    assert free[1][1] == 0.7 * 0.1234499999
+
+
 def test_hash_pairs_reach_all_similar_items(spark):
     rows = spark.createDataFrame([(1, "00000000000000ff"), (2, "00000000000000ff"), (3, "00000000000000fe"), (4, "1000000000000000"), (5, None)], "item_id bigint, phash string")
     assert pairs(density.similar_hash_groups(rows, Scratch(spark, "t")).select("item_id", "component")) == [(1, 1), (2, 1), (3, 1)]

@@ -218,28 +218,31 @@ def titled(drafts: DataFrame) -> DataFrame:
     return drafts.withColumns({"title": F.concat_ws(", ", F.col("place"), days), "subtitle": F.concat(F.col("n").cast("string"), F.lit(" items"))})
 
 
-def member_quality(members: DataFrame, megapixels: float = 12.0, weights: tuple[float, float] = (0.7, 0.3), penalties: dict[str, float] | None = None) -> DataFrame:
+def member_quality(members: DataFrame, megapixels: float = 12.0, weights: tuple[float, float] = (0.7, 0.3), penalties: dict[str, float] | None = None, limited: bool = True) -> DataFrame:
     """Adds quality_part, aesthetics_part, penalty, score and rank to the members of drafts.
 
     Members have draft_id, item_id, position; quality, width, height, sharpness, noise, iso; exposure, brightness, contrast, entropy,
     colorfulness; phash, dhash, burst_uuid; and the draft's means avg_quality, avg_aesthetics, avg_resolution, avg_sharpness, avg_iso, any of them null.
     Without a quality of its own an item has the mean of resolution, sharpness and noise, where the draft's means stand in for what
     it lacks. Both parts are set in relation to the draft's mean. Every earlier member with the same hash or burst adds to the penalty.
+    Unless `limited`, an item's own quality may lie outside 0 to 1, and so may the parts and the score. Ranks are by the score to nine digits.
     """
     from tidemark.functions.scoring import balanced, clamp01, iso_score, weighted_mean
 
     penalties = penalties or {"phash": 0.35, "dhash": 0.25, "burst_uuid": 0.15}
     c = F.col
+    limit = clamp01 if limited else lambda x: x
+    relative = clamp01 if limited else lambda x: F.when(x.isNotNull(), F.least(F.lit(1.0), x))
     resolution = F.when((c("width") > 0) & (c("height") > 0), clamp01(c("width").cast("double") * c("height") / 1e6 / megapixels))
     noise = F.coalesce(clamp01(c("noise")), iso_score(c("iso")), c("avg_iso"))
     own = weighted_mean([(F.coalesce(resolution, c("avg_resolution")), 0.45), (F.coalesce(clamp01(c("sharpness")), c("avg_sharpness")), 0.35), (noise, 0.20)])
-    quality = F.coalesce(clamp01(c("quality")), own, c("avg_quality"), F.lit(0.0))
+    quality = F.coalesce(limit(c("quality")), own, c("avg_quality"), F.lit(0.0))
     light = [(F.when(c("exposure").isNull(), balanced(clamp01(c("brightness")), 0.55, 0.35)), 0.30), (F.when(c("exposure").isNull(), clamp01(c("contrast"))), 0.20), (clamp01(c("exposure")), 0.50)]
     looks = F.coalesce(weighted_mean([*light, (clamp01(c("entropy")), 0.25), (clamp01(c("colorfulness")), 0.25)]), c("avg_aesthetics"), F.lit(0.0))
 
     def related(x: Column, mean: Column) -> Column:
         # Within a transform the value is worked out once; written out, its copies would outgrow the generated code.
-        return F.transform(F.array(x), lambda v: F.when(mean > 0, clamp01(0.6 * v + 0.4 * clamp01(v / F.greatest(mean, F.lit(0.0001))))).otherwise(clamp01(v)))[0]
+        return F.transform(F.array(x), lambda v: F.when(mean > 0, limit(0.6 * v + 0.4 * relative(v / F.greatest(mean, F.lit(0.0001))))).otherwise(limit(v)))[0]
 
     def repeats(name: str, base: float) -> Column:
         k = F.row_number().over(Window.partitionBy("draft_id", name).orderBy("position", "item_id")) - 1
@@ -247,9 +250,9 @@ def member_quality(members: DataFrame, megapixels: float = 12.0, weights: tuple[
 
     out = members.withColumns({"quality_part": related(quality, c("avg_quality")), "aesthetics_part": related(looks, c("avg_aesthetics"))})
     out = out.withColumn("penalty", F.least(F.lit(0.9), sum((repeats(n, p) for n, p in penalties.items()), F.lit(0.0))))
-    score = clamp01((weights[0] * c("quality_part") + weights[1] * c("aesthetics_part")) * F.greatest(F.lit(0.0), 1 - c("penalty")))
-    out = out.withColumn("score", F.round(score, 9))
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("draft_id").orderBy(F.desc("score"), "position", "item_id")))
+    score = limit((weights[0] * c("quality_part") + weights[1] * c("aesthetics_part")) * F.greatest(F.lit(0.0), 1 - c("penalty")))
+    out = out.withColumn("score", score)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("draft_id").orderBy(F.desc(F.round("score", 9)), "position", "item_id")))
 
 
 #: Limits of a merge of overlapping drafts.
